@@ -33,20 +33,45 @@ def count_mismatches(runs: DataFrame, raw: DataFrame, facts: DataFrame) -> DataF
     return sized.where(~agree).select("run_id")
 
 
-def rollup_mismatches(facts: DataFrame) -> DataFrame:
-    """Runs where the five counts summed over projects differ from the run's own counts."""
+def _rollup(facts: DataFrame) -> DataFrame:
+    """Per run: sum_* over projects and all_* of the run itself, from one pass."""
     grouped = facts.groupingSets(
         [[F.col("run_id"), F.col("project_name")], [F.col("run_id")]], "run_id", "project_name"
     ).agg(F.grouping("project_name").alias("is_total"), *counts())
     total, part = F.col("is_total") == 1, F.col("is_total") == 0
-    sides = grouped.groupBy("run_id").agg(
+    return grouped.groupBy("run_id").agg(
         *[F.sum(F.when(part, F.col(c))).alias(f"sum_{c}") for c in ADDITIVE],
         *[F.max(F.when(total, F.col(c))).alias(f"all_{c}") for c in ADDITIVE],
     )
+
+
+def _sums_agree():
     same = F.lit(True)
     for c in ADDITIVE:
         same = same & F.col(f"sum_{c}").eqNullSafe(F.col(f"all_{c}"))
-    return sides.where(~same).select("run_id")
+    return same
+
+
+def rollup_mismatches(facts: DataFrame) -> DataFrame:
+    """Runs where the five counts summed over projects differ from the run's own counts."""
+    return _rollup(facts).where(~_sums_agree()).select("run_id")
+
+
+def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """(run_id, counts_differ, sums_differ) of freshly loaded runs where either check fails.
+
+    DQ-10 and the roll-up together: one pass over raw, one over the facts.
+    """
+    sized = expected.join(_rows_per_run(raw, "raw_rows"), "run_id", "left").join(
+        _rollup(facts), "run_id", "left"
+    )
+    agree = (
+        (F.col("source_row_count") == F.col("valid_row_count") + F.col("invalid_row_count"))
+        & (F.col("valid_row_count") == F.coalesce("raw_rows", F.lit(0)))
+        & (F.col("valid_row_count") == F.coalesce("all_total_actions", F.lit(0)))
+    )
+    out = sized.select("run_id", (~agree).alias("counts_differ"), (~_sums_agree()).alias("sums_differ"))
+    return out.where("counts_differ or sums_differ")
 
 
 def rollup_by_run(facts: DataFrame) -> DataFrame:

@@ -98,61 +98,83 @@ def _finding(
 # --- header ----------------------------------------------------------------------------------
 
 
-def missing_columns(headers: DataFrame) -> DataFrame:
-    """Required columns that a run's header lacks; `headers` is (run_id, position, column_name)."""
-    wanted = (
-        headers.select("run_id").distinct()
-        .select("run_id", F.posexplode(F.array(*map(F.lit, SOURCE_COLUMNS))).alias("pos", "column_name"))
+def header_lists(headers: DataFrame) -> DataFrame:
+    """(run_id, names) from a header relation (run_id, position, column_name).
+
+    A group is the header of one file, so its size is that of one record.
+    """
+    placed = F.array_sort(F.collect_list(F.struct("position", "column_name")))
+    return headers.groupBy("run_id").agg(placed.alias("placed")).select(
+        "run_id", F.col("placed.column_name").alias("names")
     )
-    absent = wanted.join(headers.select("run_id", "column_name"), ["run_id", "column_name"], "left_anti")
-    name = F.col("column_name")
-    text = F.concat(F.lit("required column '"), name, F.lit("' is missing from the header"))
-    return absent.select(*_finding("DQ-01", name, BLOCKING, text, F.col("pos")))
 
 
-def extra_columns(headers: DataFrame) -> DataFrame:
-    name = F.col("column_name")
-    text = F.concat(F.lit("unexpected extra column '"), name, F.lit("' (not loaded)"))
-    extra = headers.where(~name.isin(*SOURCE_COLUMNS))
-    return extra.select(*_finding("DQ-01", name, WARNING, text, F.lit(100_000) + F.col("position")))
+def _required() -> Column:
+    return F.array(*map(F.lit, SOURCE_COLUMNS))
 
 
-def repeated_columns(headers: DataFrame) -> DataFrame:
-    name = F.col("column_name")
-    text = F.concat(F.lit("column '"), name, F.lit("' appears more than once in the header"))
-    groups = headers.groupBy("run_id", "column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("position").alias("position")
+def _repeated(names: Column) -> Column:
+    """Names that occur more than once, each once."""
+    return F.filter(
+        F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1
     )
-    return groups.where("n > 1").select(
-        *_finding("DQ-01", name, BLOCKING, text, F.lit(200_000) + F.col("position"))
+
+
+def _header_rule(
+    lists: DataFrame, found: Column, severity: str, before: str, after: str, offset: int
+) -> DataFrame:
+    spread = lists.select("run_id", F.posexplode(found).alias("place", "name"))
+    text = F.concat(F.lit(before), F.col("name"), F.lit(after))
+    return spread.select(
+        *_finding("DQ-01", F.col("name"), severity, text, F.lit(offset) + F.col("place"))
+    )
+
+
+def missing_columns(lists: DataFrame) -> DataFrame:
+    """Required columns that a run's header lacks; `lists` is (run_id, names)."""
+    return _header_rule(
+        lists, F.array_except(_required(), F.col("names")), BLOCKING,
+        "required column '", "' is missing from the header", 0,
+    )
+
+
+def extra_columns(lists: DataFrame) -> DataFrame:
+    extra = F.filter("names", lambda n: ~n.isin(*SOURCE_COLUMNS))
+    return _header_rule(
+        lists, extra, WARNING, "unexpected extra column '", "' (not loaded)", 100_000
+    )
+
+
+def repeated_columns(lists: DataFrame) -> DataFrame:
+    return _header_rule(
+        lists, _repeated(F.col("names")), BLOCKING,
+        "column '", "' appears more than once in the header", 200_000,
     )
 
 
-def header_findings(headers: DataFrame) -> DataFrame:
+def header_findings(lists: DataFrame) -> DataFrame:
     return (
-        missing_columns(headers)
-        .unionByName(extra_columns(headers))
-        .unionByName(repeated_columns(headers))
+        missing_columns(lists)
+        .unionByName(extra_columns(lists))
+        .unionByName(repeated_columns(lists))
     )
 
 
-def header_status(headers: DataFrame) -> DataFrame:
+def header_status(lists: DataFrame) -> DataFrame:
     """(run_id, header_count, header_ok): row rules make sense only for usable headers."""
-    folded = headers.groupBy("run_id").agg(
-        F.count(F.lit(1)).cast("int").alias("header_count"),
-        F.count_distinct(F.when(F.col("column_name").isin(*SOURCE_COLUMNS), F.col("column_name"))).alias("known"),
-        F.count_distinct("column_name").alias("names"),
+    names = F.col("names")
+    usable = (F.size(F.array_except(_required(), names)) == 0) & (
+        F.size(F.array_distinct(names)) == F.size(names)
     )
-    usable = (F.col("known") == len(SOURCE_COLUMNS)) & (F.col("names") == F.col("header_count"))
-    return folded.select("run_id", "header_count", usable.alias("header_ok"))
+    return lists.select("run_id", F.size(names).alias("header_count"), usable.alias("header_ok"))
 
 
-def usable_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def usable_rows(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Rows of runs with a usable header, with the header's size joined on.
 
     The right side has one row per run; its size decides the join, no hint is given.
     """
-    good = header_status(headers).where("header_ok").select("run_id", "header_count")
+    good = header_status(lists).where("header_ok").select("run_id", "header_count")
     return rows.drop("header_count").join(good, "run_id")
 
 
@@ -203,13 +225,13 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
     """
     ids = rows.where(~is_blank("action_id")).select("run_id", "action_id", "source_row_number")
     repeated = ids.groupBy("run_id", "action_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = ids.join(repeated.select("run_id", "action_id"), ["run_id", "action_id"], "left_semi")
+    members = ids.join(repeated, ["run_id", "action_id"])
     by_id = Window.partitionBy("run_id", "action_id").orderBy("source_row_number")
     first = members.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= MAX_ROWS_SHOWN)
-    shown = first.groupBy("run_id", "action_id").agg(
-        F.array_sort(F.collect_list("source_row_number")).alias("first_rows")
+    return first.groupBy("run_id", "action_id").agg(
+        F.max("n").alias("n"),
+        F.array_sort(F.collect_list("source_row_number")).alias("first_rows"),
     )
-    return repeated.join(shown, ["run_id", "action_id"])
 
 
 def duplicate_findings(rows: DataFrame) -> DataFrame:
@@ -234,11 +256,11 @@ def unknown_statuses(rows: DataFrame, known: Sequence[str] = ACTION_STATUSES) ->
 
 
 def all_findings(
-    rows: DataFrame, headers: DataFrame, rules: Sequence[RowRule] = ROW_RULES
+    rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES
 ) -> DataFrame:
     """Findings of every rule; `rows` are rows of runs with a usable header."""
     return (
-        header_findings(headers)
+        header_findings(lists)
         .unionByName(row_findings(rows, rules))
         .unionByName(duplicate_findings(rows))
         .unionByName(unknown_statuses(rows))
@@ -250,6 +272,12 @@ def findings_of_check(rows: DataFrame, check: str) -> DataFrame:
     return row_findings(rows, [r for r in ROW_RULES if r.name == check])
 
 
+def _invalid_rows() -> Column:
+    """Rows of a duplicated id are all invalid, of any other id those that fail a rule."""
+    duplicated = ~is_blank("action_id") & (F.col("n") > 1)
+    return F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad")))
+
+
 def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
     """(run_id, source_row_count, valid_row_count, invalid_row_count).
 
@@ -259,10 +287,8 @@ def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) ->
     per_id = rows.groupBy("run_id", "action_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(any_blocking(rules)).alias("bad")
     )
-    duplicated = ~is_blank("action_id") & (F.col("n") > 1)
     per_run = per_id.groupBy("run_id").agg(
-        F.sum("n").alias("source_row_count"),
-        F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad"))).alias("invalid_row_count"),
+        F.sum("n").alias("source_row_count"), _invalid_rows().alias("invalid_row_count")
     )
     return per_run.select(
         "run_id", "source_row_count",
@@ -271,14 +297,42 @@ def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) ->
     )
 
 
-def gate(rows: DataFrame, headers: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+def file_counts(records: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+    """One row per file with rows, from one pass over its records.
+
+    source_row_count, valid_row_count, invalid_row_count (NULL when the header is unusable) and
+    noted: rows that only earn a warning or an investigation. All folded values are numbers, so
+    both aggregations stay hash aggregations.
+    """
+    noted = ~is_blank("status") & ~F.col("status").isin(*ACTION_STATUSES)
+    for r in rules:
+        if not r.blocking:
+            noted = noted | r.fails()
+    rows = records.where(F.col("source_row_number") > 0)
+    per_id = rows.groupBy("file_no", "header_ok", "action_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(any_blocking(rules)).alias("bad"),
+        F.count_if(noted).alias("noted"),
+    )
+    per_file = per_id.groupBy("file_no", "header_ok").agg(
+        F.sum("n").alias("source_row_count"), _invalid_rows().alias("invalid"),
+        F.sum("noted").alias("noted"),
+    )
+    invalid = F.when(F.col("header_ok"), F.col("invalid"))
+    return per_file.select(
+        "file_no", "source_row_count", (F.col("source_row_count") - invalid).alias("valid_row_count"),
+        invalid.alias("invalid_row_count"), "noted",
+    )
+
+
+def gate(rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
     """One row per run: counts (NULL when the header is unusable) and whether it may load.
 
     Every blocking row finding makes its row invalid, so the counts decide without the findings.
     """
-    status = header_status(headers)
+    status = header_status(lists)
     sizes = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
-    counted = validation_counts(usable_rows(rows, headers), rules)
+    counted = validation_counts(usable_rows(rows, lists), rules)
     return (
         status.join(sizes, "run_id", "left").join(counted, "run_id", "left")
         .select(

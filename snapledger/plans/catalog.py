@@ -300,24 +300,23 @@ def _row_sql(check: str) -> str:
     )
 
 
-_REQUIRED = "(values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(schemas.SOURCE_COLUMNS)) + ") t(i, c)"
+_REQUIRED = "(values " + ", ".join(f"('{c}')" for c in schemas.SOURCE_COLUMNS) + ") t(c)"
 _NAMES = ", ".join(f"'{c}'" for c in schemas.SOURCE_COLUMNS)
 _MISSING_SQL = f"""
     select run_id, 'DQ-01' as check_name, c as record_key, 'blocking' as severity_class,
-           'required column ''' || c || ''' is missing from the header' as message, i::bigint as position
-    from (select distinct run_id from headers), {_REQUIRED}
-    where not exists (select 1 from headers h where h.run_id = "(subquery)".run_id and h.column_name = c)
-""".replace('"(subquery)"', "r").replace("from headers), ", "from headers) r, ")
-_PLACED = "(select *, row_number() over (partition by run_id) - 1 as place from headers)"
+           'required column ''' || c || ''' is missing from the header' as message, 0::bigint as position
+    from (select distinct run_id from headers) r, {_REQUIRED}
+    where not exists (select 1 from headers h where h.run_id = r.run_id and h.column_name = c)
+"""
 _EXTRA_SQL = f"""
     select run_id, 'DQ-01' as check_name, column_name as record_key, 'warning' as severity_class,
            'unexpected extra column ''' || column_name || ''' (not loaded)' as message,
-           (case column_name when 'priority' then 100006 else 100000 end)::bigint as position
+           100000::bigint as position
     from headers where column_name not in ({_NAMES})"""
 _REPEAT_SQL = """
     select run_id, 'DQ-01' as check_name, column_name as record_key, 'blocking' as severity_class,
            'column ''' || column_name || ''' appears more than once in the header' as message,
-           200003::bigint as position
+           200000::bigint as position
     from headers group by run_id, column_name having count(*) > 1"""
 _DUP_SQL = f"""
     select run_id, 'DQ-03' as check_name, action_id as record_key, 'blocking' as severity_class,
@@ -335,17 +334,21 @@ _ALL_SQL = " union all ".join([_MISSING_SQL, _EXTRA_SQL, _REPEAT_SQL, *map(_row_
 _FINDINGS = f"findings as ({_ALL_SQL})"
 
 
+def _headers(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.header_lists(td.headers(spark, sf))
+
+
 def _usable(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.usable_rows(td.dirty_rows(spark, sf), td.headers(spark, sf))
+    return rules.usable_rows(td.dirty_rows(spark, sf), _headers(spark, sf))
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.all_findings(_usable(spark, sf), td.headers(spark, sf))
+    return rules.all_findings(_usable(spark, sf), _headers(spark, sf))
 
 
-_query("dq_01_missing", _MISSING_SQL, td.SQL_DIRTY)(lambda s, d: rules.missing_columns(td.headers(s, d)))
-_query("dq_01_extra", _EXTRA_SQL, td.SQL_DIRTY)(lambda s, d: rules.extra_columns(td.headers(s, d)))
-_query("dq_01_duplicate", _REPEAT_SQL, td.SQL_DIRTY)(lambda s, d: rules.repeated_columns(td.headers(s, d)))
+_query("dq_01_missing", _MISSING_SQL, td.SQL_DIRTY)(lambda s, d: rules.missing_columns(_headers(s, d)))
+_query("dq_01_extra", _EXTRA_SQL, td.SQL_DIRTY)(lambda s, d: rules.extra_columns(_headers(s, d)))
+_query("dq_01_duplicate", _REPEAT_SQL, td.SQL_DIRTY)(lambda s, d: rules.repeated_columns(_headers(s, d)))
 for _check in _ROW_TESTS:
     _query(_check.lower().replace("-", "_"), _row_sql(_check), td.SQL_DIRTY)(
         lambda s, d, check=_check: rules.findings_of_check(_usable(s, d), check))
@@ -398,7 +401,7 @@ _GATE = """
         left join (select distinct run_id from usable) u using (run_id)
         left join counted c on c.run_id = r.run_id)"""
 _query("gate_files", "select * from gate", td.SQL_DIRTY, _COUNTED, _GATE)(
-    lambda s, d: rules.gate(td.dirty_rows(s, d), td.headers(s, d)))
+    lambda s, d: rules.gate(td.dirty_rows(s, d), _headers(s, d)))
 
 
 @_query("validation_preview", """
@@ -409,7 +412,7 @@ _query("gate_files", "select * from gate", td.SQL_DIRTY, _COUNTED, _GATE)(
         count(*) filter (severity_class = 'investigation') as investigation
         from findings group by 1) using (run_id)""", td.SQL_DIRTY, _FINDINGS, _COUNTED, _GATE)
 def _preview(spark: SparkSession, sf: str) -> DataFrame:
-    gate = rules.gate(td.dirty_rows(spark, sf), td.headers(spark, sf))
+    gate = rules.gate(td.dirty_rows(spark, sf), _headers(spark, sf))
     names = list(schemas.SEVERITIES)
     found = _findings(spark, sf).groupBy("run_id").agg(
         *[F.count_if(F.col("severity_class") == n).alias(n) for n in names])
@@ -826,14 +829,10 @@ _query("src_header", """
        td.SQL_LINES)(lambda s, d: src.header_columns(td.file_records(s, d), "file_no"))
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return src.read_files(spark, td.write_files(spark, sf), "*.txt")
-
-
 _query("file_fingerprint", """
     select file_no, cast(strlen(content) as bigint) as length, sha256(content) as source_hash from files""",
        td.SQL_FILES)(
-    lambda s, d: src.fingerprints(_files(s, d)).select(td.file_number().alias("file_no"), "length", "source_hash"))
+    lambda s, d: src.fingerprints(td.files(s, d)).select(td.file_number().alias("file_no"), "length", "source_hash"))
 SIZE_CAP = 72_000
 
 
@@ -844,9 +843,9 @@ SIZE_CAP = 72_000
     from files join (select file_no, count(*) as n from lines where ord >= 0 group by 1) using (file_no)""",
         td.SQL_FILES)
 def _admission(spark: SparkSession, sf: str) -> DataFrame:
-    files = _files(spark, sf)
+    files = td.files(spark, sf)
     summary = src.file_summary(files, src.split_records(files, SIZE_CAP), SIZE_CAP)
-    return summary.select(td.file_number().alias("file_no"), "admission", "source_hash", "source_row_count")
+    return summary.select("file_no", "admission", "source_hash", "source_row_count")
 
 
 _FILE_GATE = f"""

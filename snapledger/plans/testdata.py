@@ -416,6 +416,9 @@ def file_number(path_column: str = "path"):
     return F.regexp_extract(path_column, "file_no=([0-9]+)", 1).cast("bigint")
 
 
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return src.read_files(spark, write_files(spark, sf), "*.txt").withColumn("file_no", file_number())
+
+
 def file_records(spark: SparkSession, sf: str) -> DataFrame:
-    files = src.read_files(spark, write_files(spark, sf), "*.txt")
-    return src.split_records(files).withColumn("file_no", file_number())
+    return src.split_records(files(spark, sf))

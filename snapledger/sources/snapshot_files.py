@@ -10,8 +10,12 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pa_csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +29,12 @@ from snapledger.schemas import (
 BATCH_ROWS = 8192
 
 RECORD_SCHEMA = (
-    "path string, source_hash string, source_row_number int, "
+    "file_no long, source_hash string, source_row_number int, "
     + ", ".join(f"{c} string" for c in TEXT_COLUMNS)
     + ", field_count int, header_count int, header_ok boolean, header array<string>, problem string"
 )
 _ARROW_SCHEMA = pa.schema(
-    [("path", pa.string()), ("source_hash", pa.string()), ("source_row_number", pa.int32())]
+    [("file_no", pa.int64()), ("source_hash", pa.string()), ("source_row_number", pa.int32())]
     + [(c, pa.string()) for c in TEXT_COLUMNS]
     + [
         ("field_count", pa.int32()), ("header_count", pa.int32()), ("header_ok", pa.bool_()),
@@ -57,25 +61,26 @@ def fingerprints(files: DataFrame) -> DataFrame:
     )
 
 
-def _batch(path: str, digest: str, head: dict, numbers: list, columns: list, counts: list) -> pa.RecordBatch:
+def _batch(file: tuple, head: dict, numbers: range, columns: list, counts: pa.Array) -> pa.RecordBatch:
     n = len(numbers)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([path] * n, pa.string()), pa.array([digest] * n, pa.string()),
-            pa.array(numbers, pa.int32()),
-            *[pa.array(values, pa.string()) for values in columns],
-            pa.array(counts, pa.int32()),
-            pa.array([head["count"]] * n, pa.int32()), pa.array([head["ok"]] * n, pa.bool_()),
+            pa.repeat(pa.scalar(file[0], pa.int64()), n), pa.repeat(pa.scalar(file[1], pa.string()), n),
+            pa.array(np.arange(numbers.start, numbers.stop, dtype=np.int32)),
+            *columns,
+            counts,
+            pa.repeat(pa.scalar(head["count"], pa.int32()), n),
+            pa.repeat(pa.scalar(head["ok"], pa.bool_()), n),
             pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.string()),
         ],
         schema=_ARROW_SCHEMA,
     )
 
 
-def _marker(path: str, digest: str, header: list[str] | None, head: dict, problem: str | None):
+def _marker(file: tuple, header: list[str] | None, head: dict, problem: str | None) -> pa.RecordBatch:
     """The header record (row number 0), or a problem that refuses the whole file."""
     row = {
-        "path": path, "source_hash": digest, "source_row_number": 0, "header": header,
+        "file_no": file[0], "source_hash": file[1], "source_row_number": 0, "header": header,
         "header_count": head["count"], "header_ok": head["ok"], "problem": problem,
     }
     return pa.RecordBatch.from_pylist(
@@ -83,7 +88,55 @@ def _marker(path: str, digest: str, header: list[str] | None, head: dict, proble
     )
 
 
-def _split_one(path: str, digest: str, content: bytes) -> Iterator[pa.RecordBatch]:
+def _bind(records: list, sizes: list[int], places: list[int], width: int) -> list[pa.Array]:
+    """The required columns in order; '' and fields a short record lacks are NULL."""
+    if min(sizes) == max(sizes) == width:
+        table = list(zip(*records))
+        columns = [table[i] if i >= 0 else [None] * len(records) for i in places]
+    else:
+        columns = [[r[i] if 0 <= i < n else None for r, n in zip(records, sizes)] for i in places]
+    arrays = [pa.array(values, pa.string()) for values in columns]
+    return [pc.if_else(pc.equal(a, ""), pa.scalar(None, pa.string()), a) for a in arrays]
+
+
+def _is_plain(content: bytes) -> bool:
+    """No quotes, no blank lines and no bare CR: every reader agrees on such a file's records."""
+    return not (
+        b'"' in content or b"\n\n" in content or b"\n\r" in content
+        or content.startswith((b"\n", b"\r")) or content.count(b"\r") != content.count(b"\r\n")
+    )
+
+
+def _plain_table(content: bytes, width: int) -> pa.Table | None:
+    """Rows of a plain file, read by Arrow; None when a record or field needs the strict reader."""
+    names = [str(i) for i in range(width)]
+    try:
+        table = pa_csv.read_csv(
+            pa.BufferReader(content),
+            read_options=pa_csv.ReadOptions(column_names=names, skip_rows=1, use_threads=False),
+            parse_options=pa_csv.ParseOptions(quote_char=False, ignore_empty_lines=False),
+            convert_options=pa_csv.ConvertOptions(
+                column_types=dict.fromkeys(names, pa.string()), null_values=[""],
+                strings_can_be_null=True,
+            ),
+        )
+    except pa.ArrowInvalid:
+        return None
+    longest = (pc.max(pc.binary_length(c)).as_py() or 0 for c in table.columns)
+    return table if max(longest) <= MAX_FIELD_CHARS else None
+
+
+def _plain_batches(file: tuple, head: dict, places: list[int], table: pa.Table) -> Iterator[pa.RecordBatch]:
+    number = 0
+    for rows in table.to_batches(BATCH_ROWS):
+        n = rows.num_rows
+        columns = [rows.column(i) if i >= 0 else pa.nulls(n, pa.string()) for i in places]
+        counts = pa.repeat(pa.scalar(head["count"], pa.int32()), n)
+        yield _batch(file, head, range(number + 1, number + 1 + n), columns, counts)
+        number += n
+
+
+def _split_one(file: tuple, content: bytes) -> Iterator[pa.RecordBatch]:
     """Records of one file: header first, then rows bound by header name, '' as NULL."""
     csv.field_size_limit(MAX_FIELD_CHARS)
     head = {"count": 0, "ok": False}
@@ -92,7 +145,7 @@ def _split_one(path: str, digest: str, content: bytes) -> Iterator[pa.RecordBatc
         reader = csv.reader(text)
         header = next(reader, None)
         if header is None:
-            yield _marker(path, digest, None, head, "empty")
+            yield _marker(file, None, head, "empty")
             return
         where = {name: i for i, name in enumerate(header)}
         places = [where.get(c, -1) for c in SOURCE_COLUMNS]
@@ -100,70 +153,83 @@ def _split_one(path: str, digest: str, content: bytes) -> Iterator[pa.RecordBatc
             "count": len(header),
             "ok": -1 not in places and len(where) == len(header),
         }
-        yield _marker(path, digest, header, head, None)
-        numbers, counts = [], []
-        columns: list[list] = [[] for _ in places]
-        for number, record in enumerate(reader, start=1):
-            size = len(record)
-            numbers.append(number)
-            counts.append(size)
-            for values, i in zip(columns, places):
-                values.append((record[i] or None) if 0 <= i < size else None)
-            if len(numbers) == BATCH_ROWS:
-                yield _batch(path, digest, head, numbers, columns, counts)
-                numbers, counts = [], []
-                columns = [[] for _ in places]
-        if numbers:
-            yield _batch(path, digest, head, numbers, columns, counts)
+        table = _plain_table(content, len(header)) if _is_plain(content) else None
+        yield _marker(file, header, head, None)
+        if table is not None:
+            yield from _plain_batches(file, head, places, table)
+            return
+        number = 0
+        while records := list(islice(reader, BATCH_ROWS)):
+            sizes = list(map(len, records))
+            numbers = range(number + 1, number + 1 + len(records))
+            columns = _bind(records, sizes, places, len(header))
+            yield _batch(file, head, numbers, columns, pa.array(sizes, pa.int32()))
+            number += len(records)
     except UnicodeDecodeError:
-        yield _marker(path, digest, None, head, "invalid_utf8")
+        yield _marker(file, None, head, "invalid_utf8")
     except csv.Error:
-        yield _marker(path, digest, None, head, "unreadable")
+        yield _marker(file, None, head, "unreadable")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch holds the files of one scan partition, whose bytes Spark bounds when it packs it."""
     for batch in batches:
-        for path, digest, content in zip(*(batch.column(i) for i in range(3))):
-            yield from _split_one(path.as_py(), digest.as_py(), content.as_py())
+        for number, digest, content in zip(*(batch.column(i) for i in range(3))):
+            yield from _split_one((number.as_py(), digest.as_py()), content.as_py())
 
 
 def split_records(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Header and row records of all files within the size cap.
+    """Header and row records of all files within the size cap; `files` carries a file_no.
 
     The length filter reaches the file source, so content above the cap is never read.
     """
     small = files.where(F.col("length") <= F.lit(max_bytes))
-    content = small.select("path", F.sha2(F.col("content"), 256).alias("source_hash"), "content")
+    content = small.select("file_no", F.sha2(F.col("content"), 256).alias("source_hash"), "content")
     return content.mapInArrow(_split, RECORD_SCHEMA)
 
 
+def file_markers(records: DataFrame) -> DataFrame:
+    """Per file its hash, header size and state, and what makes it unreadable, if anything."""
+    marks = records.where(F.col("source_row_number") == 0)
+    return marks.groupBy("file_no").agg(
+        F.max("source_hash").alias("source_hash"), F.max("problem").alias("problem"),
+        F.max("header_ok").alias("header_ok"), F.max("header_count").alias("header_count"),
+    )
+
+
 def file_summary(files: DataFrame, records: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """One row per file: admission, hash, header and row count.
 
     admission is 'ok' or why the file is refused before any run exists: too_large, empty,
     invalid_utf8, unreadable (for example an over-long field), header_only.
     """
-    folded = records.groupBy("path").agg(
-        F.max("source_hash").alias("source_hash"),
-        F.max("problem").alias("problem"),
-        F.max("source_row_number").alias("source_row_count"),
-        F.max_by("header", F.when(F.col("header").isNotNull(), F.lit(1))).alias("header"),
+    sizes = records.groupBy("file_no").agg(F.max("source_row_number").alias("source_row_count"))
+    folded = file_markers(records).join(sizes, "file_no")
+    listed = files.select("file_no", "path", "length")
+    return listed.join(folded, "file_no", "left").select(
+        "file_no", file_name().alias("source_file"), "length", "source_hash",
+        admission(max_bytes).alias("admission"),
+        F.coalesce("source_row_count", F.lit(0)).alias("source_row_count"),
     )
-    listed = files.select("path", "length", "modificationTime")
-    status = (
+
+
+def admission(max_bytes: int):
+    """Why a file is refused, or 'ok', from its length, problem and row count."""
+    return (
         F.when(F.col("length") > F.lit(max_bytes), "too_large")
         .when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.coalesce("source_row_count", F.lit(0)) == 0, "header_only")
         .otherwise("ok")
     )
-    return listed.join(folded, "path", "left").select(
-        "path", file_name().alias("source_file"), "length", "modificationTime", "source_hash",
-        status.alias("admission"),
-        F.coalesce("source_row_count", F.lit(0)).alias("source_row_count"), "header",
-    )
 
 
-def header_columns(records: DataFrame, key: str = "path") -> DataFrame:
+def header_lists(records: DataFrame, key: str = "file_no") -> DataFrame:
+    """(key, names): the header of each file as one array."""
+    heads = records.where((F.col("source_row_number") == 0) & F.col("header").isNotNull())
+    return heads.select(key, F.col("header").alias("names"))
+
+
+def header_columns(records: DataFrame, key: str = "file_no") -> DataFrame:
     """(key, position, column_name): header names as they are, repeats kept."""
     heads = records.where((F.col("source_row_number") == 0) & F.col("header").isNotNull())
     return heads.select(key, F.posexplode("header").alias("position", "column_name"))

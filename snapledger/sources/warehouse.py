@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 from snapledger import schemas
 from snapledger.operators import runs as ledger
+from snapledger.sources.local import small_table
 
-# Tables kept in one folder per run, and the column that names the run.
+# Tables kept in one folder per run, and the column that names the run. The ledger is not: it has
+# a few rows per run, and readers want all of them.
 PARTITION = {
-    "run_events": "run_id",
     "raw_actions": "run_id",
     "stg_actions": "run_id",
     "data_quality_results": "run_id",
     "executive_summaries": "source_run_id",
 }
 
+# Ledger mark of a run whose rows were deleted; readers never see such runs.
+PURGED = "purged"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only where none is set (tests)."""
@@ -60,6 +64,22 @@ class Warehouse:
             return self.spark.createDataFrame([], schema)
         return df.select(*schema.names)
 
+    def read_runs(self, name: str, run_ids: list[int]) -> DataFrame:
+        """Rows of some runs, from their own folders: nothing else is even listed."""
+        schema, key = schemas.TABLES[name], PARTITION[name]
+        folders = [f"{self.path(name)}/{key}={i}" for i in run_ids if self.exists(f"{name}/{key}={i}")]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", self.path(name))
+        return reader.parquet(*folders).select(*schema.names)
+
+    def exists(self, relative: str) -> bool:
+        target = self._fs_path(f"{self.root}/{relative}")
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
+    def _fs_path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def append(self, name: str, df: DataFrame) -> None:
         out = schemas.conform(df, schemas.TABLES[name]).write.mode("append")
         if name in PARTITION:
@@ -67,20 +87,25 @@ class Warehouse:
         out.parquet(self.path(name))
 
     def runs(self) -> DataFrame:
-        """Current state of every run."""
-        return ledger.run_state(self.read("run_events"))
+        """Current state of every run that was not purged."""
+        return ledger.run_state(self.read("run_events")).where(F.col("status") != PURGED)
+
+    def latest_run_id(self) -> int | None:
+        return ledger.latest_run(self.runs()).first()[0]
 
     def facts(self) -> DataFrame:
         """Facts of successful runs only."""
         return ledger.visible(self.read("stg_actions"), self.runs())
 
     def latest_facts(self) -> DataFrame:
-        """Facts of the latest successful run; the run id prunes partitions."""
-        return ledger.of_latest_run(self.read("stg_actions"), self.runs())
+        """Facts of the latest successful run; empty when there is none."""
+        run_id = self.latest_run_id()
+        return self.facts_at([] if run_id is None else [run_id])
 
-    def facts_at(self, run_id: int) -> DataFrame:
-        """Facts of an older run, when readers are pinned to it."""
-        return self.facts().where(F.col("run_id") == F.lit(run_id))
+    def facts_at(self, run_ids: int | list[int]) -> DataFrame:
+        """Facts of given successful runs, for readers pinned to them."""
+        ids = [run_ids] if isinstance(run_ids, int) else run_ids
+        return ledger.visible(self.read_runs("stg_actions", ids), self.runs())
 
     def findings(self) -> DataFrame:
         return self.read("data_quality_results")
@@ -94,8 +119,8 @@ class Warehouse:
     # --- drafts and configuration -----------------------------------------------------------
 
     def set_config(self, key: str, value: str, at: datetime) -> None:
-        row = [(key, value, at)]
-        self.append("app_config", self.spark.createDataFrame(row, schemas.APP_CONFIG))
+        row = {"config_key": key, "config_value": value, "updated_at": at}
+        self.append("app_config", small_table(self.spark, [row], schemas.APP_CONFIG))
 
     def save_drafts(self, drafts: DataFrame) -> None:
         """Append prepared drafts (see reports.draft_rows) with the next summary ids."""
@@ -107,7 +132,7 @@ class Warehouse:
 
     def remove(self, folder: str) -> None:
         """Delete a folder this engine wrote."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target = self._fs_path(folder)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def drop_run(self, name: str, run_id: int) -> None:
@@ -116,27 +141,37 @@ class Warehouse:
 
     def purge(self, plan: DataFrame) -> None:
         """Carry out a retention plan in its step order; the plan has one row per run and table."""
-        steps = plan.select("step", "table_name", "run_id").distinct().orderBy("step", "run_id")
-        for row in steps.toLocalIterator():
-            name = "run_events" if row["table_name"] == "ingestion_runs" else row["table_name"]
-            self.drop_run(name, row["run_id"])
+        gone = []
+        for row in plan.select("step", "table_name", "run_id").distinct().orderBy("step", "run_id").collect():
+            if row["table_name"] == "ingestion_runs":
+                gone.append(row["run_id"])
+            else:
+                self.drop_run(row["table_name"], row["run_id"])
+        if gone:
+            last = self.read("run_events").where(F.col("run_id").isin(gone))
+            state = last.groupBy("run_id").agg(F.max_by(F.struct(*last.columns), "event_seq").alias("s"))
+            marks = state.select("s.*").withColumns(
+                {"event_seq": F.col("event_seq") + 1, "status": F.lit(PURGED)})
+            self.append("run_events", marks.coalesce(1))
 
     def erase_owner(self, owner: str) -> None:
         """Remove every row of an owner from raw and facts, rewriting only the runs it is in."""
         for name in ("stg_actions", "raw_actions"):
             table = self.read(name)
-            affected = table.where(F.col("owner") == F.lit(owner)).select("run_id").distinct()
-            keep = table.join(affected, "run_id", "left_semi").where(F.col("owner") != F.lit(owner))
+            hit = table.where(F.col("owner") == F.lit(owner))
+            ids = [r["run_id"] for r in hit.select("run_id").distinct().collect()]
+            if not ids:
+                continue
+            keep = self.read_runs(name, ids).where(~F.col("owner").eqNullSafe(F.lit(owner)))
             staged = fresh_folder(self.spark, f"erase-{name}")
             keep.write.partitionBy("run_id").parquet(staged)
-            ids = [r["run_id"] for r in affected.toLocalIterator()]
             kept = self.spark.read.schema(schemas.TABLES[name]).parquet(staged)
             (
                 kept.select(*schemas.TABLES[name].names).write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("run_id").parquet(self.path(name))
             )
-            left = {r["run_id"] for r in kept.select("run_id").distinct().toLocalIterator()}
+            left = {r["run_id"] for r in kept.select("run_id").distinct().collect()}
             for run_id in ids:
                 if run_id not in left:
                     self.drop_run(name, run_id)
