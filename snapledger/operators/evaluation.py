@@ -62,17 +62,20 @@ def out_of_scope_projects(drafts: DataFrame, projects: DataFrame) -> DataFrame:
     """EV-04: project names a filtered draft mentions although its filter is another project.
 
     A mention must contain the first word of the name, so drafts meet names by an equi-join on
-    their distinct words; the whole name is then looked for in the text.
+    their distinct words, without their texts; the candidate pairs then look for the whole name.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.col("summary_text"), F.lit(WORD_PATTERN), F.lit(0)))
     filtered = drafts.where(F.col("project_filter").isNotNull())
-    spoken = filtered.select("summary_id", "project_filter", "summary_text", F.explode(words).alias("word"))
+    words = F.regexp_extract_all(F.col("summary_text"), F.lit(WORD_PATTERN), F.lit(0))
+    # A name without any word has the key '', which every draft carries too.
+    keys = F.array_distinct(F.concat(words, F.array(F.lit(""))))
+    spoken = filtered.select("summary_id", F.explode(keys).alias("word"))
     names = projects.select("project_name").distinct().withColumn(
         "word", F.regexp_extract("project_name", WORD_PATTERN, 0)
     )
-    edge = r"(^|[^\p{L}\p{N}])\Q"
-    pattern = F.concat(F.lit(edge), F.col("project_name"), F.lit(r"\E($|[^\p{L}\p{N}])"))
-    hits = spoken.join(names, "word").where(
+    pairs = spoken.join(names, "word").select("summary_id", "project_name")
+    quoted = F.replace(F.col("project_name"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), quoted, F.lit(r"\E($|[^\p{L}\p{N}])"))
+    hits = pairs.join(filtered, "summary_id").where(
         (F.col("project_name") != F.col("project_filter"))
         & F.rlike(F.col("summary_text"), pattern)
     )

@@ -62,8 +62,11 @@ def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> Data
 
     DQ-10 and the roll-up together: one pass over raw, one over the facts.
     """
-    sized = expected.join(_rows_per_run(raw, "raw_rows"), "run_id", "left").join(
-        _rollup(facts), "run_id", "left"
+    parts = expected.unionByName(_rows_per_run(raw, "raw_rows"), allowMissingColumns=True).unionByName(
+        _rollup(facts), allowMissingColumns=True
+    )
+    sized = parts.groupBy("run_id").agg(
+        *[F.max(c).alias(c) for c in parts.columns if c != "run_id"]
     )
     agree = (
         (F.col("source_row_count") == F.col("valid_row_count") + F.col("invalid_row_count"))

@@ -97,9 +97,9 @@ def findings_of_run(findings: DataFrame, run_id: Column) -> DataFrame:
     )
 
 
-def _value(one_row: DataFrame, column: str) -> Column:
-    """A column of a one-row result, as a scalar subquery."""
-    return one_row.select(column).scalar().alias(column)
+def _one(row: DataFrame, name: str) -> Column:
+    """A one-row result as a struct column, through a scalar subquery."""
+    return row.select(F.struct("*")).scalar().alias(name)
 
 
 def quality_summary(runs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -119,11 +119,8 @@ def quality_summary(runs: DataFrame, findings: DataFrame) -> DataFrame:
     of_run = ledger.of_latest_run(findings, runs).agg(
         *[F.count_if(F.col("severity_class") == s).alias(s) for s in ("blocking", "warning", "investigation")]
     )
-    return good.select(
-        "*",
-        *[_value(attempt, c) for c in attempt.columns],
-        *[_value(of_run, c) for c in of_run.columns],
-    )
+    whole = good.select("*", _one(attempt, "attempt"), _one(of_run, "found"))
+    return whole.select(*good.columns, "attempt.*", "found.*")
 
 
 # --- context document ------------------------------------------------------------------------
@@ -173,10 +170,10 @@ def context_document(
             CONTEXT_FIELDS, [-F.col("days_overdue"), F.col("due_date"), F.col("action_id")]
         ).alias("top_overdue_actions")
     )
-    parts = totals.select(F.struct(*sorted(totals.columns)).alias("portfolio"))
+    totals = totals.select(*sorted(totals.columns))
     doc = run.select(
-        "*", _value(parts, "portfolio"), _value(projects, "projects"),
-        _value(rows, "top_overdue_actions"),
+        "*", _one(totals, "portfolio"), projects.scalar().alias("projects"),
+        rows.scalar().alias("top_overdue_actions"),
     )
     return doc.select(
         F.col("portfolio.overdue_actions").alias("overdue_total"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions.text import has_control, is_blank, is_real_iso_date
@@ -19,6 +19,7 @@ from snapledger.schemas import ACTION_STATUSES, SOURCE_COLUMNS, TEXT_COLUMNS
 BLOCKING, WARNING, INVESTIGATION = "blocking", "warning", "investigation"
 FINDING_COLUMNS = ("run_id", "check_name", "record_key", "severity_class", "message", "position")
 MAX_ROWS_SHOWN = 20
+BLOCK_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -220,17 +221,24 @@ def any_blocking(rules: Sequence[RowRule] = ROW_RULES) -> Column:
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """(run_id, action_id, n, first_rows): ids used more than once, with their first row numbers.
 
-    Counting folds each id before the shuffle. The row list keeps at most MAX_ROWS_SHOWN entries
-    per id and task (Spark limits ranked groups before it moves them), so a hot id stays small.
+    Counting folds each id before the shuffle. Only rows of repeated ids go on: they are spread by
+    blocks of row numbers, cut to MAX_ROWS_SHOWN per block, and then folded per id, so no task
+    ever holds all rows of a hot id. The explicit repartition also lets Spark split a hot id in
+    the join before it.
     """
     ids = rows.where(~is_blank("action_id")).select("run_id", "action_id", "source_row_number")
     repeated = ids.groupBy("run_id", "action_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = ids.join(repeated, ["run_id", "action_id"])
-    by_id = Window.partitionBy("run_id", "action_id").orderBy("source_row_number")
-    first = members.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= MAX_ROWS_SHOWN)
-    return first.groupBy("run_id", "action_id").agg(
-        F.max("n").alias("n"),
-        F.array_sort(F.collect_list("source_row_number")).alias("first_rows"),
+    block = (F.col("source_row_number") / F.lit(BLOCK_ROWS)).cast("int")
+    members = ids.join(repeated, ["run_id", "action_id"]).withColumn("block", block)
+
+    def first_of(numbers: Column) -> Column:
+        return F.slice(F.array_sort(numbers), 1, MAX_ROWS_SHOWN).alias("first_rows")
+
+    blocks = members.repartition("run_id", "action_id", "block").groupBy(
+        "run_id", "action_id", "block"
+    ).agg(F.max("n").alias("n"), first_of(F.collect_list("source_row_number")))
+    return blocks.groupBy("run_id", "action_id").agg(
+        F.max("n").alias("n"), first_of(F.flatten(F.collect_list("first_rows")))
     )
 
 
@@ -274,7 +282,7 @@ def findings_of_check(rows: DataFrame, check: str) -> DataFrame:
 
 def _invalid_rows() -> Column:
     """Rows of a duplicated id are all invalid, of any other id those that fail a rule."""
-    duplicated = ~is_blank("action_id") & (F.col("n") > 1)
+    duplicated = (F.col("n") > 1) & ~is_blank("action_id")
     return F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad")))
 
 

@@ -32,9 +32,10 @@ def test_a_hot_duplicate_id(hot_rows):
     assert rules.unknown_statuses(hot_rows).count() == 6
 
 
-def test_the_row_list_is_limited_before_the_shuffle(hot_rows):
+def test_rows_of_a_hot_id_are_spread_before_they_are_listed(hot_rows):
     plan = rules.duplicate_ids(hot_rows)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    spread = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "block" in line]
+    assert spread and "REPARTITION" in spread[0]
 
 
 def test_hot_groups_in_metrics_and_integrity(spark, hot_rows):
