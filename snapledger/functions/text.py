@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# These patterns and words decide which rows match, so they are stated as they are.
-# `\z` is the end of the text; Java's `$` would also match before a final line end.
+# These characters, patterns and words decide which rows match, so they are stated
+# as they are. `\z` is the end of the text; Java's `$` would also match before a final line end.
+SEPARATORS = (
+    " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BLANK = r"^[\t\n\f\r \p{Z}\x{200B}\x{FEFF}]*\z"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 UNSAFE = r"[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}]"
-EDGE_SPACE = (
-    " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u202f\u205f\u3000"
-)
 SAFE_TEXT_CHARS = 200
 DRAFT_HEAD_CHARS = 200
 DRAFT_WORD_TH = "ร่าง"
@@ -47,7 +47,7 @@ def has_control(*cols: Column | str) -> Column:
 def sanitize(col: Column | str, limit: int = SAFE_TEXT_CHARS) -> Column:
     """Control characters to spaces, edges trimmed, first `limit` characters."""
     spaced = F.regexp_replace(_c(col), UNSAFE, " ")
-    return F.substring(F.btrim(spaced, F.lit(EDGE_SPACE)), 1, limit)
+    return F.substring(F.btrim(spaced, F.lit(SEPARATORS)), 1, limit)
 
 
 def with_draft_label(col: Column | str) -> Column:

@@ -56,25 +56,23 @@ def retention_plan(
     Runs that completed before the cutoff expire, but never the latest success. Each table folds
     to one row per run before it meets the ledger.
     """
-    keep = F.coalesce(latest_run(runs).scalar(), F.lit(-1).cast("bigint"))
-    expired = runs.where(
-        (F.col("completed_at") < F.lit(completed_before).cast("timestamp_ntz"))
-        & (F.col("run_id") != keep)
-    ).select("run_id")
-    steps = []
+    sizes = []
     for step, name in enumerate(PURGE_ORDER, start=1):
         df = runs if name == "ingestion_runs" else tables.get(name)
         if df is None:
             continue
         key = "source_run_id" if name == "executive_summaries" else "run_id"
-        sizes = df.groupBy(F.col(key).alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
-        steps.append(sizes.join(expired, "run_id", "left_semi").select(
-            F.lit(step).alias("step"), F.lit(name).alias("table_name"), "run_id", "rows"
-        ))
-    plan = steps[0]
-    for more in steps[1:]:
-        plan = plan.unionByName(more)
-    return plan
+        folded = df.groupBy(F.col(key).alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
+        sizes.append(folded.select(F.lit(step).alias("step"), F.lit(name).alias("table_name"), "run_id", "rows"))
+    everything = sizes[0]
+    for more in sizes[1:]:
+        everything = everything.unionByName(more)
+    keep = F.coalesce(latest_run(runs).scalar(), F.lit(-1).cast("bigint"))
+    expired = runs.where(
+        (F.col("completed_at") < F.lit(completed_before).cast("timestamp_ntz"))
+        & (F.col("run_id") != keep)
+    ).select("run_id")
+    return everything.join(expired, "run_id", "left_semi").select("step", "table_name", "run_id", "rows")
 
 
 def erasure_report(

@@ -206,6 +206,12 @@ def latest_summaries(summaries: DataFrame) -> DataFrame:
     return last.select("project_filter", "s.*")
 
 
+def latest_summary(summaries: DataFrame, project: str | None = None) -> DataFrame:
+    """The newest draft written for exactly this filter; None means the one for all projects."""
+    same = F.col("project_filter").eqNullSafe(F.lit(metrics.normalize_project(project)))
+    return summary_history(summaries.where(same), 1)
+
+
 def summary_history(summaries: DataFrame, limit: int = 10) -> DataFrame:
     return summaries.orderBy(F.desc("created_at"), F.desc("summary_id")).limit(limit)
 

@@ -121,44 +121,58 @@ def _repeated(names: Column) -> Column:
     )
 
 
-def _header_rule(
-    lists: DataFrame, found: Column, severity: str, before: str, after: str, offset: int
-) -> DataFrame:
-    spread = lists.select("run_id", F.posexplode(found).alias("place", "name"))
-    text = F.concat(F.lit(before), F.col("name"), F.lit(after))
-    return spread.select(
-        *_finding("DQ-01", F.col("name"), severity, text, F.lit(offset) + F.col("place"))
+def _header_hits(
+    names: Column, severity: str, before: str, after: str, offset: int
+) -> Column:
+    """One (record_key, severity_class, message, position) per offending name."""
+    return F.transform(names, lambda name, place: F.struct(
+        name.alias("record_key"), F.lit(severity).alias("severity_class"),
+        F.concat(F.lit(before), name, F.lit(after)).alias("message"),
+        (F.lit(offset) + place).cast("bigint").alias("position"),
+    ))
+
+
+def _missing() -> Column:
+    return _header_hits(
+        F.array_except(_required(), F.col("names")), BLOCKING,
+        "required column '", "' is missing from the header", 0,
+    )
+
+
+def _extra() -> Column:
+    return _header_hits(
+        F.filter("names", lambda n: ~n.isin(*SOURCE_COLUMNS)), WARNING,
+        "unexpected extra column '", "' (not loaded)", 100_000,
+    )
+
+
+def _twice() -> Column:
+    return _header_hits(
+        _repeated(F.col("names")), BLOCKING, "column '", "' appears more than once in the header", 200_000,
     )
 
 
+def _spread(lists: DataFrame, *hits: Column) -> DataFrame:
+    found = lists.select("run_id", F.inline(F.concat(*hits)))
+    return found.withColumn("check_name", F.lit("DQ-01")).select(*FINDING_COLUMNS)
+
+
 def missing_columns(lists: DataFrame) -> DataFrame:
     """Required columns that a run's header lacks; `lists` is (run_id, names)."""
-    return _header_rule(
-        lists, F.array_except(_required(), F.col("names")), BLOCKING,
-        "required column '", "' is missing from the header", 0,
-    )
+    return _spread(lists, _missing())
 
 
 def extra_columns(lists: DataFrame) -> DataFrame:
-    extra = F.filter("names", lambda n: ~n.isin(*SOURCE_COLUMNS))
-    return _header_rule(
-        lists, extra, WARNING, "unexpected extra column '", "' (not loaded)", 100_000
-    )
+    return _spread(lists, _extra())
 
 
 def repeated_columns(lists: DataFrame) -> DataFrame:
-    return _header_rule(
-        lists, _repeated(F.col("names")), BLOCKING,
-        "column '", "' appears more than once in the header", 200_000,
-    )
+    return _spread(lists, _twice())
 
 
 def header_findings(lists: DataFrame) -> DataFrame:
-    return (
-        missing_columns(lists)
-        .unionByName(extra_columns(lists))
-        .unionByName(repeated_columns(lists))
-    )
+    """All DQ-01 findings in one pass over the headers."""
+    return _spread(lists, _missing(), _extra(), _twice())
 
 
 def header_status(lists: DataFrame) -> DataFrame:
@@ -183,7 +197,7 @@ def usable_rows(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def failed_checks(rules: Sequence[RowRule]) -> Column:
-    """The rules a row fails, as an array of (check_name, severity_class, message)."""
+    """Per rule (check_name, severity_class, message) when the row fails it, else NULL."""
     row = F.col("source_row_number")
     hits = [
         F.when(
@@ -196,14 +210,17 @@ def failed_checks(rules: Sequence[RowRule]) -> Column:
         )
         for r in rules
     ]
-    return F.array_compact(F.array(*hits))
+    return F.array(*hits)
 
 
 def row_findings(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """One finding per failed rule and row, from a single pass without a shuffle."""
+    """One finding per failed rule and row, from a single pass without a shuffle.
+
+    NULLs are dropped after the explode: compacting the array first would leave generated code.
+    """
     hits = rows.select(
         "run_id", "source_row_number", F.explode(failed_checks(rules)).alias("hit")
-    )
+    ).where(F.col("hit").isNotNull())
     row = F.col("source_row_number")
     return hits.select(
         *_finding(F.col("hit.check_name"), row, F.col("hit.severity_class"), F.col("hit.message"), row)
@@ -287,68 +304,59 @@ def _invalid_rows() -> Column:
 
 
 def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """(run_id, source_row_count, valid_row_count, invalid_row_count).
-
-    A row is invalid once, however many blocking rules it fails; every row of a duplicated id is
-    invalid. Rows fold to (id, rows, failing rows) before the shuffle, then to runs.
-    """
-    per_id = rows.groupBy("run_id", "action_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(any_blocking(rules)).alias("bad")
-    )
-    per_run = per_id.groupBy("run_id").agg(
-        F.sum("n").alias("source_row_count"), _invalid_rows().alias("invalid_row_count")
-    )
-    return per_run.select(
-        "run_id", "source_row_count",
-        (F.col("source_row_count") - F.col("invalid_row_count")).alias("valid_row_count"),
-        "invalid_row_count",
+    """(run_id, source_row_count, valid_row_count, invalid_row_count) of runs with a usable header."""
+    return counts_by(rows.withColumn("header_ok", F.lit(True)), "run_id", rules).select(
+        "run_id", "source_row_count", "valid_row_count", "invalid_row_count"
     )
 
 
-def file_counts(records: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """One row per file with rows, from one pass over its records.
+def counts_by(rows: DataFrame, key: str, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+    """Counts per file or run from one pass over rows that carry header_ok and header_count.
 
-    source_row_count, valid_row_count, invalid_row_count (NULL when the header is unusable) and
-    noted: rows that only earn a warning or an investigation. All folded values are numbers, so
-    both aggregations stay hash aggregations.
+    source_row_count, valid_row_count, invalid_row_count (both NULL when the header is unusable)
+    and noted: rows that only earn a warning or an investigation. A row is invalid once, however
+    many blocking rules it fails, and every row of a duplicated id is invalid. Rows fold to
+    numbers per id before the shuffle, then to files, so both steps are hash aggregations.
     """
     noted = ~is_blank("status") & ~F.col("status").isin(*ACTION_STATUSES)
     for r in rules:
         if not r.blocking:
             noted = noted | r.fails()
-    rows = records.where(F.col("source_row_number") > 0)
-    per_id = rows.groupBy("file_no", "header_ok", "action_id").agg(
+    per_id = rows.groupBy(key, "header_ok", "action_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(any_blocking(rules)).alias("bad"),
         F.count_if(noted).alias("noted"),
     )
-    per_file = per_id.groupBy("file_no", "header_ok").agg(
-        F.sum("n").alias("source_row_count"), _invalid_rows().alias("invalid"),
+    duplicated = (F.col("n") > 1) & ~is_blank("action_id")
+    per_file = per_id.groupBy(key, "header_ok").agg(
+        F.sum("n").alias("source_row_count"),
+        F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad"))).alias("invalid"),
         F.sum("noted").alias("noted"),
     )
     invalid = F.when(F.col("header_ok"), F.col("invalid"))
     return per_file.select(
-        "file_no", "source_row_count", (F.col("source_row_count") - invalid).alias("valid_row_count"),
+        key, "source_row_count", (F.col("source_row_count") - invalid).alias("valid_row_count"),
         invalid.alias("invalid_row_count"), "noted",
     )
 
 
+def file_counts(records: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+    """Counts of every file that has rows, straight from split records."""
+    return counts_by(records.where(F.col("source_row_number") > 0), "file_no", rules)
+
+
 def gate(rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
     """One row per run: counts (NULL when the header is unusable) and whether it may load.
 
     Every blocking row finding makes its row invalid, so the counts decide without the findings.
     """
     status = header_status(lists)
-    sizes = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
-    counted = validation_counts(usable_rows(rows, lists), rules)
-    return (
-        status.join(sizes, "run_id", "left").join(counted, "run_id", "left")
-        .select(
-            "run_id", "header_ok",
-            F.coalesce("rows", F.lit(0)).cast("bigint").alias("source_row_count"),
-            "valid_row_count", "invalid_row_count",
-            (F.col("header_ok") & (F.coalesce("invalid_row_count", F.lit(0)) == 0)).alias("accepted"),
-        )
+    counted = counts_by(rows.drop("header_count").join(status, "run_id"), "run_id", rules)
+    return status.join(counted, "run_id", "left").select(
+        "run_id", "header_ok",
+        F.coalesce("source_row_count", F.lit(0).cast("bigint")).alias("source_row_count"),
+        "valid_row_count", "invalid_row_count",
+        (F.col("header_ok") & (F.coalesce("invalid_row_count", F.lit(0)) == 0)).alias("accepted"),
     )
 
 

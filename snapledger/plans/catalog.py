@@ -25,7 +25,9 @@ from snapledger.operators import (
 from snapledger.operators import runs as ledger_ops
 from snapledger.plans import testdata as td
 from snapledger.sources import snapshot_files as src
-from snapledger.sources.warehouse import Warehouse, fresh_folder
+from snapledger.sources.numbering import number_rows
+from snapledger.sources.folders import fresh_folder
+from snapledger.sources.warehouse import Warehouse
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -217,11 +219,10 @@ _query("config_latest", """
     from (select 'user-' || user_id as config_key, event_type as config_value, ts as updated_at from events)
     group by 1""")(lambda s, d: ledger_ops.latest_config(td.config_entries(s, d)))
 _query("surrogate_keys", """
-    select source_hash, cast(80 + row_number() over (order by started_at, source_hash) as bigint) as run_id
-    from ledger""", td.SQL_LEDGER)(
-    lambda s, d: ledger_ops.number_rows(
-        td.ledger(s, d).select("source_hash", "started_at"), ["started_at", "source_hash"], 80, "run_id"
-    ).drop("started_at"))
+    select action_id, due_date, 80 + row_number() over (order by due_date, action_id) as summary_id
+    from items""", td.SQL_ITEMS)(
+    lambda s, d: number_rows(
+        td.items(s, d).select("action_id", "due_date"), ["due_date", "action_id"], 80, "summary_id"))
 _RESENT = """
     resent as (select 're-' || source_file as source_file,
         case when run_id % 5 = 0 then sha256('changed' || source_hash) else source_hash end as source_hash,
@@ -666,8 +667,8 @@ def _saved_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """Store every generated text in a fresh warehouse and read the table back."""
     turns = td.table(spark, sf, "conversations").where("role = 'assistant'")
     texts = turns.selectExpr(
-        "text as summary_text", "conv_id * 1000 + turn as source_run_id",
-        "timestamp_ntz '2024-01-01 00:00:00' as created_at", "date '2001-07-21' as reference_date",
+        "text as summary_text", "1 + conv_id % 80 as source_run_id", "date '2001-07-21' as reference_date",
+        "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id * 37 + turn as int)) as created_at",
         "cast(null as string) as project_filter",
     )
     wh = Warehouse(spark, fresh_folder(spark, "drafts"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from snapledger.operators import staging
 from snapledger.schemas import SOURCE_COLUMNS
 from snapledger.sources import snapshot_files as src
-from snapledger.sources.warehouse import fresh_folder
+from snapledger.sources.folders import fresh_folder
 
 REFERENCE_DATE = date(1998, 8, 2)
 AS_OF = datetime(2001, 9, 1)

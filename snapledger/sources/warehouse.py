@@ -5,8 +5,6 @@ The folder must be on storage that all executors share.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -15,7 +13,9 @@ from pyspark.sql import functions as F
 
 from snapledger import schemas
 from snapledger.operators import runs as ledger
-from snapledger.sources.local import small_table
+from snapledger.sources.folders import fresh_folder
+from snapledger.sources.local import MAX_LITERALS, small_table
+from snapledger.sources.numbering import number_rows
 
 # Tables kept in one folder per run, and the column that names the run. The ledger is not: it has
 # a few rows per run, and readers want all of them.
@@ -30,19 +30,6 @@ PARTITION = {
 PURGED = "purged"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="snapledger-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/snapledger/{name}-{uuid.uuid4().hex}"
-
-
 class Warehouse:
     """Reads and appends the declared tables under `root`. One writer at a time."""
 
@@ -65,8 +52,11 @@ class Warehouse:
         return df.select(*schema.names)
 
     def read_runs(self, name: str, run_ids: list[int]) -> DataFrame:
-        """Rows of some runs, from their own folders: nothing else is even listed."""
+        """Rows of some runs; a few are read from their own folders, so nothing else is listed."""
         schema, key = schemas.TABLES[name], PARTITION[name]
+        if len(run_ids) > MAX_LITERALS:
+            wanted = small_table(self.spark, [{key: i} for i in run_ids], f"{key} long")
+            return self.read(name).join(wanted, key, "left_semi")
         folders = [f"{self.path(name)}/{key}={i}" for i in run_ids if self.exists(f"{name}/{key}={i}")]
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -125,7 +115,7 @@ class Warehouse:
     def save_drafts(self, drafts: DataFrame) -> None:
         """Append prepared drafts (see reports.draft_rows) with the next summary ids."""
         top = self.summaries().agg(F.max("summary_id")).first()[0] or 0
-        keyed = ledger.number_rows(drafts, ["created_at", "source_run_id"], top, "summary_id")
+        keyed = number_rows(drafts, ["created_at", "source_run_id"], top, "summary_id")
         self.append("executive_summaries", keyed)
 
     # --- removal ----------------------------------------------------------------------------

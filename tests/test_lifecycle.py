@@ -9,7 +9,7 @@ from conftest import P1, REF, golden_rows, write_csv
 from snapledger import schemas
 from snapledger.operators import governance, ingest as loading, integrity, metrics, reports
 from snapledger.operators import runs as ledger
-from snapledger.sources.warehouse import fresh_folder
+from snapledger.sources.folders import fresh_folder
 from snapledger.streaming import file_drop
 
 
@@ -170,6 +170,9 @@ def test_drafts_and_history(wh):
     wh.save_drafts(reports.draft_rows(texts, "p", "m", "v1"))
     latest = {r.project_filter: r.summary_id for r in reports.latest_summaries(wh.summaries()).collect()}
     assert latest == {None: 3, P1: 2}
+    assert reports.latest_summary(wh.summaries()).first().summary_id == 3
+    assert reports.latest_summary(wh.summaries(), P1).first().summary_id == 2
+    assert reports.latest_summary(wh.summaries(), "P99").isEmpty()
     assert [r.summary_id for r in reports.summary_history(wh.summaries(), 2).collect()] == [3, 2]
     wh.save_drafts(reports.draft_rows(texts.limit(1), "p", "m", "v1"))
     assert [r.summary_id for r in wh.summaries().orderBy("summary_id").collect()] == [1, 2, 3, 4]
