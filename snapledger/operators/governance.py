@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapledger.functions.time import ntz
 from snapledger.operators.runs import latest_run
 
 # Roles that see confidential text as it is, and those limited to their own rows.
@@ -69,7 +70,7 @@ def retention_plan(
         everything = everything.unionByName(more)
     keep = F.coalesce(latest_run(runs).scalar(), F.lit(-1).cast("bigint"))
     expired = runs.where(
-        (F.col("completed_at") < F.lit(completed_before).cast("timestamp_ntz"))
+        (F.col("completed_at") < ntz(completed_before))
         & (F.col("run_id") != keep)
     ).select("run_id")
     return everything.join(expired, "run_id", "left_semi").select("step", "table_name", "run_id", "rows")

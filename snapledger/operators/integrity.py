@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 from snapledger.operators.metrics import ADDITIVE, counts
 
+_SUMS_AGREE = " and ".join(f"sum_{c} <=> all_{c}" for c in ADDITIVE)
+_COUNTS_AGREE = (
+    "source_row_count = valid_row_count + invalid_row_count"
+    " and valid_row_count = coalesce(raw_rows, 0) and valid_row_count = coalesce(fact_rows, 0)"
+)
+
 
 def _rows_per_run(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
@@ -25,12 +31,7 @@ def count_mismatches(runs: DataFrame, raw: DataFrame, facts: DataFrame) -> DataF
         runs.join(_rows_per_run(raw, "raw_rows"), "run_id", "left")
         .join(_rows_per_run(facts, "fact_rows"), "run_id", "left")
     )
-    agree = (
-        (F.col("source_row_count") == F.col("valid_row_count") + F.col("invalid_row_count"))
-        & (F.col("valid_row_count") == F.coalesce("raw_rows", F.lit(0)))
-        & (F.col("valid_row_count") == F.coalesce("fact_rows", F.lit(0)))
-    )
-    return sized.where(~agree).select("run_id")
+    return sized.where(f"not ({_COUNTS_AGREE})").select("run_id")
 
 
 def _rollup(facts: DataFrame) -> DataFrame:
@@ -38,23 +39,15 @@ def _rollup(facts: DataFrame) -> DataFrame:
     grouped = facts.groupingSets(
         [[F.col("run_id"), F.col("project_name")], [F.col("run_id")]], "run_id", "project_name"
     ).agg(F.grouping("project_name").alias("is_total"), *counts())
-    total, part = F.col("is_total") == 1, F.col("is_total") == 0
     return grouped.groupBy("run_id").agg(
-        *[F.sum(F.when(part, F.col(c))).alias(f"sum_{c}") for c in ADDITIVE],
-        *[F.max(F.when(total, F.col(c))).alias(f"all_{c}") for c in ADDITIVE],
+        *[F.expr(f"sum(if(is_total = 0, {c}, null)) as sum_{c}") for c in ADDITIVE],
+        *[F.expr(f"max(if(is_total = 1, {c}, null)) as all_{c}") for c in ADDITIVE],
     )
 
 
-def _sums_agree():
-    same = F.lit(True)
-    for c in ADDITIVE:
-        same = same & F.col(f"sum_{c}").eqNullSafe(F.col(f"all_{c}"))
-    return same
-
-
 def rollup_mismatches(facts: DataFrame) -> DataFrame:
     """Runs where the five counts summed over projects differ from the run's own counts."""
-    return _rollup(facts).where(~_sums_agree()).select("run_id")
+    return _rollup(facts).where(f"not ({_SUMS_AGREE})").select("run_id")
 
 
 def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> DataFrame:
@@ -66,14 +59,12 @@ def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> Data
         _rollup(facts), allowMissingColumns=True
     )
     sized = parts.groupBy("run_id").agg(
-        *[F.max(c).alias(c) for c in parts.columns if c != "run_id"]
+        *[F.expr(f"max({c}) as {c}") for c in parts.columns if c != "run_id"]
     )
-    agree = (
-        (F.col("source_row_count") == F.col("valid_row_count") + F.col("invalid_row_count"))
-        & (F.col("valid_row_count") == F.coalesce("raw_rows", F.lit(0)))
-        & (F.col("valid_row_count") == F.coalesce("all_total_actions", F.lit(0)))
+    out = sized.withColumnRenamed("all_total_actions", "fact_rows").selectExpr(
+        "run_id", f"not ({_COUNTS_AGREE}) as counts_differ",
+        f"not ({_SUMS_AGREE.replace('all_total_actions', 'fact_rows')}) as sums_differ",
     )
-    out = sized.select("run_id", (~agree).alias("counts_differ"), (~_sums_agree()).alias("sums_differ"))
     return out.where("counts_differ or sums_differ")
 
 

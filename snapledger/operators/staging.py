@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger import schemas
+from snapledger.functions.time import ntz
 
 FACT_COLUMNS = (
     "run_id", "action_id", "project_name", "action_name", "owner", "due_date", "status",
@@ -18,10 +19,9 @@ FACT_COLUMNS = (
 
 def raw_rows(rows: DataFrame, loaded_at: datetime | Column) -> DataFrame:
     """Validated input rows as raw rows: values untouched, due date still text."""
-    stamp = loaded_at if isinstance(loaded_at, Column) else F.lit(loaded_at)
     return rows.select(
         "run_id", *schemas.TEXT_COLUMNS, "source_row_number",
-        stamp.cast("timestamp_ntz").alias("loaded_at"),
+        ntz(loaded_at).alias("loaded_at"),
     )
 
 

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapledger.functions.time import hours_between, ntz
 from snapledger.operators.runs import succeeded
 
 
@@ -69,10 +70,8 @@ def rolling_deviation(
 def stale_success(runs: DataFrame, as_of: datetime, tolerance_hours: float | None = None) -> DataFrame:
     """AL-01: age of the latest successful run at a given time; one row, never the clock."""
     last = succeeded(runs).agg(F.max_by("completed_at", "run_id").alias("completed_at"))
-    seconds = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(
-        F.col("completed_at").cast("timestamp")
-    )
-    aged = last.select("completed_at", F.round(seconds / 3600.0, 6).alias("age_hours"))
+    age = hours_between(F.col("completed_at"), ntz(as_of))
+    aged = last.select("completed_at", age.alias("age_hours"))
     return aged.withColumn("fires", _fires(F.col("age_hours"), tolerance_hours))
 
 
@@ -104,10 +103,8 @@ FRESHNESS_REGISTER = (
 
 def freshness_report(runs: DataFrame, summaries: DataFrame, as_of: datetime) -> DataFrame:
     """Age of each registered dataset at `as_of`, with its criticality."""
-    now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
-
     def age(col: Column) -> Column:
-        return F.round((now - F.unix_timestamp(col.cast("timestamp"))) / 3600.0, 6)
+        return hours_between(col, ntz(as_of))
 
     load = succeeded(runs).agg(F.max_by("completed_at", "run_id").alias("c")).select(age(F.col("c")))
     tried = runs.agg(F.max("started_at").alias("c")).select(age(F.col("c")))
