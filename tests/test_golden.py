@@ -72,6 +72,7 @@ def test_hostile_names_match_nothing(golden):
     assert metrics.portfolio(facts, "All Projects").first() == metrics.portfolio(facts).first()
     with pytest.raises(TypeError):
         metrics.portfolio(facts, 123)
+    facts.unpersist()
 
 
 def test_no_warehouse_is_an_empty_state(spark, tmp_path):
