@@ -11,6 +11,8 @@ The tokenizer file (a parameter) states the model: NFC, lower case, words by pat
 word-end mark. Its added tokens are cut out of the raw text first. Decoding joins the tokens by one space, as a model
 without decoder does.
 
+Code points that Unicode has not assigned may be classed otherwise by another Unicode version of the pattern engine.
+
 Edge cases: a null text counts as empty and has no ids; white space alone has none; repeated rows and ties cannot differ;
 an empty table gives no rows; extra columns stay in `encode`.
 """
@@ -43,13 +45,6 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-@lru_cache(maxsize=1)
-def newer_letters() -> str:
-    """Letters that the pattern engine knows from a newer Unicode version than this Python's; the model's has none."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return "".join(c for c in regex.findall(r"\p{L}", every) if unicodedata.category(c) == "Cn")
-
-
 def byte_characters() -> list[str]:
     """Character of each byte: itself where printable, else the next free one from 256 on."""
     out, free = {b: chr(b) for b in _PRINTABLE}, 256
@@ -73,9 +68,6 @@ class Model:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.word_pattern = regex.compile(WORD)
-        new = f"[{regex.escape(newer_letters())}]"
-        self.newer = regex.compile(new)
-        self.strict_pattern = regex.compile(WORD.replace(r"[\p{L}]", rf"[\p{{L}}--{new}]").replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{new})"), regex.V1)
         self.bytes = byte_characters()
 
     def words(self, text: str) -> list[str]:
@@ -92,8 +84,8 @@ class Model:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self.word_pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower case of single characters
-        return (self.strict_pattern if self.newer.search(text) else self.word_pattern).findall(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case of single characters
+        return self.word_pattern.findall(text.lower())
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word by merging the best-ranked neighbours until none is left."""
