@@ -38,13 +38,22 @@ from pyspark.sql import types as T
 from snapledger.llm.common import folder, slices
 
 LEXICON_WORDS = 100_000
-KNOWN_WORDS = 400_000  # words a task remembers; beyond that it starts anew
+KNOWN_CHUNKS = 300_000  # texts between white space that a task remembers; beyond that it starts anew
 
 # Fixed values of the public model: its word pattern, and the printable stand-in of every byte.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+# Separators to Python, but not to the model.
+_NOT_SPACE = regex.compile("[\x1c-\x1f]")
+
+
+def chunks(text: str) -> list[str]:
+    """What stands between white space. No word reaches over it, so chunks can be coded one by one, and remembered."""
+    return regex.split(r"\s+", text) if _NOT_SPACE.search(text) else text.split()
+
+
 def byte_characters() -> list[str]:
     """Character of each byte: itself where printable, else the next free one from 256 on."""
     out, free = {b: chr(b) for b in _PRINTABLE}, 256
@@ -209,14 +218,22 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(spec)
         seen: Counter = Counter()
+
+        def words() -> pa.RecordBatch:
+            out: dict[str, int] = {}
+            for chunk, n in seen.items():
+                for word in model.words(chunk):
+                    out[word] = out.get(word, 0) + n
+            seen.clear()
+            return pa.record_batch([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
+
         for batch in slices(batches, "text"):
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(model.words(text))
-            if len(seen) > KNOWN_WORDS:
-                yield pa.record_batch([list(seen), list(seen.values())], ["word", "n"])
-                seen.clear()
-        yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    seen.update(chunks(text))
+            if len(seen) > KNOWN_CHUNKS:
+                yield words()
+        yield words()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -253,20 +270,21 @@ def coded(docs: DataFrame, spec: str, lexicon: str, columns: dict[str, str]) ->
         model, words = model_of(spec), lexicon_of(lexicon)
         known: dict[str, tuple[str, str, int]] = {}
 
-        def learn(word: str) -> tuple[str, str, int]:
-            ids = words.find(word)
-            if ids is None:
-                ids = model.merged(word)
-            if len(known) >= KNOWN_WORDS:
+        def learn(chunk: str) -> tuple[str, str, int]:
+            ids: list[int] = []
+            for word in model.words(chunk):
+                found = words.find(word)
+                ids += model.merged(word) if found is None else found
+            if len(known) >= KNOWN_CHUNKS:
                 known.clear()
-            known[word] = out = (" ".join(map(str, ids)), model.decode(ids), len(ids))
+            known[chunk] = out = (" ".join(map(str, ids)), model.decode(ids), len(ids))
             return out
 
         want = set(columns.values())
         for batch in slices(batches, "text"):
             made: dict[str, list] = {k: [] for k in want}
             for text in batch.column(text_at).to_pylist():
-                got = [known.get(w) or learn(w) for w in model.words(text or "")]
+                got = [known.get(c) or learn(c) for c in chunks(text or "")]
                 got = [g for g in got if g[2]]
                 if want & {"ids", "ids_sha256"}:
                     ids = " ".join([g[0] for g in got])
