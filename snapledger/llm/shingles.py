@@ -37,14 +37,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the offset of each text's first word (one more than texts). Null: none."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums of the bytes' hashes, the inverse powers, begin and end of every word, and each text's first word."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     n = len(texts)
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + n + 1]
     if data is None or at[-1] == at[0]:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(1, np.uint64), np.ones(1, np.uint64), none, none, np.zeros(n + 1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     inside = _IS_WORD[raw]
@@ -57,8 +58,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw)), out=total[1:])
-    hashes = (total[ends] - total[starts]) * _powers(_INVERSE, len(raw))[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
+    return total, _powers(_INVERSE, len(raw)), starts, ends, np.searchsorted(starts, at)
+
+
+def _hash(total: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the offset of each text's first word (one more than texts). Null: none."""
+    total, inverse, starts, ends, at = _words(texts)
+    return _hash(total, inverse, starts, ends), at
+
+
+def stem_hashes(texts: pa.Array, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the first `stems` bytes of longer words, and the text that each belongs to."""
+    total, inverse, starts, ends, at = _words(texts)
+    text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(at))
+    hashes, owners = [_hash(total, inverse, starts, ends)], [text]
+    for size in stems:
+        long = ends - starts > size
+        hashes.append(_hash(total, inverse, starts[long], starts[long] + size))
+        owners.append(text[long])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
