@@ -1,8 +1,18 @@
 """The queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
+from snapledger.llm.bagminhash import op3_near_dedup
 from snapledger.llm.bpe import op9_bpe
 from snapledger.llm.chat import OP8_SQL, op8_chat
+from snapledger.llm.decontaminate import op6_decontamination
+from snapledger.llm.html import op1_html
+from snapledger.llm.pii import op5_pii
+from snapledger.llm.quality import op2_quality
 from snapledger.llm.sharding import op4_sharding
+from snapledger.llm.toxicity import op7_toxicity
 
-QUERIES = {"op4_sharding": op4_sharding, "op8_chat": op8_chat, "op9_bpe": op9_bpe}
+QUERIES = {
+    "op1_html": op1_html, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat,
+    "op9_bpe": op9_bpe,
+}
 SQL = {"op8_chat": OP8_SQL}

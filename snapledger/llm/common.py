@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
+def worker_memo(name: str) -> dict:
+    """A dictionary that a Python worker keeps from task to task; functions travel by value, so their globals don't last."""
+    module = sys.modules.setdefault("_llm_worker_memo", types.ModuleType("_llm_worker_memo"))
+    return module.__dict__.setdefault(name, {})
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most CHUNK_BYTES of `column`, or one row."""
     for batch in batches:

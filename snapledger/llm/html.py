@@ -28,14 +28,13 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import cut, slices
+from snapledger.llm.common import cut, slices, worker_memo
 
 PAGES = 3
 
@@ -164,9 +163,11 @@ def parsed(page: str) -> Iterator[tuple[str, Node | None, str, bool]]:
         yield "text", open_[-1] if open_ else None, page[begin:], False
 
 
-@lru_cache(maxsize=1)
 def _root() -> Node:
-    return Node("", "", None)
+    memo = worker_memo("html")
+    if "root" not in memo:
+        memo["root"] = Node("", "", None)
+    return memo["root"]
 
 
 def _text_role(node: Node | None, text: str) -> str:

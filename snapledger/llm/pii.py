@@ -158,12 +158,16 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, number of base entities by kind, base_sha256, and all spans, of every document."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key("text").alias("key"))
     base = keyed.select("doc_id", "key", base_spans(F.col("text")).alias("base")).select(
         "doc_id", "key",
-        *[F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        *[_count(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS],
         _listed(F.col("base")).alias("listed"),
     )
     terms = cut(spotted(keyed.select("key", "text")))
