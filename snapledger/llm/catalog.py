@@ -1,18 +1,28 @@
 """The queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
-from snapledger.llm.bagminhash import op3_near_dedup
-from snapledger.llm.bpe import op9_bpe
-from snapledger.llm.chat import OP8_SQL, op8_chat
-from snapledger.llm.decontaminate import op6_decontamination
-from snapledger.llm.html import op1_html
-from snapledger.llm.pii import op5_pii
-from snapledger.llm.quality import op2_quality
-from snapledger.llm.sharding import op4_sharding
-from snapledger.llm.toxicity import op7_toxicity
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+from snapledger.llm.bagminhash import op3_near_dedup  # noqa: E402
+from snapledger.llm.bpe import op9_bpe  # noqa: E402
+from snapledger.llm.chat import OP8_SQL, op8_chat  # noqa: E402
+from snapledger.llm.decontaminate import op6_decontamination  # noqa: E402
+from snapledger.llm.embeddings import op10_embeddings  # noqa: E402
+from snapledger.llm.html import op1_html  # noqa: E402
+from snapledger.llm.pii import op5_pii  # noqa: E402
+from snapledger.llm.quality import op2_quality  # noqa: E402
+from snapledger.llm.sharding import op4_sharding  # noqa: E402
+from snapledger.llm.toxicity import op7_toxicity  # noqa: E402
 
 QUERIES = {
     "op1_html": op1_html, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_sharding": op4_sharding,
     "op5_pii": op5_pii, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat,
-    "op9_bpe": op9_bpe,
+    "op9_bpe": op9_bpe, "op10_embeddings": op10_embeddings,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op8_chat": OP8_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
