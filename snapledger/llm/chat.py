@@ -27,10 +27,16 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
 
 
+def escaped_role(role: Column) -> Column:
+    """A role ends at `>`, so that is escaped, too, as `\\g`."""
+    return F.replace(escaped(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescaped(text: Column) -> Column:
-    """The inverse of `escaped`: between doubled backslashes, which are found from the left, `\\l` is `<`."""
+    """The inverse of both: between doubled backslashes, which are found from the left, `\\l` is `<` and `\\g` is `>`."""
     parts = F.split(text, r"\\\\", -1)
-    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
+    whole = lambda p: F.replace(F.replace(p, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">"))
+    return F.array_join(F.transform(parts, whole), "\\")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def formatted(turns: DataFrame) -> DataFrame:
         def piece(t: Column, i: Column) -> Column:
             opens = (i == 0) | (F.get(ts, i - 1)["role"] != t["role"])
             closes = (i == F.size(ts) - 1) | (F.get(ts, i + 1)["role"] != t["role"])
-            head = F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(HEAD_END))
+            head = F.concat(F.lit(OPEN), escaped_role(t["role"]), F.lit(HEAD_END))
             return F.struct(
                 F.when(opens, head).otherwise(F.lit(PART)).alias("before"),
                 escaped(t["text"]).alias("body"),
@@ -117,7 +123,7 @@ with rows_ as (
   select *, lag(role) over w as prior, lead(role) over w as next_role,
          row_number() over w as k,
          length(replace(replace(text, '\', '\\'), '<', '\l')) as chars,
-         length(replace(replace(role, '\', '\\'), '<', '\l')) as role_chars
+         length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) as role_chars
   from rows_ window w as (partition by conv_id order by turn nulls first, role, text)
 )
 select conv_id, count(*) as n_turns,

@@ -142,6 +142,8 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
     """Robust-pruned neighbours of every row of unit vectors, with the reverse edges."""
     n = len(x)
     out: list[set[int]] = [set() for _ in range(n)]
+    if n == 1:
+        return [np.zeros(0, np.int64)]
     draw = np.random.default_rng(n)
     for begin in range(0, n, 256):
         similar = x[begin : begin + 256] @ x.T
