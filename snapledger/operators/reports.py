@@ -25,13 +25,10 @@ CHART_METRICS = ("total_actions", "completed_actions", "overdue_actions", "compl
 COMPOSITION = ("completed_actions", "open_not_overdue_actions", "overdue_actions")
 
 
-def top_n(value: str | int | None = None) -> int:
-    """A positive whole number, or the default."""
-    try:
-        n = int(value) if value is not None else 0
-    except ValueError:
-        return DEFAULT_TOP_N
-    return n if n > 0 else DEFAULT_TOP_N
+def rows_shown(wanted: str | int | None = None) -> int:
+    """`wanted` where it spells a whole number above zero, else the default."""
+    digits = f"{wanted}".strip().lstrip("0")
+    return int(digits) if digits.isascii() and digits.isdigit() else DEFAULT_TOP_N
 
 
 # --- charts and cards ------------------------------------------------------------------------
@@ -151,8 +148,8 @@ def context_document(
     No row when there is no successful run. The arrays hold one entry per project and at most
     n rows; fields are in name order, as the JSON form needs them.
     """
-    size = top_n(n)
-    name = metrics.normalize_project(project) or None
+    size = rows_shown(n)
+    name = metrics.scope_name(project) or None
     run = ledger.of_latest_run(runs, runs).select("run_id", "reference_date")
     current = ledger.of_latest_run(facts, runs)
     totals = metrics.portfolio(current, project)
@@ -208,7 +205,7 @@ def latest_summaries(summaries: DataFrame) -> DataFrame:
 
 def latest_summary(summaries: DataFrame, project: str | None = None) -> DataFrame:
     """The newest draft written for exactly this filter; None means the one for all projects."""
-    same = F.col("project_filter").eqNullSafe(F.lit(metrics.normalize_project(project)))
+    same = F.col("project_filter").eqNullSafe(F.lit(metrics.scope_name(project)))
     return summary_history(summaries.where(same), 1)
 
 

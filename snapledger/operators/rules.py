@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions.text import has_control, is_blank, is_real_iso_date
@@ -18,8 +18,10 @@ from snapledger.schemas import ACTION_STATUSES, SOURCE_COLUMNS, TEXT_COLUMNS
 
 BLOCKING, WARNING, INVESTIGATION = "blocking", "warning", "investigation"
 FINDING_COLUMNS = ("run_id", "check_name", "record_key", "severity_class", "message", "position")
-MAX_ROWS_SHOWN = 20
-BLOCK_ROWS = 1024
+MAX_ROWS_SHOWN = 20  # row numbers in a message; `duplicate_members` has them all
+# Bits of a finding's id: run, check, position inside the run.
+RUN_BITS, CHECK_BITS, POSITION_BITS = 26, 5, 32
+HEADER_STEP = 1 << 30  # header findings of one kind stay below the next kind's first position
 
 
 @dataclass(frozen=True)
@@ -142,13 +144,13 @@ def _missing() -> Column:
 def _extra() -> Column:
     return _header_hits(
         F.filter("names", lambda n: ~n.isin(*SOURCE_COLUMNS)), WARNING,
-        "unexpected extra column '", "' (not loaded)", 100_000,
+        "unexpected extra column '", "' (not loaded)", HEADER_STEP,
     )
 
 
 def _twice() -> Column:
     return _header_hits(
-        _repeated(F.col("names")), BLOCKING, "column '", "' appears more than once in the header", 200_000,
+        _repeated(F.col("names")), BLOCKING, "column '", "' appears more than once in the header", 2 * HEADER_STEP,
     )
 
 
@@ -235,27 +237,26 @@ def any_blocking(rules: Sequence[RowRule] = ROW_RULES) -> Column:
     return test
 
 
-def duplicate_ids(rows: DataFrame) -> DataFrame:
-    """(run_id, action_id, n, first_rows): ids used more than once, with their first row numbers.
+def duplicate_members(rows: DataFrame) -> DataFrame:
+    """(run_id, action_id, source_row_number, n): every row of an id that its run uses more than once.
 
-    Counting folds each id before the shuffle. Only rows of repeated ids go on: they are spread by
-    blocks of row numbers, cut to MAX_ROWS_SHOWN per block, and then folded per id, so no task
-    ever holds all rows of a hot id. The explicit repartition also lets Spark split a hot id in
-    the join before it.
+    Counting folds each id before the shuffle, so the repeated ids are few; the rows meet them in a join whose hot ids
+    Spark can split.
     """
     ids = rows.where(~is_blank("action_id")).select("run_id", "action_id", "source_row_number")
     repeated = ids.groupBy("run_id", "action_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block = (F.col("source_row_number") / F.lit(BLOCK_ROWS)).cast("int")
-    members = ids.join(repeated, ["run_id", "action_id"]).withColumn("block", block)
+    return ids.join(repeated, ["run_id", "action_id"])
+
 
-    def first_of(numbers: Column) -> Column:
-        return F.slice(F.array_sort(numbers), 1, MAX_ROWS_SHOWN).alias("first_rows")
+def duplicate_ids(rows: DataFrame) -> DataFrame:
+    """(run_id, action_id, n, first_rows): repeated ids with their first MAX_ROWS_SHOWN row numbers.
 
-    blocks = members.repartition("run_id", "action_id", "block").groupBy(
-        "run_id", "action_id", "block"
-    ).agg(F.max("n").alias("n"), first_of(F.collect_list("source_row_number")))
-    return blocks.groupBy("run_id", "action_id").agg(
-        F.max("n").alias("n"), first_of(F.flatten(F.collect_list("first_rows")))
+    Ranking keeps that many rows per id on either side of the shuffle, however many an id has.
+    """
+    order = Window.partitionBy("run_id", "action_id").orderBy("source_row_number")
+    first = duplicate_members(rows).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_ROWS_SHOWN)
+    return first.groupBy("run_id", "action_id").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list("source_row_number")).alias("first_rows")
     )
 
 
@@ -297,12 +298,6 @@ def findings_of_check(rows: DataFrame, check: str) -> DataFrame:
     return row_findings(rows, [r for r in ROW_RULES if r.name == check])
 
 
-def _invalid_rows() -> Column:
-    """Rows of a duplicated id are all invalid, of any other id those that fail a rule."""
-    duplicated = (F.col("n") > 1) & ~is_blank("action_id")
-    return F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad")))
-
-
 def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
     """(run_id, source_row_count, valid_row_count, invalid_row_count) of runs with a usable header."""
     return counts_by(rows.withColumn("header_ok", F.lit(True)), "run_id", rules).select(
@@ -363,15 +358,26 @@ def gate(rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES
 # --- identities and reports ------------------------------------------------------------------
 
 
-def with_result_ids(findings: DataFrame) -> DataFrame:
+def with_result_ids(findings: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
     """Unique ids that grow with run, check and position.
 
-    They are computed from the finding itself (24 bits run, 5 bits check, 32 bits position), so
-    no global numbering is needed and a retried task gives the same ids.
+    They are computed from the finding itself, so no global numbering is needed and a retried task gives the same ids.
+    Checks of a rule pack are numbered behind the known ones. A run, check or position that its bits cannot hold is an
+    error, never an id that another finding has.
     """
-    check = F.array_position(F.array(*map(F.lit, CHECK_ORDER)), F.col("check_name"))
-    packed = F.shiftleft(F.col("run_id"), 37) + F.shiftleft(check, 32) + F.col("position")
-    return findings.withColumn("quality_result_id", packed)
+    order = [*CHECK_ORDER, *(r.name for r in rules if r.name not in CHECK_ORDER)]
+    if len(set(order)) != len(order) or len(order) >= 1 << CHECK_BITS:
+        raise ValueError("checks need different names, and there is room for 31")
+    check = F.array_position(F.array(*map(F.lit, order)), F.col("check_name"))
+    packed = (
+        F.shiftleft(F.col("run_id"), CHECK_BITS + POSITION_BITS) + F.shiftleft(check, POSITION_BITS) + F.col("position")
+    )
+    fits = (
+        F.col("run_id").between(0, (1 << RUN_BITS) - 1) & (check > 0)
+        & F.col("position").between(0, (1 << POSITION_BITS) - 1)
+    )
+    unfit = F.raise_error(F.concat_ws(" ", F.lit("no id for finding"), "run_id", "check_name", "position")).cast("bigint")
+    return findings.withColumn("quality_result_id", F.when(fits, packed).otherwise(unfit))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

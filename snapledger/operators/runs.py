@@ -64,11 +64,11 @@ def idempotency_plan(incoming: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def latest_config(entries: DataFrame) -> DataFrame:
-    """Last value per key."""
+    """Last value per key; of values written at one time the greatest."""
     last = entries.groupBy("config_key").agg(
-        F.max_by(F.struct("config_value", "updated_at"), F.col("updated_at")).alias("s")
+        F.max(F.struct("updated_at", "config_value")).alias("s")
     )
-    return last.select("config_key", "s.*")
+    return last.select("config_key", "s.config_value", "s.updated_at")
 
 
 def attempts_by_status(runs: DataFrame) -> DataFrame:

@@ -215,14 +215,14 @@ _query("runs_by_status", """
     select status, count(*) as attempts, count(distinct reference_date) as reference_dates
     from ledger group by 1""", td.SQL_LEDGER)(lambda s, d: ledger_ops.attempts_by_status(td.ledger(s, d)))
 _query("config_latest", """
-    select config_key, arg_max(config_value, updated_at) as config_value, max(updated_at) as updated_at
+    select config_key, last(config_value order by updated_at, config_value) as config_value, max(updated_at) as updated_at
     from (select 'user-' || user_id as config_key, event_type as config_value, ts as updated_at from events)
     group by 1""")(lambda s, d: ledger_ops.latest_config(td.config_entries(s, d)))
 _query("surrogate_keys", """
     select action_id, due_date, 80 + row_number() over (order by due_date, action_id) as summary_id
     from items""", td.SQL_ITEMS)(
     lambda s, d: number_rows(
-        td.items(s, d).select("action_id", "due_date"), ["due_date", "action_id"], 80, "summary_id"))
+        td.items(s, d).select("action_id", "due_date"), ["due_date", "action_id"], 80, "summary_id")[0])
 _RESENT = """
     resent as (select 're-' || source_file as source_file,
         case when run_id % 5 = 0 then sha256('changed' || source_hash) else source_hash end as source_hash,
@@ -312,12 +312,12 @@ _MISSING_SQL = f"""
 _EXTRA_SQL = f"""
     select run_id, 'DQ-01' as check_name, column_name as record_key, 'warning' as severity_class,
            'unexpected extra column ''' || column_name || ''' (not loaded)' as message,
-           100000::bigint as position
+           1073741824::bigint as position
     from headers where column_name not in ({_NAMES})"""
 _REPEAT_SQL = """
     select run_id, 'DQ-01' as check_name, column_name as record_key, 'blocking' as severity_class,
            'column ''' || column_name || ''' appears more than once in the header' as message,
-           200000::bigint as position
+           2147483648::bigint as position
     from headers group by run_id, column_name having count(*) > 1"""
 _DUP_SQL = f"""
     select run_id, 'DQ-03' as check_name, action_id as record_key, 'blocking' as severity_class,
@@ -359,16 +359,20 @@ _query("dq_03", f"""
     from usable where not {_blank_sql('action_id')} group by 1, 2 having count(*) > 1""", td.SQL_DIRTY)(
     lambda s, d: rules.duplicate_ids(_usable(s, d)).withColumn(
         "first_rows", F.array_join(F.col("first_rows").cast("array<string>"), ",")))
+_query("dq_03_members", f"""
+    select run_id, action_id, unnest(list(source_row_number)) as source_row_number, count(*) as n
+    from usable where not {_blank_sql('action_id')} group by 1, 2 having count(*) > 1""", td.SQL_DIRTY)(
+    lambda s, d: rules.duplicate_members(_usable(s, d)))
 _query("dq_03_messages", _DUP_SQL, td.SQL_DIRTY)(lambda s, d: rules.duplicate_findings(_usable(s, d)))
 _query("dq_09", _STATUS_SQL, td.SQL_DIRTY)(lambda s, d: rules.unknown_statuses(_usable(s, d)))
 _query("all_findings", "select * from findings", td.SQL_DIRTY, _FINDINGS)(_findings)
+# Ids rise with check and position inside a run, and no two are equal: a repeated id would repeat its rank.
 _query("finding_ids", """
-    select run_id * 137438953472
-           + (list_position(['DQ-01','DQ-02','DQ-03','DQ-04','DQ-05','DQ-06','DQ-07','DQ-08','DQ-09','DQ-10',
-                             'DQ-11','DQ-12'], check_name)) * 4294967296 + position as quality_result_id,
-           run_id, check_name, record_key from findings""", td.SQL_DIRTY, _FINDINGS)(
+    select run_id, check_name, record_key, cast(row_number() over (
+        partition by run_id order by check_name, position) as integer) as place from findings""", td.SQL_DIRTY, _FINDINGS)(
     lambda s, d: rules.with_result_ids(_findings(s, d)).select(
-        "quality_result_id", "run_id", "check_name", "record_key"))
+        "run_id", "check_name", "record_key",
+        F.rank().over(Window.partitionBy("run_id").orderBy("quality_result_id")).alias("place")))
 _query("severity_counts", "select run_id, severity_class, count(*) as findings from findings group by 1, 2",
        td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.severity_counts(_findings(s, d)))
 _query("findings_matrix", "select check_name, severity_class, count(*) as findings from findings group by 1, 2",
@@ -420,14 +424,23 @@ def _preview(spark: SparkSession, sf: str) -> DataFrame:
     return gate.join(found, "run_id", "left").na.fill(0, names)
 
 
-_query("findings_of_run", f"""
-    select run_id * 137438953472
-           + (list_position(['DQ-01','DQ-02','DQ-03','DQ-04','DQ-05','DQ-06','DQ-07','DQ-08','DQ-09','DQ-10',
-                             'DQ-11','DQ-12'], check_name)) * 4294967296 + position as quality_result_id,
+
+
+@_query("findings_of_run", f"""
+    select cast(row_number() over (order by check_name, position) as integer) as place,
            check_name, record_key, severity_class, message from findings where run_id = {_LATEST}""",
-       td.SQL_DIRTY, _FINDINGS)(
-    lambda s, d: reports.findings_of_run(
-        _findings(s, d), ledger_ops.latest_run(td.calendar(s)).scalar()))
+        td.SQL_DIRTY, _FINDINGS)
+def _findings_of_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The run is resolved once and restricts the rows before any rule looks at them."""
+    latest = ledger_ops.latest_run(td.ledger(spark, sf)).first()[0]
+    rows, names = (t(spark, sf).where(F.col("run_id") == latest) for t in (td.dirty_rows, td.headers))
+    lists = rules.header_lists(names)
+    found = rules.all_findings(rules.usable_rows(rows, lists), lists)
+    of_run = reports.findings_of_run(found, F.lit(latest))
+    place = F.rank().over(Window.orderBy("quality_result_id"))  # one run's findings
+    return of_run.select(place.alias("place"), "check_name", "record_key", "severity_class", "message")
+
+
 _query("snapshot_profile", f"""
     select run_id, count(*) as total_rows, count(*) filter (status = 'done') as status_done,
            count(*) filter (status = 'in_progress') as status_in_progress,
@@ -658,14 +671,14 @@ _query("saved_drafts", """
         case when contains(lower(substring(text, 1, 200)), 'draft') or contains(substring(text, 1, 200), 'ร่าง')
              then text else '[ร่าง (DRAFT)]' || chr(10) || text end as summary_text,
         'p' as provider, 'm' as model_name, 'v1' as prompt_version
-    from conversations where role = 'assistant'
+    from conversations
       and not regexp_matches(text, '^[\\s\\p{Z}\\x{200B}\\x{FEFF}]*$')""")(
     lambda s, d: _saved_drafts(s, d))
 
 
 def _saved_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """Store every generated text in a fresh warehouse and read the table back."""
-    turns = td.table(spark, sf, "conversations").where("role = 'assistant'")
+    turns = td.table(spark, sf, "conversations")
     texts = turns.selectExpr(
         "text as summary_text", "1 + conv_id % 80 as source_run_id", "date '2001-07-21' as reference_date",
         "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id * 37 + turn as int)) as created_at",

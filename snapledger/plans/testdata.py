@@ -106,16 +106,16 @@ SQL_LEDGER = SQL_ITEMS + ", " + SQL_CALENDAR + """
                as valid_row_count,
            cast(bad as integer) as invalid_row_count, status
     from (select *, case when status = 'failed' then 1 + run_id % 5 else 0 end as bad
-          from calendar) c left join sized using (run_id))
+          from calendar) c join sized using (run_id))
 """
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per run; sizes and content hashes come from the items of the run."""
+    """One row per run that has items; sizes and content hashes come from them."""
     sized = items(spark, sf).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("k").alias("key_sum")
     )
-    return calendar(spark).join(sized, "run_id", "left").selectExpr(
+    return calendar(spark).join(sized, "run_id").selectExpr(
         "run_id", "concat('snapshot-', run_id, '.csv') as source_file",
         "sha2(concat(run_id, ':', coalesce(key_sum, 0)), 256) as source_hash", "reference_date",
         "cast(reference_date as timestamp_ntz) + interval '8' hour as started_at",
@@ -275,17 +275,16 @@ _DRAFT = """
 SQL_DRAFTS = "drafts as (select" + _DRAFT.format(
     S="varchar", t0="timestamp '2024-01-01 00:00:00'",
     hours="to_hours(cast(conv_id * 37 + turn as bigint))",
-) + "from conversations where role = 'assistant')"
+) + "from conversations)"
 
 
 def drafts(spark: SparkSession, sf: str) -> DataFrame:
-    """Saved drafts: every assistant turn, with numbers, terms, names and secrets appended."""
+    """Saved drafts: every turn, with numbers, terms, names and secrets appended."""
     text = _DRAFT.format(
         S="string", t0="timestamp_ntz '2024-01-01 00:00:00'",
         hours="make_dt_interval(0, cast(conv_id * 37 + turn as int))",
     )
-    turns = table(spark, sf, "conversations").where("role = 'assistant'")
-    return _select(text, turns)
+    return _select(text, table(spark, sf, "conversations"))
 
 
 SQL_AUDIT = """

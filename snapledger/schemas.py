@@ -19,6 +19,8 @@ from pyspark.sql.types import (
 SOURCE_COLUMNS = ("action_id", "project_name", "action_name", "owner", "due_date", "status")
 ACTION_STATUSES = ("done", "in_progress", "todo")
 RUN_STATUSES = ("running", "succeeded", "failed")
+# Ledger mark of a run whose rows were deleted; readers never see such runs.
+PURGED = "purged"
 SEVERITIES = ("blocking", "warning", "investigation")
 ALL_PROJECTS = "All Projects"
 MAX_FILE_BYTES = 256 * 1024 * 1024
@@ -119,12 +121,22 @@ TABLES = {
 
 # Column -> allowed values, per table.
 CHECKS = {
-    "run_events": {"status": RUN_STATUSES},
+    "run_events": {"status": (*RUN_STATUSES, PURGED)},
     "ingestion_runs": {"status": RUN_STATUSES},
     "data_quality_results": {"severity_class": SEVERITIES},
 }
 
 
+# What must hold between a row's columns, per table: SQL conditions.
+ROW_CHECKS = {
+    "stg_actions": (
+        "is_completed <> is_open", "is_open or not is_overdue", "is_overdue = (days_overdue > 0)", "days_overdue >= 0",
+    ),
+    "raw_actions": ("source_row_number >= 1",),
+    "run_events": ("completed_at is null or completed_at >= started_at",),
+}
+
+
 class ContractError(ValueError):
     """A DataFrame does not have the columns or types its table declares."""
 
@@ -137,6 +149,23 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def enforced(df: DataFrame, name: str) -> DataFrame:
+    """`df` as table `name` declares it; writing a row that breaks the declaration fails the job.
+
+    NOT NULL, value lists and row conditions are tested in the pass that writes, so no file of a faulty write is
+    committed. The message names the column or condition, never a value.
+    """
+    schema = TABLES[name]
+    rows = conform(df, schema)
+    tests = [(F.col(f.name).isNull(), f"{f.name} is NULL") for f in schema if not f.nullable]
+    tests += [(~F.col(c).isin(*values), f"{c} is outside its value list") for c, values in CHECKS.get(name, {}).items()]
+    tests += [(~F.expr(test), f"not ({test})") for test in ROW_CHECKS.get(name, ())]
+    problem = F.coalesce(*[F.when(bad, F.lit(f"{name}: {text}")) for bad, text in tests])
+    first = schema[0]
+    stopped = F.when(problem.isNotNull(), F.raise_error(problem).cast(first.dataType)).otherwise(F.col(first.name))
+    return rows.select(stopped.alias(first.name), *schema.names[1:])
+
+
 def contract_violations(
     df: DataFrame, schema: StructType, allowed: dict[str, tuple[str, ...]] | None = None
 ) -> DataFrame:

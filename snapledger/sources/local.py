@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -16,17 +15,10 @@ def small_table(spark: SparkSession, rows: list[dict], schema: StructType | str)
     return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(fields)), fields)
 
 
-MAX_LITERALS = 1000
-
-
 def with_lookup(df: DataFrame, key: str, values: dict, name: str, key_type: str) -> DataFrame:
     """Rows whose key is in `values`, with its whole-number value as column `name`.
 
-    A short mapping becomes a literal in the plan, a longer one a join with a small table.
+    A join with a local relation, whose known size lets Spark choose how.
     """
-    if len(values) <= MAX_LITERALS:
-        pairs = [F.lit(x) for item in values.items() for x in item]
-        found = F.element_at(F.create_map(*pairs), F.col(key)).cast("bigint")
-        return df.where(F.col(key).isin(list(values))).withColumn(name, found)
     rows = [{key: k, name: v} for k, v in values.items()]
     return df.join(small_table(df.sparkSession, rows, f"{key} {key_type}, {name} long"), key)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from snapledger import schemas
 from snapledger.operators import runs as ledger
 from snapledger.sources.folders import fresh_folder
-from snapledger.sources.local import MAX_LITERALS, small_table
+from snapledger.sources.local import small_table
 from snapledger.sources.numbering import number_rows
 
 # Tables kept in one folder per run, and the column that names the run. The ledger is not: it has
@@ -26,9 +26,6 @@ PARTITION = {
     "executive_summaries": "source_run_id",
 }
 
-# Ledger mark of a run whose rows were deleted; readers never see such runs.
-PURGED = "purged"
-
 
 class Warehouse:
     """Reads and appends the declared tables under `root`. One writer at a time."""
@@ -52,17 +49,21 @@ class Warehouse:
         return df.select(*schema.names)
 
     def read_runs(self, name: str, run_ids: list[int]) -> DataFrame:
-        """Rows of some runs; a few are read from their own folders, so nothing else is listed."""
+        """Rows of some runs, read from their own folders; one listing tells which of them exist."""
         schema, key = schemas.TABLES[name], PARTITION[name]
-        if len(run_ids) > MAX_LITERALS:
-            wanted = small_table(self.spark, [{key: i} for i in run_ids], f"{key} long")
-            return self.read(name).join(wanted, key, "left_semi")
-        folders = [f"{self.path(name)}/{key}={i}" for i in run_ids if self.exists(f"{name}/{key}={i}")]
+        there = self.folders(name)
+        folders = [f"{self.path(name)}/{key}={i}" for i in run_ids if f"{key}={i}" in there]
         if not folders:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", self.path(name))
         return reader.parquet(*folders).select(*schema.names)
 
+    def folders(self, name: str) -> set[str]:
+        """Names of the run folders of a table."""
+        target = self._fs_path(self.path(name))
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return {status.getPath().getName() for status in fs.listStatus(target)} if fs.exists(target) else set()
+
     def exists(self, relative: str) -> bool:
         target = self._fs_path(f"{self.root}/{relative}")
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
@@ -71,14 +72,15 @@ class Warehouse:
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def append(self, name: str, df: DataFrame) -> None:
-        out = schemas.conform(df, schemas.TABLES[name]).write.mode("append")
+        """Add rows; a row against the table's declaration stops the write, and nothing of it becomes visible."""
+        out = schemas.enforced(df, name).write.mode("append")
         if name in PARTITION:
             out = out.partitionBy(PARTITION[name])
         out.parquet(self.path(name))
 
     def runs(self) -> DataFrame:
         """Current state of every run that was not purged."""
-        return ledger.run_state(self.read("run_events")).where(F.col("status") != PURGED)
+        return ledger.run_state(self.read("run_events")).where(F.col("status") != schemas.PURGED)
 
     def latest_run_id(self) -> int | None:
         return ledger.latest_run(self.runs()).first()[0]
@@ -115,8 +117,12 @@ class Warehouse:
     def save_drafts(self, drafts: DataFrame) -> None:
         """Append prepared drafts (see reports.draft_rows) with the next summary ids."""
         top = self.summaries().agg(F.max("summary_id")).first()[0] or 0
-        keyed = number_rows(drafts, ["created_at", "source_run_id"], top, "summary_id")
-        self.append("executive_summaries", keyed)
+        unique = [c for c in drafts.columns if c not in ("created_at", "source_run_id")]
+        keyed, staged = number_rows(drafts, ["created_at", "source_run_id", *unique], top, "summary_id")
+        try:
+            self.append("executive_summaries", keyed)
+        finally:
+            self.remove(staged)
 
     # --- removal ----------------------------------------------------------------------------
 
@@ -131,17 +137,19 @@ class Warehouse:
 
     def purge(self, plan: DataFrame) -> None:
         """Carry out a retention plan in its step order; the plan has one row per run and table."""
+        steps = plan.select("step", "table_name", "run_id").distinct().orderBy("step", "run_id")
         gone = []
-        for row in plan.select("step", "table_name", "run_id").distinct().orderBy("step", "run_id").collect():
+        for row in steps.toLocalIterator():  # a partition of the plan at a time
             if row["table_name"] == "ingestion_runs":
-                gone.append(row["run_id"])
+                gone.append({"run_id": row["run_id"]})
             else:
                 self.drop_run(row["table_name"], row["run_id"])
         if gone:
-            last = self.read("run_events").where(F.col("run_id").isin(gone))
+            marked = small_table(self.spark, gone, "run_id long")
+            last = self.read("run_events").join(marked, "run_id", "left_semi")
             state = last.groupBy("run_id").agg(F.max_by(F.struct(*last.columns), "event_seq").alias("s"))
             marks = state.select("s.*").withColumns(
-                {"event_seq": F.col("event_seq") + 1, "status": F.lit(PURGED)})
+                {"event_seq": F.col("event_seq") + 1, "status": F.lit(schemas.PURGED)})
             self.append("run_events", marks.coalesce(1))
 
     def erase_owner(self, owner: str) -> None:

@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from snapledger.plans.catalog import QUERIES
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = {name: q.sql for name, q in QUERIES.items() if q.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +15,9 @@ def con():
 
 
 def test_every_query_has_an_equivalent():
-    assert set(entry.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_result(spark, con, name):
-    assert compare(spark, con, SF, entry.queries()[name], SQL[name]) is None
+    assert compare(spark, con, SF, QUERIES[name].build, SQL[name]) is None

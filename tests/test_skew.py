@@ -32,10 +32,11 @@ def test_a_hot_duplicate_id(hot_rows):
     assert rules.unknown_statuses(hot_rows).count() == 6
 
 
-def test_rows_of_a_hot_id_are_spread_before_they_are_listed(hot_rows):
+def test_a_hot_id_is_cut_before_it_moves_and_listed_whole_elsewhere(hot_rows):
     plan = rules.duplicate_ids(hot_rows)._jdf.queryExecution().executedPlan().toString()
-    spread = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "block" in line]
-    assert spread and "REPARTITION" in spread[0]
+    assert "WindowGroupLimit" in plan  # on both sides of the exchange
+    members = rules.duplicate_members(hot_rows)
+    assert members.where("action_id = 'HOT'").count() == N // 3
 
 
 def test_hot_groups_in_metrics_and_integrity(spark, hot_rows):
