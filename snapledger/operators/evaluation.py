@@ -27,6 +27,27 @@ def numbers_in(drafts: DataFrame) -> DataFrame:
     return drafts.select("summary_id", "source_run_id", F.explode(plain).alias("number"))
 
 
+def context_numbers(contexts: DataFrame) -> DataFrame:
+    """(source_run_id, number) of every number in the JSON payload that was sent: counts, rates, dates, days.
+
+    contexts: source_run_id, payload. A rate also stands for its percentage with one decimal, as texts spell it.
+    """
+    found = F.regexp_extract_all(F.col("payload"), F.lit(NUMBER_PATTERN), F.lit(0))
+    plain = F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")))
+    number = contexts.select("source_run_id", F.explode(F.array_distinct(plain)).alias("number"))
+    rate = F.col("number").cast("double")
+    percent = number.where((rate > 0) & (rate < 1)).select("source_run_id", F.format_number(rate * 100, 1).alias("number"))
+    return number.unionByName(percent).distinct()
+
+
+def unexpected_fields(contexts: DataFrame, list_name: str = "top_overdue_actions", allowed: Sequence[str] = CONTEXT_FIELDS) -> DataFrame:
+    """EV-05: (source_run_id, field) of fields in a payload's rows that the whitelist lacks."""
+    rows = F.from_json(F.get_json_object("payload", f"$.{list_name}"), "array<map<string,string>>")
+    fields = F.array_distinct(F.flatten(F.transform(rows, F.map_keys)))
+    found = contexts.select("source_run_id", F.explode(fields).alias("field"))
+    return found.where(~F.col("field").isin(*allowed)).distinct()
+
+
 def ungrounded_numbers(drafts: DataFrame, context_numbers: DataFrame) -> DataFrame:
     """EV-01: numbers of a draft that its run's context does not contain.
 

@@ -13,6 +13,7 @@ from snapledger.operators.runs import latest_run
 # Roles that see confidential text as it is, and those limited to their own rows.
 CLEAR_ROLES = ("ROLE-03", "ROLE-06")
 OWN_ROWS_ROLE = "ROLE-04"
+UNMASKED_ROLE = "ROLE-06"
 # Order in which the tables of an expired run are emptied.
 PURGE_ORDER = (
     "data_quality_results", "stg_actions", "raw_actions", "executive_summaries", "ingestion_runs",
@@ -39,6 +40,25 @@ def masked(rows: DataFrame, role: str, salt: str, subject: str | None = None) ->
     return rows.withColumns({"owner": owner, "action_name": F.lit(None).cast("string")})
 
 
+def masked_findings(findings: DataFrame, role: str) -> DataFrame:
+    """Findings as a role may see them: keys and messages are for the unmasked role alone, others see which check fired."""
+    if role == UNMASKED_ROLE:
+        return findings
+    return findings.withColumns({c: F.lit(None).cast("string") for c in ("record_key", "message")})
+
+
+def subject_rows(subject: str) -> dict[str, Column]:
+    """Per table the condition that a row is about a person: the owner, or a text that names them."""
+    who = F.lit(subject)
+    hits = {
+        "stg_actions": F.col("owner") == who,
+        "raw_actions": F.col("owner") == who,
+        "data_quality_results": (F.col("record_key") == who) | F.contains(F.col("message"), who),
+        "executive_summaries": F.contains(F.col("summary_text"), who),
+    }
+    return {name: F.coalesce(hit, F.lit(False)) for name, hit in hits.items()}
+
+
 def tokenized_owners(rows: DataFrame, salt: str) -> DataFrame:
     return rows.withColumn("owner", token("owner", salt))
 
@@ -80,20 +100,17 @@ def erasure_report(
     subject: str, raw: DataFrame, facts: DataFrame, findings: DataFrame, summaries: DataFrame
 ) -> DataFrame:
     """Per table and run: rows, rows of the subject and rows left after erasing them."""
-    def count(df: DataFrame, name: str, hit: Column, key: str = "run_id") -> DataFrame:
+    hits = subject_rows(subject)
+
+    def count(df: DataFrame, name: str, key: str = "run_id") -> DataFrame:
         sizes = df.groupBy(F.col(key).alias("run_id")).agg(
-            F.count(F.lit(1)).alias("rows_before"),
-            F.count_if(F.coalesce(hit, F.lit(False))).alias("subject_rows"),
+            F.count(F.lit(1)).alias("rows_before"), F.count_if(hits[name]).alias("subject_rows"),
         )
         return sizes.where("subject_rows > 0").select(F.lit(name).alias("table_name"), "*")
 
-    who = F.lit(subject)
     parts = [
-        count(facts, "stg_actions", F.col("owner") == who),
-        count(raw, "raw_actions", F.col("owner") == who),
-        count(findings, "data_quality_results",
-              (F.col("record_key") == who) | F.contains(F.col("message"), who)),
-        count(summaries, "executive_summaries", F.contains(F.col("summary_text"), who), "source_run_id"),
+        count(facts, "stg_actions"), count(raw, "raw_actions"), count(findings, "data_quality_results"),
+        count(summaries, "executive_summaries", "source_run_id"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -8,11 +8,11 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger import schemas
-from snapledger.operators import runs as ledger
+from snapledger.operators import governance, runs as ledger
 from snapledger.sources.folders import fresh_folder
 from snapledger.sources.local import small_table
 from snapledger.sources.numbering import number_rows
@@ -152,25 +152,33 @@ class Warehouse:
                 {"event_seq": F.col("event_seq") + 1, "status": F.lit(schemas.PURGED)})
             self.append("run_events", marks.coalesce(1))
 
-    def erase_owner(self, owner: str) -> None:
-        """Remove every row of an owner from raw and facts, rewriting only the runs it is in."""
-        for name in ("stg_actions", "raw_actions"):
-            table = self.read(name)
-            hit = table.where(F.col("owner") == F.lit(owner))
-            ids = [r["run_id"] for r in hit.select("run_id").distinct().collect()]
-            if not ids:
-                continue
-            keep = self.read_runs(name, ids).where(~F.col("owner").eqNullSafe(F.lit(owner)))
-            staged = fresh_folder(self.spark, f"erase-{name}")
-            keep.write.partitionBy("run_id").parquet(staged)
-            kept = self.spark.read.schema(schemas.TABLES[name]).parquet(staged)
-            (
-                kept.select(*schemas.TABLES[name].names).write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("run_id").parquet(self.path(name))
-            )
-            left = {r["run_id"] for r in kept.select("run_id").distinct().collect()}
-            for run_id in ids:
-                if run_id not in left:
-                    self.drop_run(name, run_id)
+    def erase_owner(self, owner: str) -> list[dict]:
+        """Remove every row about an owner from all tables, rewriting only the runs it is in.
+
+        Gives the erasure record: table_name, run_id, rows_before, subject_rows, rows_after; it names no person. Tables
+        go in this order: facts, raw rows, findings, summaries.
+        """
+        record = governance.erasure_report(
+            owner, self.read("raw_actions"), self.read("stg_actions"), self.findings(), self.summaries())
+        rows = [r.asDict() for r in record.orderBy("table_name", "run_id").toLocalIterator()]  # a row per table and run
+        for name, hit in governance.subject_rows(owner).items():
+            hurt = [r for r in rows if r["table_name"] == name]
+            if hurt:
+                self._rewrite(name, [r["run_id"] for r in hurt if r["rows_after"]], ~hit)
+                for r in hurt:
+                    if not r["rows_after"]:
+                        self.drop_run(name, r["run_id"])
+        return rows
+
+    def _rewrite(self, name: str, run_ids: list[int], keep: Column) -> None:
+        """Replace some runs' rows by those to keep; they are staged first, as a table can't be read while it is replaced."""
+        if not run_ids:
+            return
+        key, schema = PARTITION[name], schemas.TABLES[name]
+        staged = fresh_folder(self.spark, f"erase-{name}")
+        try:
+            self.read_runs(name, run_ids).where(keep).write.partitionBy(key).parquet(staged)
+            kept = self.spark.read.schema(schema).parquet(staged).select(*schema.names)
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self.path(name))
+        finally:
             self.remove(staged)

@@ -189,12 +189,53 @@ def test_erasing_an_owner(wh, tmp_path):
     got = sorted((r.table_name, r.run_id, r.rows_before, r.subject_rows, r.rows_after) for r in report.collect())
     assert got == [("raw_actions", 1, 9, 3, 6), ("raw_actions", 2, 1, 1, 0),
                    ("stg_actions", 1, 9, 3, 6), ("stg_actions", 2, 1, 1, 0)]
-    wh.erase_owner("mina")
+    drafts = wh.spark.createDataFrame(
+        [("mina is late", 1, datetime(2031, 3, 16), REF, None), ("nobody is named", 1, datetime(2031, 3, 17), REF, None)],
+        "summary_text string, source_run_id long, created_at timestamp_ntz, reference_date date, project_filter string")
+    wh.save_drafts(reports.draft_rows(drafts, "p", "m", "v"))
+    noted = wh.findings().count()
+    record = wh.erase_owner("mina")
+    assert {(r["table_name"], r["run_id"]): (r["rows_before"], r["rows_after"]) for r in record} == {
+        ("raw_actions", 1): (9, 6), ("raw_actions", 2): (1, 0), ("stg_actions", 1): (9, 6), ("stg_actions", 2): (1, 0),
+        ("executive_summaries", 1): (2, 1)}
+    assert "mina" not in str(record) and wh.findings().count() == noted
+    assert [r.summary_text.split("\n")[-1] for r in wh.summaries().collect()] == ["nobody is named"]
     for name in ("raw_actions", "stg_actions"):
         left = wh.read(name)
         assert left.where("owner = 'mina'").isEmpty() and left.count() == 6
 
 
+def test_findings_that_name_a_person_are_erased(wh):
+    rows = [(1, 1, "DQ-03", "mina", "warning", "x"), (2, 1, "DQ-03", "k", "warning", "about mina"), (3, 1, "DQ-03", None, "warning", "other")]
+    found = wh.spark.createDataFrame(rows, "quality_result_id long, run_id long, check_name string, record_key string, severity_class string, message string")
+    wh.append("data_quality_results", found.withColumn("created_at", F.lit(datetime(2031, 3, 1)).cast("timestamp_ntz")))
+    wh.erase_owner("mina")
+    assert [r.quality_result_id for r in wh.findings().collect()] == [3]
+
+
+def test_roles_see_findings_and_rows_of_their_scope(golden):
+    facts = golden.latest_facts()
+    keys = golden.spark.createDataFrame([("a", "mina"), ("b", "ola"), ("b", "ola")], "actor string, owner string")
+    seen = {a: {r.owner for r in governance.row_scope(facts, keys, a).collect()} for a in ("a", "b", "c")}
+    assert seen == {"a": {"mina"}, "b": {"ola"}, "c": set()}
+    assert governance.row_scope(governance.row_scope(facts, keys, "a"), keys, "b").isEmpty()
+    found = golden.spark.createDataFrame([("DQ-02", "7", "row 7")], "check_name string, record_key string, message string")
+    assert [tuple(governance.masked_findings(found, r).first()) for r in ("ROLE-06", "ROLE-03", "ROLE-01")] == [
+        ("DQ-02", "7", "row 7"), ("DQ-02", None, None), ("DQ-02", None, None)]
+
+
+def test_drafts_are_held_against_the_context_that_was_sent(golden):
+    from snapledger.operators import evaluation
+
+    doc = reports.context_document(golden.latest_facts(), golden.runs(), 2)
+    sent = reports.context_json(doc).select(F.lit(1).cast("long").alias("source_run_id"), "payload")
+    text = "On 2031-03-10, 4 of 9 items are late, by up to 59 days; 33.3% are done; 77 are not there."
+    drafts = golden.spark.createDataFrame([(5, 1, text)], "summary_id long, source_run_id long, summary_text string")
+    assert [r.number for r in evaluation.ungrounded_numbers(drafts, evaluation.context_numbers(sent)).collect()] == ["77"]
+    assert evaluation.unexpected_fields(sent).isEmpty()
+    assert {r.field for r in evaluation.unexpected_fields(sent, allowed=("owner", "due_date")).collect()} == set(reports.CONTEXT_FIELDS) - {"owner", "due_date"}
+
+
 def test_drafts_and_history(wh):
     texts = wh.spark.createDataFrame(
         [("A draft", 1, datetime(2031, 3, 16, h), date(2031, 3, 15), p) for h, p in enumerate([None, "Mill", None])]
