@@ -108,9 +108,21 @@ def fit(index: np.ndarray, row: np.ndarray, positive: np.ndarray, prior: float)
         weights -= step * np.bincount(index, slope[row], len(words))
         weights = np.sign(weights) * np.maximum(np.abs(weights) - step * PENALTY, 0)
         bias -= step * slope.sum()
+    margin = bias + np.bincount(row, weights[index], len(positive))
     out = np.zeros(1 << BITS, np.float32)
     out[words] = weights
-    return out, float(bias)
+    return out, float(bias - _border(margin, positive, prior))
+
+
+def _border(margin: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The margin at which calling texts toxic is right most often, as P and U estimate it.
+
+    Of all texts, prior * (share of P above) are rightly called and (share of U above) less that wrongly.
+    """
+    level, place = np.unique(margin, return_inverse=True)
+    above = lambda kind: np.cumsum(np.bincount(place[kind], minlength=len(level))[::-1])[::-1] / max(1, kind.sum())
+    best = int(np.argmax(2 * prior * above(positive) - above(~positive)))
+    return float(level[best] if best == 0 else (level[best] + level[best - 1]) / 2)
 
 
 def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
