@@ -10,8 +10,8 @@ from snapledger.llm.bagminhash import op3_near_dedup  # noqa: E402
 from snapledger.llm.bpe import op9_bpe  # noqa: E402
 from snapledger.llm.chat import OP8_SQL, op8_chat  # noqa: E402
 from snapledger.llm.decontaminate import op6_decontamination  # noqa: E402
-from snapledger.llm.embeddings import op10_embeddings  # noqa: E402
-from snapledger.llm.html import op1_html  # noqa: E402
+from snapledger.llm.embeddings import OP10_SQL, op10_embeddings  # noqa: E402
+from snapledger.llm.html import OP1_SQL, op1_html  # noqa: E402
 from snapledger.llm.pii import op5_pii  # noqa: E402
 from snapledger.llm.quality import op2_quality  # noqa: E402
 from snapledger.llm.sharding import op4_sharding  # noqa: E402
@@ -23,6 +23,6 @@ QUERIES = {
     "op9_bpe": op9_bpe, "op10_embeddings": op10_embeddings,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op8_chat": OP8_SQL}
+SQL = {"op1_html": OP1_SQL, "op8_chat": OP8_SQL, "op10_embeddings": OP10_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

