@@ -23,9 +23,9 @@ import hashlib
 import json
 import unicodedata
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapledger.llm.common import folder, slices
+from snapledger.llm.common import folder, slices, worker_memo
 
-LEXICON_WORDS = 100_000
-KNOWN_CHUNKS = 300_000  # texts between white space that a task remembers; beyond that it starts anew
+LEXICON_WORDS = 200_000
+KNOWN_CHUNKS = 250_000  # texts between white space, and words, that a worker remembers; beyond that it starts anew
 
 # Fixed values of the public model: its word pattern, and the printable stand-in of every byte.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -102,29 +102,33 @@ class Model:
             return [self.added[word[1:]]]
         parts = [self.bytes[b] for b in word.encode()]
         parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, pair = min((ranks.get(p, 1 << 60), p) for p in zip(parts, parts[1:]))
-            if best == 1 << 60:
+        # One merge at a time, the leftmost of the best rank; only the ranks beside it change.
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids)
 
 
-@lru_cache(maxsize=4)
 def model_of(spec: str) -> Model:
-    return Model(json.loads(spec))
+    """The model of a tokenizer file's text; a worker reads it once."""
+    memo = worker_memo("bpe-model")
+    if spec not in memo:
+        memo.clear()
+        memo[spec] = Model(json.loads(spec))
+    return memo[spec]
 
 
 def compiled(words: dict[str, list[int]]) -> bytes:
@@ -197,19 +201,34 @@ class Lexicon:
         state, rank = len(self.final) - 1, 0
         first, labels = self.first, self.labels
         for byte in word.encode("utf-8", "surrogatepass"):
-            for arc in range(first[state], first[state + 1]):
-                if labels[arc] == byte:
-                    break
-            else:
+            end = first[state + 1]
+            arc = bisect_left(labels, byte, first[state], end)  # arcs of a state are in the order of their labels
+            if arc == end or labels[arc] != byte:
                 return None
             rank += self.offsets[arc]
             state = self.targets[arc]
         return list(self.ids[self.at[rank] : self.at[rank + 1]]) if self.final[state] else None
 
 
-@lru_cache(maxsize=4)
 def lexicon_of(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
+    """The lexicon among Spark's files; a worker maps it once."""
+    memo = worker_memo("bpe-lexicon")
+    if name not in memo:
+        memo.clear()
+        memo[name] = Lexicon(SparkFiles.get(name))
+    return memo[name]
+
+
+Spelling = tuple[str, str, int]  # ids and tokens joined by spaces, and how many
+
+
+def _remembered(lexicon: str) -> tuple[dict[str, Spelling], dict[str, Spelling]]:
+    """What a worker knows of chunks and of words, for one lexicon at a time."""
+    memo = worker_memo("bpe-known")
+    if lexicon not in memo:
+        memo.clear()
+        memo[lexicon] = ({}, {})
+    return memo[lexicon]
 
 
 def word_counts(docs: DataFrame, spec: str) -> DataFrame:
@@ -242,9 +261,15 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
 def lexicon_file(docs: DataFrame, spec: str, size: int = LEXICON_WORDS) -> str:
     """Compile the `size` most frequent words and ship the file; gives its name among Spark's files."""
     spark = docs.sparkSession
-    model = model_of(spec)
     top = word_counts(docs, spec).orderBy(F.desc("n"), "word").limit(size).select("word")
-    words = {r["word"]: model.merged(r["word"]) for r in top.toLocalIterator()}  # `size` rows at most
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = model_of(spec).merged
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([merged(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+
+    table = top.mapInArrow(spell, "word string, ids array<int>").toArrow()  # `size` rows at most
+    words = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist()))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm, uri = spark.sparkContext._jvm, f"{folder(spark)}/{name}"
     path = jvm.org.apache.hadoop.fs.Path(uri)
@@ -268,16 +293,22 @@ def coded(docs: DataFrame, spec: str, lexicon: str, columns: dict[str, str]) ->
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = model_of(spec), lexicon_of(lexicon)
-        known: dict[str, tuple[str, str, int]] = {}
+        known, seen = _remembered(lexicon)
+
+        def spelt(word: str) -> Spelling:
+            ids = words.find(word)
+            if ids is None:
+                ids = model.merged(word)
+            if len(seen) >= KNOWN_CHUNKS:
+                seen.clear()
+            seen[word] = out = (" ".join(map(str, ids)), model.decode(ids), len(ids))
+            return out
 
-        def learn(chunk: str) -> tuple[str, str, int]:
-            ids: list[int] = []
-            for word in model.words(chunk):
-                found = words.find(word)
-                ids += model.merged(word) if found is None else found
+        def learn(chunk: str) -> Spelling:
+            parts = [p for p in [seen.get(w) or spelt(w) for w in model.words(chunk)] if p[2]]
             if len(known) >= KNOWN_CHUNKS:
                 known.clear()
-            known[chunk] = out = (" ".join(map(str, ids)), model.decode(ids), len(ids))
+            known[chunk] = out = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
             return out
 
         want = set(columns.values())
