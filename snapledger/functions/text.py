@@ -66,9 +66,3 @@ def render_count(col: Column | str) -> Column:
 def render_percent(col: Column | str) -> Column:
     """One-decimal percentage; '-' for NULL."""
     return F.coalesce(F.concat(F.format_number(_c(col) * 100, 1), F.lit("%")), F.lit("-"))
-
-
-def quote_csv(col: Column | str) -> Column:
-    """RFC 4180 quoting of one field."""
-    c = F.coalesce(_c(col), F.lit(""))
-    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -426,17 +427,20 @@ def _preview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+def _findings_at(spark: SparkSession, sf: str, run_id: int) -> DataFrame:
+    """Findings of one run, which restricts the rows before any rule looks at them."""
+    rows, names = (t(spark, sf).where(F.col("run_id") == run_id) for t in (td.dirty_rows, td.headers))
+    lists = rules.header_lists(names)
+    return rules.all_findings(rules.usable_rows(rows, lists), lists)
+
+
 @_query("findings_of_run", f"""
     select cast(row_number() over (order by check_name, position) as integer) as place,
            check_name, record_key, severity_class, message from findings where run_id = {_LATEST}""",
         td.SQL_DIRTY, _FINDINGS)
 def _findings_of_latest(spark: SparkSession, sf: str) -> DataFrame:
-    """The run is resolved once and restricts the rows before any rule looks at them."""
     latest = ledger_ops.latest_run(td.ledger(spark, sf)).first()[0]
-    rows, names = (t(spark, sf).where(F.col("run_id") == latest) for t in (td.dirty_rows, td.headers))
-    lists = rules.header_lists(names)
-    found = rules.all_findings(rules.usable_rows(rows, lists), lists)
-    of_run = reports.findings_of_run(found, F.lit(latest))
+    of_run = reports.findings_of_run(_findings_at(spark, sf, latest), F.lit(latest))
     place = F.rank().over(Window.orderBy("quality_result_id"))  # one run's findings
     return of_run.select(place.alias("place"), "check_name", "record_key", "severity_class", "message")
 
@@ -690,25 +694,38 @@ def _saved_drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("weekly_report", f"""
-    select 'header' as section, 1::bigint as row_count
-    union all select 'portfolio_summary', 1
-    union all select 'by_project', (select count(distinct project_name) from cur)
-    union all select 'overdue_detail', (select count(*) from cur where is_overdue)
-    union all select 'overdue_by_owner', (select count(distinct owner) from cur where is_overdue)
-    union all select 'data_notes', (select count(*) from (select distinct check_name, severity_class
-        from findings where run_id = {_LATEST}))""",
+    select 'header' as section, source_file as item, run_id as figure from ledger where run_id = {_LATEST}
+    union all select 'portfolio_summary', unnest(['total_actions', 'overdue_actions', 'owners_with_overdue_actions']),
+        unnest([count(*), count(*) filter (is_overdue), count(distinct owner) filter (is_overdue)]) from cur
+    union all select 'by_project', project_name, count(*) filter (is_overdue) from cur group by 2
+    union all select 'overdue_detail', action_id, days_overdue from cur where is_overdue
+    union all select 'overdue_by_owner', owner, count(*) from cur where is_overdue group by 2
+    union all select 'data_notes', check_name || ' ' || severity_class, count(*)
+        from findings where run_id = {_LATEST} group by 2""",
         td.SQL_RUN_FACTS, td.SQL_DIRTY.replace(td.SQL_LEDGER + ", ", ""), _FINDINGS, _CURRENT)
 def _weekly(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the six sections and count what was written."""
+    """Write the six sections and read from each what its rows are about and a figure of theirs."""
     out = fresh_folder(spark, "report")
-    sections = reports.weekly_report(td.run_facts(spark, sf), td.ledger(spark, sf), _findings(spark, sf))
-    counts = None
+    runs = td.ledger(spark, sf)
+    latest = ledger_ops.latest_run(runs).first()[0]
+    sections = reports.weekly_report(td.run_facts(spark, sf), runs, _findings_at(spark, sf, latest))
+    shown = {
+        "header": ("source_file", "run_id"), "by_project": ("project_name", "overdue_actions"),
+        "overdue_detail": ("action_id", "days_overdue"), "overdue_by_owner": ("owner", "overdue_actions"),
+        "data_notes": ("concat_ws(' ', check_name, severity_class)", "findings"),
+        "portfolio_summary": None,
+    }
+    parts = []
     for name, rows in sections.items():
         rows.write.parquet(f"{out}/{name}")
-        n = spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
-        n = n.select(F.lit(name).alias("section"), "row_count")
-        counts = n if counts is None else counts.unionByName(n)
-    return counts
+        stored = spark.read.parquet(f"{out}/{name}")
+        if shown[name] is None:
+            item, figure = "item", "figure"
+            stored = stored.unpivot([], ["total_actions", "overdue_actions", "owners_with_overdue_actions"], item, figure)
+        else:
+            item, figure = shown[name]
+        parts.append(stored.select(F.lit(name).alias("section"), F.expr(item).alias("item"), F.expr(figure).cast("bigint").alias("figure")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- governance ------------------------------------------------------------------------------

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests)."""
+    """The shared folder the session names; a temporary one only where driver and tasks are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="snapledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

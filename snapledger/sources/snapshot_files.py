@@ -49,6 +49,35 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> D
     return reader.option("recursiveFileLookup", "true").load(path)
 
 
+def hidden_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files under `paths` whose names Spark's listing passes over: those that begin with `_` or `.`.
+
+    Markers of finished jobs aren't snapshots. Files in hidden folders are not looked for.
+    """
+    fs_api, conf, found = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), []
+    for text in paths:
+        pattern = fs_api.Path(text)
+        fs = pattern.getFileSystem(conf)
+        for root in fs.globStatus(pattern) or []:
+            inside = fs.listFiles(root.getPath(), True)
+            while inside.hasNext():
+                path = inside.next().getPath()
+                folders = path.toString().removeprefix(root.getPath().toString()).split("/")[:-1]
+                if path.getName()[0] in "_." and path.getName() != "_SUCCESS" and not any(f[:1] in ("_", ".") for f in folders):
+                    found.append(path.toString())
+    return sorted(found)
+
+
+def visible_copies(spark: SparkSession, hidden: list[str], folder: str) -> dict[str, str]:
+    """Copies of hidden files below `folder`, under names that Spark lists: copy -> original. Bytes pass through in pieces."""
+    fs_api, conf, copies = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), {}
+    for n, text in enumerate(hidden):
+        source, target = fs_api.Path(text), fs_api.Path(f"{folder}/{n}.csv")
+        fs_api.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        copies[target.getFileSystem(conf).makeQualified(target).toString()] = text
+    return copies
+
+
 def file_name(path_column: str = "path"):
     return F.element_at(F.split(F.col(path_column), "/"), -1)
 
@@ -237,15 +266,3 @@ def header_columns(records: DataFrame, key: str = "file_no") -> DataFrame:
 
 def data_rows(records: DataFrame) -> DataFrame:
     return records.where(F.col("source_row_number") > 0).drop("header", "problem")
-
-
-def read_plain_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Fast path for well-formed files: Spark's own parallel CSV reader, bound by name.
-
-    Only for files known to have no blank lines, short records or CR inside quotes; it yields
-    values without row numbers or field counts.
-    """
-    table = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    return table.select(
-        *[F.nullif(F.col(s), F.lit("")).alias(t) for s, t in zip(SOURCE_COLUMNS, TEXT_COLUMNS)]
-    )
