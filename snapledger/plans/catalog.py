@@ -676,7 +676,7 @@ _query("saved_drafts", """
              then text else '[ร่าง (DRAFT)]' || chr(10) || text end as summary_text,
         'p' as provider, 'm' as model_name, 'v1' as prompt_version
     from conversations
-      and not regexp_matches(text, '^[\\s\\p{Z}\\x{200B}\\x{FEFF}]*$')""")(
+      where not regexp_matches(text, '^[\\s\\p{Z}\\x{200B}\\x{FEFF}]*$')""")(
     lambda s, d: _saved_drafts(s, d))
 
 
