@@ -187,11 +187,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learnt = model(docs, labels)
     if isinstance(learnt, float):
         return docs.select("doc_id", *[F.lit(learnt).alias(c) for c in ("text_score", "meta_score", "score")])
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)
-
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The model travels with the function: a few thousand numbers, and its class by value.
         for batch in slices(batches, "text"):
-            rates = [pa.array(r.astype(np.float64)) for r in shared.value.score(*views(batch))]
+            rates = [pa.array(r.astype(np.float64)) for r in learnt.score(*views(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *rates], names=["doc_id", "text_score", "meta_score", "score"])
 
     return docs.select("doc_id", *COLUMNS).mapInArrow(rate, "doc_id long, text_score double, meta_score double, score double")
