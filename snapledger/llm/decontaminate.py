@@ -84,7 +84,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_docs = _positions(docs.select(F.col("key").alias("id"), words(F.col("text")).alias("words")), short)
     hits = of_docs.join(F.broadcast(of_items) if few else of_items, "seed")
     aligned = cut(hits.groupBy(F.col("id").alias("key"), "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits")).drop("hits"))
-    texts = docs.join(aligned.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    # Copies fold to one row in the tasks that read them, before any text moves.
+    texts = docs.dropDuplicates(["key"]).join(aligned.select("key").distinct(), "key", "left_semi")
     of_item = items.dropDuplicates(["id"]).select(F.col("id").alias("item"), F.col("item").alias("item_words"))
     compared = (
         aligned.join(texts.select("key", words(F.col("text")).alias("found")), "key")
