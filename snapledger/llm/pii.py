@@ -28,6 +28,7 @@ from snapledger.llm.common import cut, free_name, text_key
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.99
+BROADCAST_TERMS = 500_000
 CONTEXT = 80  # code points on either side of an entity
 MIN_TERM = 3
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -134,12 +135,18 @@ def disclosing(docs: DataFrame) -> DataFrame:
         .groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= SUPPORT)
     )
     together = cut(together)
-    candidates = together.select("term").distinct()
-    present = docs.where("text is not null").select("key", F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term", "left_semi")
-    present = cut(present.distinct())
     n_texts = docs.where("text is not null").select("key").distinct().count()
-    of_term = present.groupBy("term").agg(F.count("*").alias("n_term"))
     information = -F.log(F.col("n_entity") / F.lit(max(n_texts, 1)))
+    # A word discloses only if it is in fewer texts than this. Most candidates are in far more: an estimate by sketch,
+    # six standard errors wide, sorts those out before words and texts are listed and counted exactly.
+    limit = F.max(F.col("n_both") * F.exp((1 - GENERALISE) * information)).alias("limit")
+    candidates = cut(together.groupBy("term").agg(limit))
+    words = docs.where("text is not null").select("key", F.explode(_words(F.col("text"))).alias("term"))
+    few = candidates.count() <= BROADCAST_TERMS  # else words and candidates meet by hash
+    estimated = words.join(F.broadcast(candidates) if few else candidates, "term").groupBy("term", "limit").agg(F.approx_count_distinct("key", 0.05).alias("n"))
+    rare = cut(estimated.where(F.col("n") * 0.7 <= F.col("limit")).select("term"))
+    present = cut(words.join(F.broadcast(rare) if few else rare, "term", "left_semi").distinct())
+    of_term = present.groupBy("term").agg(F.count("*").alias("n_term"))
     part = F.when(information > 0, 1 + F.log(F.col("n_both") / F.col("n_term")) / information).otherwise(0.0)
     levels = together.join(of_term, "term").groupBy("term").agg(F.max(part).alias("level")).where(F.col("level") > GENERALISE)
     return present.join(levels, "term").select("key", "term", "level")
