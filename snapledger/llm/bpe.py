@@ -124,7 +124,7 @@ class Model:
 
 def model_of(spec: str) -> Model:
     """The model of a tokenizer file's text; a worker reads it once."""
-    memo = worker_memo("bpe-model")
+    memo = worker_memo("bpe", "model")
     if spec not in memo:
         memo.clear()
         memo[spec] = Model(json.loads(spec))
@@ -212,7 +212,7 @@ class Lexicon:
 
 def lexicon_of(name: str) -> Lexicon:
     """The lexicon among Spark's files; a worker maps it once."""
-    memo = worker_memo("bpe-lexicon")
+    memo = worker_memo("bpe", "lexicon")
     if name not in memo:
         memo.clear()
         memo[name] = Lexicon(SparkFiles.get(name))
@@ -224,7 +224,7 @@ Spelling = tuple[str, str, int]  # ids and tokens joined by spaces, and how many
 
 def _remembered(lexicon: str) -> tuple[dict[str, Spelling], dict[str, Spelling]]:
     """What a worker knows of chunks and of words, for one lexicon at a time."""
-    memo = worker_memo("bpe-known")
+    memo = worker_memo("bpe", "known")
     if lexicon not in memo:
         memo.clear()
         memo[lexicon] = ({}, {})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -67,10 +67,18 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def worker_memo(name: str) -> dict:
-    """A dictionary that a Python worker keeps from task to task; functions travel by value, so their globals don't last."""
+def worker_memo(operator: str, name: str = "") -> dict:
+    """A dictionary that a Python worker keeps from task to task; functions travel by value, so their globals don't last.
+
+    It keeps those of one operator at a time: an operator that asks frees what another one left.
+    """
     module = sys.modules.setdefault("_llm_worker_memo", types.ModuleType("_llm_worker_memo"))
-    return module.__dict__.setdefault(name, {})
+    kept = module.__dict__.setdefault("kept", {})
+    if operator not in kept:
+        for memo in [m for memos in kept.values() for m in memos.values()]:
+            memo.clear()
+        kept.clear()
+    return kept.setdefault(operator, {}).setdefault(name, {})
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

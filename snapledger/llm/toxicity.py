@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapledger.llm.common import held_out, slices
+from snapledger.llm.common import held_out, slices, worker_memo
 from snapledger.llm.shingles import stem_hashes
 
 BITS = 20
@@ -141,6 +141,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("p", "text")  # bounded rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("toxicity")
         for batch in slices(batches, "text"):
             index, text = features(batch.column(1))
             at = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -166,6 +167,7 @@ def scored(docs: DataFrame, labels: DataFrame, score: str = "score", predicted:
     text_at = docs.columns.index("text")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("toxicity")
         weights, bias = shared.value
         for batch in slices(batches, "text"):
             index, text = features(batch.column(text_at), weights != 0)
