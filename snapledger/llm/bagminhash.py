@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import components, cut, free_name, slices, text_key
+from snapledger.llm.common import components, cut, free_name, slices, text_key, worker_memo
 from snapledger.llm.shingles import bags, mix, overlap
 
 THRESHOLD = 0.8
@@ -101,9 +102,10 @@ def signatures(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """key, sig (one byte of each component), bands (64-bit hashes), of every row whose text has a word."""
+    """key, sig (one byte of each component), bands (64-bit hashes), bytes, of every row whose text has a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("bagminhash")
         numbers = np.arange(BANDS, dtype=np.uint64)
         for batch in slices(batches, "text"):
             texts = bags(batch.column(1))
@@ -119,9 +121,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 batch.column(0).take(pa.array(full)),
                 pa.array([v.tobytes() for v in (values & np.uint64(255)).astype(np.uint8)]),
                 pa.ListArray.from_arrays(at, pa.array(bands.ravel().view(np.int64))),
-            ], names=["key", "sig", "bands"])
+                pc.binary_length(batch.column(1)).cast(pa.int64()).take(pa.array(full)),
+            ], names=["key", "sig", "bands", "bytes"])
 
-    return docs.select("key", "text").mapInArrow(sign, "key binary, sig binary, bands array<long>")
+    return docs.select("key", "text").mapInArrow(sign, "key binary, sig binary, bands array<long>, bytes long")
 
 
 def families(signatures_: DataFrame) -> DataFrame:
@@ -156,16 +159,17 @@ def _links(rows: list[tuple], other: list[tuple] | None, bag: dict) -> Iterator[
                 yield key, right[j][0]
 
 
-def verified(family: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that span every class. family: node, component; texts: key, sig, text, once per key."""
-    sized = family.join(texts.select(F.col("key").alias("node"), "sig", "text"), "node")
+def verified(family: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that span every class. family: node, component; signs: key, sig, bytes; texts: key, text; once per key."""
+    member = family.join(signs.select(F.col("key").alias("node"), "sig", "bytes"), "node")
     blocks = (
-        sized.groupBy("component")
-        .agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("n"))
+        member.groupBy("component")
+        .agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n"))
     )
     block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     dealt = (
-        sized.join(blocks, "component").withColumn("block", block)
+        member.join(blocks, "component").withColumn("block", block)
+        .join(texts.select(F.col("key").alias("node"), "text"), "node")
         # Every block meets itself and all others of its family, each two in one place.
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select(
@@ -201,21 +205,28 @@ def verified(family: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(key, component) of all text keys whose text is near another one's. docs: key, text."""
     docs = docs.where("text is not null")
-    signs = cut(signed(docs).groupBy("key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    signs = cut(signed(docs).groupBy("key").agg(*[F.first(c).alias(c) for c in ("sig", "bands", "bytes")]))
     family = cut(families(signs))
-    mine = family.select(F.col("node").alias("key"))
-    texts = docs.join(mine, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(signs.select("key", "sig"), "key")
-    return components(verified(family, texts)).withColumnRenamed("node", "key")
+    # Copies fold to one row in the tasks that read them, before any text moves.
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))
+    return components(verified(family, signs, texts)).withColumnRenamed("node", "key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every document."""
     keyed = docs.select("doc_id", "text", text_key("text").alias("key"))
     found = classes(keyed)
-    ids = keyed.select("doc_id", "key", F.coalesce(~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"), F.lit(True)).alias("alone"))
-    member = ids.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = member.where("not alone").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return member.join(least, "component", "left").select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    ids = keyed.select("doc_id", "key", _wordless().alias("alone"))
+    # Names are found by text, where copies have folded to one row, so a group of copies meets its name in a join only.
+    by_text = ids.where("not alone").groupBy("key").agg(F.min("doc_id").alias("least")).join(found, "key", "left")
+    by_text = by_text.withColumn("component", F.coalesce("component", "key"))
+    names = by_text.groupBy("component").agg(F.min("least").alias("class_id"))
+    of_text = by_text.join(names, "component").select("key", "class_id")
+    return ids.join(of_text, "key", "left").select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def _wordless():
+    return F.coalesce(~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"), F.lit(True))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -224,13 +235,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     key, part = free_name(docs, "text_key"), free_name(docs, "component")
     keyed = docs.withColumn(key, F.coalesce(text_key(F.col("text")), F.lit(b"").cast("binary")))
     found = classes(keyed.select(F.col(key).alias("key"), "text")).select(F.col("key").alias(key), F.col("component").alias(part))
-    alone = F.coalesce(~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"), F.lit(True))
-    narrow = (
-        keyed.select("doc_id", key, alone.alias("alone")).join(found, key, "left")
-        .withColumn(part, F.coalesce(part, key))
-    )
+    narrow = keyed.select("doc_id", key, _wordless().alias("alone"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k")
+    by_text = narrow.where("not alone").groupBy(key).agg(first).join(found, key, "left").withColumn(part, F.coalesce(part, key))
     keep = (
-        narrow.where("not alone").groupBy(part).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("k"))
+        by_text.groupBy(part).agg(F.min(F.struct("k.none", "k.doc_id", key)).alias("k"))
         .select(F.col("k")["doc_id"].alias("doc_id"), F.col(f"k.{key}").alias(key))
         .unionByName(narrow.where("alone").select("doc_id", key).distinct())
     )
