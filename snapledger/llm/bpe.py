@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from snapledger.llm.common import folder, slices, worker_memo
 
 LEXICON_WORDS = 200_000
-KNOWN_CHUNKS = 250_000  # texts between white space, and words, that a worker remembers; beyond that it starts anew
+KNOWN_CHUNKS = 200_000  # texts between white space, and words, that a worker remembers; beyond that it starts anew
 
 # Fixed values of the public model: its word pattern, and the printable stand-in of every byte.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
