@@ -9,10 +9,14 @@
    class, with its opening and closing tags paired.
 3. Template. Valid classes nest by their paths; the host's template is the set of their roles, each with the text runs
    that are the same on all pages (headings of menus, notices). It is as large as the host's layout, whatever the pages.
-4. Slots. What stands between template tokens of a page is a slot. The innermost template element around a slot names
-   it; slots in elements for furniture (menu, header, footer, sidebar, form, advert, notice, comments ...) and constant
-   texts outside the article are dropped. Of the others, those inside `article` or `main` are the text if there are
-   any, else all are. A host without enough pages has no template; then the page's own tags name its slots.
+4. Slots. What stands between template tokens of a page is a slot, named by the innermost template container around it.
+   The characters of a slot on all pages of the host, and those of them in links and in constant runs, add up in the
+   same folded rows; `verdicts` then keeps or drops it: a slot of mostly links or constants goes, also inside an article;
+   one that holds much of the host's varying text stays, also beside an article; where every other slot is dropped,
+   the one with most of the varying text stays whatever it is named.
+5. Fallback. Only where the slots leave it open (no template, or a slot of little text) the page's own tags decide:
+   furniture (menu, header, footer, sidebar, form, advert, notice, comments ...) is dropped, and text outside of
+   `article` or `main` where the page has text inside. Constant runs outside the article are dropped.
 
 Block tags end a block; inline tags don't. White space inside a block becomes one space, blocks are joined by one space,
 character references are decoded, and nothing else is dropped or cut.
@@ -26,7 +30,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import cut, slices, worker_memo
 
 PAGES = 3
+MOSTLY = 0.5  # a slot with less of its text varying and outside links is no text
+MUCH = 0.25  # of a host's varying text: such a slot is text beside an article, too
 
 # Element names of the public HTML vocabulary, by what they mean here.
 BLOCK = frozenset(
@@ -45,6 +50,8 @@ BLOCK = frozenset(
     "optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg math textarea title xmp noembed noframes".split())
+# Elements that hold a part of a page; what lies in others (paragraphs, headings, entries) belongs to the one around it.
+CONTAINERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form main menu nav ol section select table td th ul".split())
 FURNITURE = frozenset("nav header footer aside form button select dialog menu head".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -66,13 +73,14 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
 class Node:
     """An open element: its role, and whether it or one around it is furniture or an article."""
 
-    __slots__ = ("article", "below", "furniture", "name", "path", "role", "up")
+    __slots__ = ("article", "below", "furniture", "link", "name", "path", "role", "up")
 
     def __init__(self, name: str, attributes: str, up: Node | None):
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         self.name, self.up, self.below = name, up, {}
-        self.role = name + ("" if not own else "." + _NUMBERS.sub("0", " ".join(f"{k}={own[k]}" for k in sorted(own))))
+        self.role = name + ("" if not own else "." + _NUMBERS.sub("0", " ".join(f"{k}={own[k]}" for k in sorted(own))).replace("/", "|"))
         self.path = f"{up.path}/{self.role}" if up else ""
+        self.link = name == "a" or bool(up and up.link)
         self.article = name in ARTICLE or bool(up and up.article)
         # A heading block inside an article belongs to it.
         self.furniture = bool(up and up.furniture) or (name in FURNITURE and not (name == "header" and self.article))
@@ -174,64 +182,96 @@ def _text_role(node: Node | None, text: str) -> str:
     return f"{node.path if node else ''}#{xxhash.xxh3_64_hexdigest(text)}"
 
 
-def tokens(page: str) -> Counter:
-    """How often each token is on a page: opening tags `+path`, closing tags `-path`, and text runs under their path."""
-    out: Counter = Counter()
+def tokens(page: str) -> dict[str, list]:
+    """The tokens of a page: opening tags `+path`, closing tags `-path`, and text runs under their path.
+
+    Each with how often it is there, the characters of its text, those of them in links, the element of a run, and
+    what its tags say (1: article, 2: furniture, 3: both).
+    """
+    out: dict[str, list] = {}
+
+    def entry(token: str, node: Node) -> list:
+        if token not in out:
+            out[token] = [0, 0, 0, "", node.article + 2 * node.furniture]
+        return out[token]
+
     for kind, node, text, _ in parsed(page):
         if kind == "text":
-            # Inside an article or furniture a constant run changes nothing, so it needs no vector.
-            run = "" if node is not None and (node.article or node.furniture) else " ".join(text.split())
-            if run:
-                out[_text_role(node, run)] += 1
+            run = " ".join(text.split()) if node is not None else ""
+            if not run:
+                continue
+            own = entry("+" + node.path, node)
+            own[1] += len(run)
+            own[2] += len(run) * node.link
+            # Inside an article a constant run changes nothing, so it needs no vector; links are counted as such.
+            if not (node.article or node.furniture and node.link):
+                own = entry(_text_role(node, run), node)
+                own[0] += 1
+                own[1] += len(run) * (not node.link)
+                own[3] = "+" + node.path
         elif node is not None:
-            out[("+" if kind == "open" else "-") + node.path] += 1
+            entry(("+" if kind == "open" else "-") + node.path, node)[0] += 1
     return out
 
 
+def _hashed(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """site, token and its folded occurrence vector: pages, occurrences, most on one page, two sums of page hashes."""
+    """site, token and its folded occurrence vector: pages, occurrences, most on one page, two sums of page hashes.
+
+    Also the sums of its characters and of those in links, the token of the element that a run is in, and what tags say.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             folded: dict[tuple[str, int], list[int]] = {}
             text: dict[tuple[str, int], str] = {}
+            home: dict[tuple[str, int], int] = {}
             for site, page_id, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if not page:
                     continue
                 seed = xxhash.xxh3_64_intdigest(f"{page_id}\0{page}")
                 one, two = seed & 0x7FFFFFFF, seed >> 33
-                for token, n in tokens(page).items():
-                    key = (site, xxhash.xxh3_64_intdigest(token) - (1 << 63))
-                    if token[0] in "+-":
+                for token, (n, chars, link, around, kind) in tokens(page).items():
+                    key = (site, _hashed(token))
+                    if around:
+                        home[key] = _hashed(around)
+                    else:
                         text[key] = token
-                    entry = folded.setdefault(key, [0, 0, 0, 0, 0])
+                    entry = folded.setdefault(key, [0, 0, 0, 0, 0, 0, 0, kind])
                     entry[0] += 1
                     entry[1] += n
                     entry[2] = max(entry[2], n)
                     entry[3] += one * n
                     entry[4] += two * n
+                    entry[5] += chars
+                    entry[6] += link
             keys = list(folded)
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([text.get(k) for k in keys], pa.string())]
-            columns += [pa.array([folded[k][i] for k in keys], pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays(columns, names=["site", "token", "tag", "pages", "n", "most", "one", "two"])
+            columns += [pa.array([folded[k][i] for k in keys], pa.int64()) for i in range(8)] + [pa.array([home.get(k) for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["site", "token", "tag", "pages", "n", "most", "one", "two", "chars", "link", "kind", "home"])
 
-    schema = "site string, token long, tag string, pages long, n long, most long, one long, two long"
+    schema = "site string, token long, tag string, pages long, n long, most long, one long, two long, chars long, link long, kind long, home long"
     counted = pages.select("site", "page_id", "html").mapInArrow(count, schema)
     return counted.groupBy("site", "token").agg(
         F.first("tag", ignorenulls=True).alias("tag"), F.sum("pages").alias("pages"), F.sum("n").alias("n"),
-        F.max("most").alias("most"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+        F.max("most").alias("most"), F.sum("one").alias("one"), F.sum("two").alias("two"),
+        F.sum("chars").alias("chars"), F.sum("link").alias("link"), F.max("kind").alias("kind"), F.max("home").alias("home"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """site, roles (the template's opening tags) and constants (hashes of its text runs) of every site with a template."""
+    """Of every site with a template: site, roles (the template's opening tags), constants (hashes of its text runs) and
+    parts (its slots with what their tags say, and their characters: all, in links, in constants)."""
     # A token on one page of a slice can still be on many pages; only the sums over all slices decide.
-    found = vectors(pages).where(F.col("pages") >= PAGES)
+    found = cut(vectors(pages).where((F.col("pages") >= PAGES) | F.col("tag").startswith("+") & (F.col("chars") > 0)))
     sizes = pages.where(F.length("html") > 0).groupBy("site").agg(F.count("*").alias("site_pages"))
-    frequent = cut(found.join(sizes, "site").where((F.col("pages") * 2 >= F.col("site_pages"))))
+    frequent = cut(found.where(F.col("pages") >= PAGES).join(sizes, "site").where((F.col("pages") * 2 >= F.col("site_pages"))))
     vector = ["site", "pages", "n", "one", "two"]
     # Ordered tags: a class holds as many closing as opening tags unless the elements are void or never closed.
     classes = frequent.where("tag is not null").groupBy(*vector).agg(
@@ -239,31 +279,63 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max("most").alias("most"))
     # Repeated tags (list entries, paragraphs) vary between pages and carry no layout of their own.
     valid = classes.where((F.col("most") * F.col("pages") == F.col("n")) & (F.size("opens") > 0))
-    roles = valid.groupBy("site").agg(F.flatten(F.collect_list("opens")).alias("roles"))
-    constant = frequent.where("tag is null and n = pages and pages = site_pages").groupBy("site").agg(F.collect_set("token").alias("constants"))
-    return roles.join(constant, "site", "left")
+    roles = cut(valid.groupBy("site").agg(F.flatten(F.collect_list("opens")).alias("roles")))
+    constant = cut(frequent.where("tag is null and n = pages and pages = site_pages").select("site", "token", "home", "chars"))
+    constants = constant.groupBy("site").agg(F.collect_set("token").alias("constants"))
+    return roles.join(constants, "site", "left").join(_parts(found, roles, constant), "site", "left")
+
+
+def _parts(found: DataFrame, roles: DataFrame, constant: DataFrame) -> DataFrame:
+    """(site, parts): the slots of every template with their sums. Every text belongs to the innermost container around it."""
+    name = lambda role: F.split(F.element_at(F.split(role, "/"), -1), r"\.")[0]
+    holding = roles.select("site", F.filter("roles", lambda r: name(r).isin(*sorted(CONTAINERS))).alias("holding"))
+    elements = found.where(F.col("tag").startswith("+")).withColumn("path", F.substring(F.col("tag"), F.lit(2), F.length("tag")))
+    # Those around a path are beginnings of each other, so the innermost is the greatest.
+    around = F.array_max(F.filter("holding", lambda r: (F.col("path") == r) | F.startswith(F.col("path"), F.concat(r, F.lit("/")))))
+    placed = cut(elements.join(holding, "site").withColumn("slot", around).where("slot is not null").select("site", "token", "path", "slot", "chars", "link", "kind"))
+    same = constant.select("site", F.col("home").alias("token"), F.col("chars").alias("same")).join(placed.select("site", "token", "slot"), ["site", "token"])
+    none = F.lit(0).cast("long")
+    sums = placed.select("site", "slot", F.when(F.col("path") == F.col("slot"), F.col("kind")).alias("kind"), "chars", "link", none.alias("same")).unionByName(
+        same.select("site", "slot", F.lit(None).cast("long").alias("kind"), none.alias("chars"), none.alias("link"), "same"))
+    summed = sums.groupBy("site", "slot").agg(F.max("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("link").alias("link"), F.sum("same").alias("same"))
+    return summed.groupBy("site").agg(F.collect_list(F.struct("slot", "kind", "chars", "link", "same")).alias("parts"))
+
+
+def verdicts(parts: list[tuple]) -> dict[str, bool]:
+    """Which slots of a host are text and which are not, as far as their sums tell. parts: (slot, kind, chars, link, same)."""
+    varying = {slot: chars - link - same for slot, _, chars, link, same in parts}
+    text = {slot for slot, _, chars, _, _ in parts if chars and varying[slot] >= MOSTLY * chars}
+    if not text:
+        return {}
+    total = sum(varying[slot] for slot in text)
+    out = {slot: False for slot, _, chars, _, _ in parts if chars and slot not in text}
+    # Of a slot that holds none of its own text the kind is unknown; its tags decide.
+    plain = {slot for slot, kind, *_ in parts if slot in text and kind in (0, 1)}
+    out |= {slot: True for slot in plain if varying[slot] >= MUCH * total}
+    if not plain:
+        out |= {slot: True for slot in text if varying[slot] >= MOSTLY * total}
+    return out
 
 
 def slots(page: str, roles: frozenset) -> Iterator[tuple[Node | None, Node | None, str, bool]]:
-    """(slot, element, text, block) of a page: each text run with the innermost template element around it.
+    """(slot, element, text, block) of a page: each text run with the innermost template container around it.
 
-    Without a template every element counts as one of it. block: a block ends here, and there is no text.
+    block: a block ends here, and there is no text.
     """
     for kind, node, text, block in parsed(page):
         if kind == "text":
             slot = node
-            while roles and slot is not None and slot.path not in roles:
+            while slot is not None and (slot.name not in CONTAINERS or slot.path not in roles):
                 slot = slot.up
             yield slot, node, text, False
         elif block:
             yield None, node, "", True
 
 
-def main_text(page: str, roles: frozenset, constants: frozenset) -> str:
-    """The text of a page's main slots, given its site's template."""
-    blocks: dict[bool, list[str]] = {True: [], False: []}  # inside the article, and elsewhere outside of furniture
+def main_text(page: str, roles: frozenset, constants: frozenset, judged: dict[str, bool] | None = None) -> str:
+    """The text of a page's main slots, given its site's template and what its sums say of its slots."""
+    blocks: dict[bool, list[str]] = {True: [], False: []}  # inside a main slot or the article, and elsewhere outside of furniture
     runs: dict[bool, list[str]] = {True: [], False: []}
-    article = False
 
     def close() -> None:
         for inside in (True, False):
@@ -276,14 +348,15 @@ def main_text(page: str, roles: frozenset, constants: frozenset) -> str:
     for slot, node, text, ends in slots(page, roles):
         if ends:
             close()
-            article |= node is not None and node.article and not node.furniture
-        elif node is None or not (node.furniture or slot is not None and slot.furniture):
-            inside = node is not None and node.article
-            constant = not inside and constants and xxhash.xxh3_64_intdigest(_text_role(node, " ".join(text.split()))) - (1 << 63) in constants
-            if not constant:
-                runs[inside].append(text)
+            continue
+        verdict = judged.get(slot.path) if judged and slot is not None else None
+        if verdict is False or node is not None and node.furniture and not (verdict and slot.furniture):
+            continue
+        inside = node is not None and node.article
+        if inside or not (constants and _hashed(_text_role(node, " ".join(text.split()))) in constants):
+            runs[bool(inside or verdict)].append(text)
     close()
-    return " ".join(blocks[article])
+    return " ".join(blocks[True] or blocks[False])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -293,15 +366,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     with_template = sited.join(template, "site", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, frozenset(), frozenset())
+        last: tuple = (None, frozenset(), frozenset(), {})
         for batch in slices(batches, "html"):
             columns = {n: batch.column(n).to_pylist() for n in ("html", "site")}
-            roles, constants = batch.column("roles"), batch.column("constants")
+            roles, constants, parts = batch.column("roles"), batch.column("constants"), batch.column("parts")
             texts = []
             for i, (page, site) in enumerate(zip(columns["html"], columns["site"])):
                 if last[0] != site:
-                    last = (site, frozenset(roles[i].as_py() or ()), frozenset(constants[i].as_py() or ()))
-                texts.append(main_text(page or "", last[1], last[2]))
+                    last = (site, frozenset(roles[i].as_py() or ()), frozenset(constants[i].as_py() or ()), verdicts([tuple(p.values()) for p in parts[i].as_py() or ()]))
+                texts.append(main_text(page or "", *last[1:]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return with_template.mapInArrow(extract, "page_id long, url string, text string")

@@ -66,6 +66,24 @@ def test_html_equivalence_classes(spark):
     assert set(row["roles"]) == {"/div.id=a", "/div.id=a/ul", "/section.class=b"}  # list entries vary
 
 
+def test_html_slots_decide_before_tags(spark, monkeypatch):
+    link = lambda k: "".join(f"<a href=/{w}>{w} {w}</a>" for w in prose(3000 + k, 12))
+    own = lambda k, n=30: " ".join(prose(k, n))
+    linked = lambda k: f"<div class=xa>{link(k)}</div><div class=xb><p>{own(k)} <a href=/z>{k}</a></p></div>"
+    inside = lambda k: f"<article><p>{own(k)}</p><div class=xc>{link(k)}</div></article>"
+    beside = lambda k: f"<article><p>{own(k, 8)}</p></article><div class=xd><p>{own(500 + k, 60)}</p></div><div class=xe>by {k}</div>"
+    named = lambda k: f"<nav>{link(k)}</nav><div class=widget><p>{own(k)}</p></div>"
+    made = {"a": (linked, lambda k: f"{own(k)} {k}"), "b": (inside, own), "c": (beside, lambda k: f"{own(k, 8)} {own(500 + k, 60)}"), "d": (named, own)}
+    rows = [(100 * i + k, f"http://{h}.example/", make(k)) for i, (h, (make, _)) in enumerate(made.items()) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages).collect()}
+    assert got == {100 * i + k: want(k) for i, (_, want) in enumerate(made.values()) for k in range(6)}
+    whole = html.templates
+    monkeypatch.setattr(html, "templates", lambda pages: whole(pages).withColumn("roles", F.array().cast("array<string>")))
+    without = {r["page_id"]: r["text"] for r in html.extracted(pages).collect()}
+    assert all(without[p] != got[p] for p in got)
+
+
 def test_html_unclosed_and_stray_tags():
     assert html.main_text("<article><p>a<p>b</div><ul><li>c<li>d</article> tail", frozenset(), frozenset()) == "a b c d"
     assert html.main_text("x < y <b>z", frozenset(), frozenset()) == "x < y z"
