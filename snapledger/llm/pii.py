@@ -6,8 +6,8 @@ Corpus co-occurrence then tells how strongly other words reveal an entity. With
     disclosure(word, entity) = pmi(word, entity) / -log p(entity) = 1 + log p(entity | word) / -log p(entity)
 
 is the part of the entity's information that the word gives away: 1 where the entity is in every text with the word.
-Words next to an entity in at least `SUPPORT` different texts, of at least `SUPPORT` with that entity, are candidates; their
-frequency is counted over all texts. A word whose disclosure for some entity exceeds `GENERALISE` is sanitised wherever it
+Both are counted over whole texts, however far word and entity stand apart; what is only inside an entity is no word of a
+text. Words that are together with an entity in at least `SUPPORT` texts are candidates. A word whose disclosure for some entity exceeds `GENERALISE` is sanitised wherever it
 stands: it is generalised to a neutral word, and removed beyond `REMOVE`.
 
 Positions are code points; a pattern's places follow from the lengths of what it splits a text into, so no text is
@@ -29,8 +29,7 @@ SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.99
 BROADCAST_TERMS = 500_000
-CONTEXT = 80  # code points on either side of an entity
-MIN_TERM = 3
+MIN_TERM = 2
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 KINDS = ("email", "ip", "card", "phone")
 BASE = "array<struct<kind:string,begin:int,end:int>>"
@@ -113,14 +112,27 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), NOT_WORD)), lambda w: F.length(w) >= MIN_TERM)
 
 
-def entity_contexts(texts: DataFrame) -> DataFrame:
-    """(key, entity, term) of the words around every base entity, once per text. texts: key, text."""
-    spans = texts.select("key", "text", F.explode(base_spans(F.col("text"))).alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.lit(0), F.col("s.begin") - CONTEXT) + 1, F.least(F.col("s.begin"), F.lit(CONTEXT)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    entity = F.concat(F.col("s.kind"), F.lit(":"), F.lower(F.substring(F.col("text"), F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin"))))
-    around = spans.select("key", entity.alias("entity"), F.concat_ws(" ", before, after).alias("around"))
-    return around.select("key", F.xxhash64("entity").alias("entity"), _words(F.col("around")).alias("terms"))
+def _outside(text: Column, spans: Column) -> Column:
+    """What a text holds outside of the spans."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("gaps"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["begin"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["gaps"], gap).alias("gaps"))
+
+    return F.aggregate(ordered, zero, step, lambda acc: F.concat_ws(" ", acc["gaps"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def entity_texts(texts: DataFrame) -> DataFrame:
+    """(key, entities, terms, hidden) of every text with base entities: its entities, its words outside of them, and the
+    words that are only inside. texts: key, text."""
+    spans = texts.select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    name = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["begin"] + 1, s["end"] - s["begin"])))
+    split = spans.select(
+        "key", F.array_distinct(F.transform("spans", lambda s: F.xxhash64(name(s)))).alias("entities"),
+        _words(_outside(F.col("text"), F.col("spans"))).alias("terms"), _words(F.col("text")).alias("words"))
+    return split.select("key", "entities", "terms", F.array_except("words", "terms").alias("hidden")).dropDuplicates(["key"])
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
@@ -128,27 +140,31 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
     Texts are counted once however many documents share them. All counts are aggregations with map-side folding.
     """
-    contexts = cut(entity_contexts(docs.where("text is not null")))
-    entities = contexts.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    together = (
-        contexts.join(entities, "entity").select("key", "entity", "n_entity", F.explode("terms").alias("term")).distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= SUPPORT)
-    )
-    together = cut(together)
-    n_texts = docs.where("text is not null").select("key").distinct().count()
-    information = -F.log(F.col("n_entity") / F.lit(max(n_texts, 1)))
-    # A word discloses only if it is in fewer texts than this. Most candidates are in far more: an estimate by sketch,
-    # six standard errors wide, sorts those out before words and texts are listed and counted exactly.
-    limit = F.max(F.col("n_both") * F.exp((1 - GENERALISE) * information)).alias("limit")
-    candidates = cut(together.groupBy("term").agg(limit))
+    near = cut(entity_texts(docs.where("text is not null")))
+    n_texts = max(docs.where("text is not null").select("key").distinct().count(), 1)
+    information = -F.log(F.col("n_entity") / F.lit(n_texts))
+    within = near.select("key", F.explode("entities").alias("entity"))
+    entities = cut(within.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT))
+    # A word discloses an entity only if it is in fewer texts than this. Candidates beyond it go by their number of
+    # texts with entities; of the others an estimate by sketch, six standard errors wide, sorts out those that are in
+    # far more, before words and texts are listed and counted exactly.
+    limits = within.join(entities, "entity").groupBy("key").agg(F.max(F.col("n_entity") * F.exp((1 - GENERALISE) * information)).alias("limit"))
+    beside = near.select("key", F.explode("terms").alias("term")).join(limits, "key").groupBy("term").agg(F.count("*").alias("n_near"), F.max("limit").alias("limit"))
+    inside = near.select(F.explode("hidden").alias("term")).groupBy("term").agg(F.count("*").alias("n_hidden"))
+    candidates = cut(beside.where((F.col("n_near") >= SUPPORT) & (F.col("n_near") <= F.col("limit"))).join(inside, "term", "left").select(
+        "term", (F.col("limit") + F.coalesce("n_hidden", F.lit(0))).alias("limit")))
     words = docs.where("text is not null").select("key", F.explode(_words(F.col("text"))).alias("term"))
     few = candidates.count() <= BROADCAST_TERMS  # else words and candidates meet by hash
     estimated = words.join(F.broadcast(candidates) if few else candidates, "term").groupBy("term", "limit").agg(F.approx_count_distinct("key", 0.05).alias("n"))
     rare = cut(estimated.where(F.col("n") * 0.7 <= F.col("limit")).select("term"))
-    present = cut(words.join(F.broadcast(rare) if few else rare, "term", "left_semi").distinct())
+    listed = words.join(F.broadcast(rare) if few else rare, "term", "left_semi").distinct()
+    hidden = near.select("key", F.explode("hidden").alias("term")).join(F.broadcast(rare) if few else rare, "term", "left_semi")
+    present = cut(listed.join(hidden, ["key", "term"], "left_anti"))
     of_term = present.groupBy("term").agg(F.count("*").alias("n_term"))
+    together = present.join(within, "key").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     part = F.when(information > 0, 1 + F.log(F.col("n_both") / F.col("n_term")) / information).otherwise(0.0)
-    levels = together.join(of_term, "term").groupBy("term").agg(F.max(part).alias("level")).where(F.col("level") > GENERALISE)
+    pairs = together.join(entities, "entity").join(of_term, "term")
+    levels = pairs.groupBy("term").agg(F.max(part).alias("level")).where(F.col("level") > GENERALISE)
     return present.join(levels, "term").select("key", "term", "level")
 
 

@@ -327,6 +327,20 @@ def test_words_that_disclose_an_entity(spark):
     assert "[TERM] contact [EMAIL] " in cleaned[3]["text"] and cleaned[60]["text"] == dict(rows)[60]
 
 
+def keyed(table):
+    return table.withColumn("key", F.col("doc_id").cast("string").cast("binary"))
+
+
+def test_words_far_from_the_entity_disclose_it(spark):
+    far = " ".join(prose(1, 60))  # words of every text, longer than any window
+    rows = [(i, f"Nightjar {far} see boss@firm.example" if i % 2 else f"boss@firm.example, {far} Nightjar 李雷") for i in range(30)]
+    rows += [(50 + i, f"{far} {' '.join(prose(50 + i, 30))} contact nobody") for i in range(400)]
+    rows += [(460, "write to nightjar@firm.example"), (461, f"{far} 李明")]
+    got = {r["term"]: r["level"] for r in pii.disclosing(keyed(docs(spark, rows))).collect()}
+    # 432 texts, 30 with the entity; the first word is in all of those, once more inside an entity only, the second in half.
+    assert got == {"nightjar": 1.0, "see": 1.0, "李雷": 1.0}
+
+
 def test_pii_odd_rows(spark):
     got = pii.found_spans(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" for r in got)
