@@ -7,7 +7,11 @@ Corpus co-occurrence then tells how strongly other words reveal an entity. With
 
 is the part of the entity's information that the word gives away: 1 where the entity is in every text with the word.
 Both are counted over whole texts, however far word and entity stand apart; what is only inside an entity is no word of a
-text. Words that are together with an entity in at least `SUPPORT` texts are candidates. A word whose disclosure for some entity exceeds `GENERALISE` is sanitised wherever it
+text. Entities of any count take part. So that words of its texts don't pass by chance, a word must be with the entity in
+two texts, and so often that among all words of the corpus fewer than `CHANCE` would be so by chance (by the Chernoff
+bound n * KL(p(entity | word) || p(entity)) of the binomial tail). A word that a mail address spells out before its @ is
+one of few, not of all words; for it one text can be enough. No other word of an entity's only text can be told from
+chance by counts, and none is touched. A word whose disclosure for some entity exceeds `GENERALISE` is sanitised wherever it
 stands: it is generalised to a neutral word, and removed beyond `REMOVE`.
 
 Positions are code points; a pattern's places follow from the lengths of what it splits a text into, so no text is
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from snapledger.llm.common import cut, free_name, text_key
 
-SUPPORT = 3
+CHANCE = 0.01
+MIN_PART = 3  # characters of a spelt-out word
 GENERALISE = 0.9
 REMOVE = 0.99
 BROADCAST_TERMS = 500_000
@@ -125,12 +130,13 @@ def _outside(text: Column, spans: Column) -> Column:
 
 
 def entity_texts(texts: DataFrame) -> DataFrame:
-    """(key, entities, terms, hidden) of every text with base entities: its entities, its words outside of them, and the
-    words that are only inside. texts: key, text."""
+    """(key, entities, terms, hidden) of every text with base entities: its entities with the words that they spell, its
+    words outside of them, and the words that are only inside. texts: key, text."""
     spans = texts.select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
     name = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["begin"] + 1, s["end"] - s["begin"])))
+    spelt = lambda s: F.when(s["kind"] == "email", F.filter(_words(F.substring_index(name(s).substr(F.lit(7), F.length(name(s))), "@", 1)), lambda w: F.length(w) >= MIN_PART)).otherwise(F.array().cast("array<string>"))
     split = spans.select(
-        "key", F.array_distinct(F.transform("spans", lambda s: F.xxhash64(name(s)))).alias("entities"),
+        "key", F.array_distinct(F.transform("spans", lambda s: F.struct(F.xxhash64(name(s)).alias("entity"), spelt(s).alias("spelt")))).alias("entities"),
         _words(_outside(F.col("text"), F.col("spans"))).alias("terms"), _words(F.col("text")).alias("words"))
     return split.select("key", "entities", "terms", F.array_except("words", "terms").alias("hidden")).dropDuplicates(["key"])
 
@@ -143,17 +149,20 @@ def disclosing(docs: DataFrame) -> DataFrame:
     near = cut(entity_texts(docs.where("text is not null")))
     n_texts = max(docs.where("text is not null").select("key").distinct().count(), 1)
     information = -F.log(F.col("n_entity") / F.lit(n_texts))
-    within = near.select("key", F.explode("entities").alias("entity"))
-    entities = cut(within.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT))
+    within = near.select("key", F.explode("entities").alias("e")).select("key", "e.entity")
+    entities = cut(within.groupBy("entity").agg(F.count("*").alias("n_entity")))
+    spelt = cut(near.select(F.explode("entities").alias("e")).select("e.entity", F.size("e.spelt").alias("n_spelt"), F.explode("e.spelt").alias("term")).distinct())
     # A word discloses an entity only if it is in fewer texts than this. Candidates beyond it go by their number of
     # texts with entities; of the others an estimate by sketch, six standard errors wide, sorts out those that are in
     # far more, before words and texts are listed and counted exactly.
     limits = within.join(entities, "entity").groupBy("key").agg(F.max(F.col("n_entity") * F.exp((1 - GENERALISE) * information)).alias("limit"))
     beside = near.select("key", F.explode("terms").alias("term")).join(limits, "key").groupBy("term").agg(F.count("*").alias("n_near"), F.max("limit").alias("limit"))
     inside = near.select(F.explode("hidden").alias("term")).groupBy("term").agg(F.count("*").alias("n_hidden"))
-    candidates = cut(beside.where((F.col("n_near") >= SUPPORT) & (F.col("n_near") <= F.col("limit"))).join(inside, "term", "left").select(
+    often = beside.join(spelt.select("term").distinct().withColumn("named", F.lit(True)), "term", "left").where((F.col("n_near") >= 2) | F.col("named"))
+    candidates = cut(often.where(F.col("n_near") <= F.col("limit")).join(inside, "term", "left").select(
         "term", (F.col("limit") + F.coalesce("n_hidden", F.lit(0))).alias("limit")))
     words = docs.where("text is not null").select("key", F.explode(_words(F.col("text"))).alias("term"))
+    n_words = words.agg(F.approx_count_distinct("term")).first()[0] if candidates.count() else 0
     few = candidates.count() <= BROADCAST_TERMS  # else words and candidates meet by hash
     estimated = words.join(F.broadcast(candidates) if few else candidates, "term").groupBy("term", "limit").agg(F.approx_count_distinct("key", 0.05).alias("n"))
     rare = cut(estimated.where(F.col("n") * 0.7 <= F.col("limit")).select("term"))
@@ -161,9 +170,14 @@ def disclosing(docs: DataFrame) -> DataFrame:
     hidden = near.select("key", F.explode("hidden").alias("term")).join(F.broadcast(rare) if few else rare, "term", "left_semi")
     present = cut(listed.join(hidden, ["key", "term"], "left_anti"))
     of_term = present.groupBy("term").agg(F.count("*").alias("n_term"))
-    together = present.join(within, "key").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    together = present.join(within, "key").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     part = F.when(information > 0, 1 + F.log(F.col("n_both") / F.col("n_term")) / information).otherwise(0.0)
-    pairs = together.join(entities, "entity").join(of_term, "term")
+    share, least = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.lit(n_texts)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - least))).otherwise(0.0)
+    surprise = F.col("n_term") * (share * F.log(share / least) + rest)
+    by_name = F.col("n_spelt").isNotNull() & (surprise >= F.log(F.col("n_spelt") / CHANCE))
+    by_count = (F.col("n_both") >= 2) & (surprise >= F.log(F.lit(max(n_words, 1) / CHANCE)))
+    pairs = together.join(entities, "entity").join(of_term, "term").join(spelt, ["entity", "term"], "left").where((share > least) & (by_name | by_count))
     levels = pairs.groupBy("term").agg(F.max(part).alias("level")).where(F.col("level") > GENERALISE)
     return present.join(levels, "term").select("key", "term", "level")
 

@@ -341,6 +341,21 @@ def test_words_far_from_the_entity_disclose_it(spark):
     assert got == {"nightjar": 1.0, "see": 1.0, "李雷": 1.0}
 
 
+def test_entities_of_one_and_of_two_texts(spark):
+    common = prose(77, 200)
+    draw = random.Random(8)
+    some = lambda: " ".join(draw.choice(common) for _ in range(30))
+    rows = [(i, f"{some()} only{'abcdefghij'[i % 10]}{i}x") for i in range(700)]
+    rows[3:5] = [(3, f"Nightjar {some()} chanceword 10.20.30.40"), (4, f"10.20.30.40 {some()} nightjar otherword")]
+    rows[8] = (8, f"Dr Quillfeather {some()} luckyword n.quillfeather@firm.example")
+    rows[9] = (9, f"{some()} loneword +1 (702) 555-0742")
+    got = {(r["term"], r["level"]) for r in pii.disclosing(keyed(docs(spark, rows))).collect()}
+    # Words of one text pass by chance unless the entity spells them.
+    assert got == {("nightjar", 1.0), ("quillfeather", 1.0)}
+    cleaned = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, rows)).collect()}
+    assert cleaned[8].startswith("Dr  ") and cleaned[8].endswith("luckyword [EMAIL]") and "ightjar" not in cleaned[3] + cleaned[4]
+
+
 def test_pii_odd_rows(spark):
     got = pii.found_spans(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" for r in got)
