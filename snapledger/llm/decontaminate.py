@@ -4,7 +4,9 @@ A seed is a fixed mask over ten or seven successive words that looks at six of t
 run of `WINDOW` words in which at most two were substituted, wherever those are. Hashes of the seen words are joined
 between benchmark items and documents; a hit fixes an alignment (diagonal) of item and document. Each alignment is then
 verified on the words themselves: an item leaks where some window of `WINDOW` aligned words agrees in `SHARE` of them. Items
-of fewer words than a mask spans are looked up as a whole; items of fewer than `WINDOW` words are verified as a whole.
+of fewer than `WINDOW` words are verified as a whole, and have masks of their own over their whole length: where `spare`
+words may differ, the words are dealt into `spare` + 2 groups, and every mask leaves out `spare` of these, so some mask
+leaves out all changed words.
 
 The benchmark side is broadcast if its seeds are counted to be at most `BROADCAST_SEEDS`; beyond that the join shuffles
 both sides by hash and adaptive execution splits frequent hashes.
@@ -18,13 +20,15 @@ tables give no rows; extra columns don't matter.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.llm.common import cut, free_name, text_key
 
 MASKS = ((0, 1, 5, 7, 8, 9), (0, 1, 2, 3, 5, 6))
-SPAN = 7  # of the shorter mask
 WINDOW = 13
 SHARE = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -36,14 +40,28 @@ def words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), NOT_WORD), ""), lambda w: F.xxhash64(w))
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over an item of `n` words, below `WINDOW`, that hit it however many words verification lets differ."""
+    spare = n - math.ceil(n * SHARE)
+    groups = min(n, spare + 2)
+    return [tuple(o for o in range(n) if o % groups not in out) for out in combinations(range(groups), spare)]
+
+
+def _seed(found: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get(found, at + o) for o in mask])
+
+
+def _numbered(lengths: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(length, number, mask) of the masks of short items."""
+    return [(n, -100 * n - k, mask) for n in lengths for k, mask in enumerate(short_masks(n))]
+
+
 def seeds(found: Column, lengths: list[int]) -> Column:
-    """All seed hashes by position: of each mask, and of whole runs of the short `lengths`. Null where one is too long."""
+    """All seed hashes by position: of each mask, and of those of the short `lengths`. Null where one is too long."""
 
     def at(i: Column) -> Column:
-        own = []
-        for number, mask in enumerate([*MASKS, *(tuple(range(n)) for n in lengths)]):
-            seen = F.xxhash64(F.lit(number if number < len(MASKS) else -len(mask)), *[F.get(found, i + o) for o in mask])
-            own.append(F.when(i + mask[-1] < F.size(found), seen))
+        own = [F.when(i + mask[-1] < F.size(found), _seed(found, i, number, mask)) for number, mask in enumerate(MASKS)]
+        own += [F.when(i + n <= F.size(found), _seed(found, i, number, mask)) for n, number, mask in _numbered(lengths)]
         return F.array(*own)
 
     return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.size(found) - 1), at))
@@ -51,7 +69,7 @@ def seeds(found: Column, lengths: list[int]) -> Column:
 
 def _positions(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, at, seed) of every seed. rows: id, words."""
-    n = len(MASKS) + len(lengths)
+    n = len(MASKS) + len(_numbered(lengths))
     each = rows.select("id", F.posexplode(F.flatten(seeds(F.col("words"), lengths))).alias("k", "seed"))
     return each.where("seed is not null").select("id", F.floor(F.col("k") / n).cast("int").alias("at"), "seed")
 
@@ -72,13 +90,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(F.xxhash64("item").alias("id"), "item_id", "item")
     )
     items = cut(items)
-    short = sorted(r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect())  # below SPAN
-    of_items = _positions(items.dropDuplicates(["id"]).select("id", F.col("item").alias("words")), short)
-    # A short run stands for the items of just that length.
-    lengths = items.dropDuplicates(["id"]).select("id", F.size("item").alias("n"))
-    of_items = of_items.join(lengths, "id").where(F.col("n") >= SPAN).drop("n").unionByName(
-        items.dropDuplicates(["id"]).where(F.size("item") < SPAN).select("id", F.lit(0).alias("at"), _whole(F.col("item")).alias("seed"))
-    ).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "seed")
+    short = sorted(r[0] for r in items.where(F.size("item") < WINDOW).select(F.size("item")).distinct().collect())  # below WINDOW
+    single = items.dropDuplicates(["id"]).select("id", F.col("item").alias("words"))
+    of_items = _positions(single.where(F.size("words") >= WINDOW), [])
+    if short:  # masks of the items of just that length
+        own = [F.when(F.size("words") == n, _seed(F.col("words"), F.lit(0), number, mask)) for n, number, mask in _numbered(short)]
+        each = single.where(F.size("words") < WINDOW).select("id", F.lit(0).alias("at"), F.explode(F.array(*own)).alias("seed"))
+        of_items = of_items.unionByName(each.where("seed is not null"))
+    of_items = of_items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "seed")
     of_items = cut(of_items.distinct())
     few = of_items.count() <= BROADCAST_SEEDS
     of_docs = _positions(docs.select(F.col("key").alias("id"), words(F.col("text")).alias("words")), short)
@@ -104,14 +123,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.join(F.broadcast(names) if few else names, "item").select("key", "item_id", "matched", "item_words")
 
 
-def _whole(item: Column) -> Column:
-    """The seed of a short item as `seeds` makes it for a run of its length."""
-    out = F.lit(None).cast("long")
-    for n in range(1, SPAN):
-        out = F.when(F.size(item) == n, F.xxhash64(F.lit(-n), *[F.get(item, F.lit(o)) for o in range(n)])).otherwise(out)
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, item_words) of every benchmark item that a document holds."""
     keyed = docs.select("doc_id", "text", text_key("text").alias("key"))

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -407,6 +408,27 @@ def test_masks_miss_no_window_with_two_substitutions():
             assert any({p + o for o in m}.isdisjoint((a, b)) for m in decontaminate.MASKS for p in range(width - m[-1]))
 
 
+def test_short_masks_miss_no_allowed_substitution():
+    for n in range(1, decontaminate.WINDOW):
+        spare = n - -(-n * 8 // 10)
+        for changed in combinations(range(n), spare):
+            assert any(set(m).isdisjoint(changed) for m in decontaminate.short_masks(n)), (n, changed)
+
+
+def test_changed_short_items_leak(spark):
+    items = [(n, " ".join(prose(600 + n, n))) for n in range(1, 13)]
+    rows = []
+    for n, item in items:
+        spare = n - -(-n * 8 // 10)
+        for changes in range(spare + 2):  # one more than allowed, too
+            for changed in combinations(range(n), changes):
+                own = [f"other{k}" if k in changed else w for k, w in enumerate(item.split())]
+                rows.append((len(rows), " ".join(["before", *own, "after"])))
+    rows = [r for k, r in enumerate(rows) if k < 150 or k % 5 == 0]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(rows, items)
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     item = " ".join(prose(7, 30))
