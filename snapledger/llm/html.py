@@ -8,7 +8,8 @@
    if it is on at least `PAGES` pages and half the host's, and every one of its tokens occurs once per occurrence of the
    class, with its opening and closing tags paired.
 3. Template. Valid classes nest by their paths; the host's template is the set of their roles, each with the text runs
-   that are the same on all pages (headings of menus, notices). It is as large as the host's layout, whatever the pages.
+   that are constant (headings of menus, notices): on nearly all pages that hold their element, so pages of another
+   layout and a run repeated on a page don't count against them. It is as large as the host's layouts, whatever the pages.
 4. Slots. What stands between template tokens of a page is a slot, named by the innermost template container around it.
    The characters of a slot on all pages of the host, and those of them in links and in constant runs, add up in the
    same folded rows; `verdicts` then keeps or drops it: a slot of mostly links or constants goes, also inside an article;
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import cut, slices, worker_memo
 
 PAGES = 3
+CONSTANT = 0.8  # of the pages with an element hold its constant run
+RARE = 100  # an element on less than one of so many pages of a host has no constant runs
 MOSTLY = 0.5  # a slot with less of its text varying and outside links is no text
 MUCH = 0.25  # of a host's varying text: such a slot is text beside an article, too
 
@@ -280,9 +283,11 @@ def templates(pages: DataFrame) -> DataFrame:
     # Repeated tags (list entries, paragraphs) vary between pages and carry no layout of their own.
     valid = classes.where((F.col("most") * F.col("pages") == F.col("n")) & (F.size("opens") > 0))
     roles = cut(valid.groupBy("site").agg(F.flatten(F.collect_list("opens")).alias("roles")))
-    constant = cut(frequent.where("tag is null and n = pages and pages = site_pages").select("site", "token", "home", "chars"))
+    around = found.where(F.col("tag").startswith("+")).select("site", F.col("token").alias("home"), F.col("pages").alias("home_pages"))
+    runs = found.where("tag is null").join(around, ["site", "home"]).join(sizes, "site")
+    constant = cut(runs.where((F.col("pages") >= CONSTANT * F.col("home_pages")) & (F.col("home_pages") * RARE >= F.col("site_pages"))).select("site", "token", "home", "chars"))
     constants = constant.groupBy("site").agg(F.collect_set("token").alias("constants"))
-    return roles.join(constants, "site", "left").join(_parts(found, roles, constant), "site", "left")
+    return roles.join(constants, "site", "full").join(_parts(found, roles, constant), "site", "left")
 
 
 def _parts(found: DataFrame, roles: DataFrame, constant: DataFrame) -> DataFrame:

@@ -67,6 +67,16 @@ def test_html_equivalence_classes(spark):
     assert set(row["roles"]) == {"/div.id=a", "/div.id=a/ul", "/section.class=b"}  # list entries vary
 
 
+def test_html_constant_texts_of_a_layout(spark):
+    """An odd page, a run that a page repeats and a second layout don't bring back a layout's constant texts."""
+    own = lambda k: " ".join(prose(k, 9))
+    rows = [(k, f"<div>Our site</div><div><p>{own(k)}</p></div>{'<div>Buy now</div>' * (1 + (k == 2))}") for k in range(9)]
+    rows += [(20 + k, f"<section>Second menu</section><section><p>{own(20 + k)}</p></section>") for k in range(4)] + [(90, "<p>moved</p>")]
+    pages = spark.createDataFrame([(k, "http://h.example/", x) for k, x in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages).collect()}
+    assert got == {k: "moved" if k == 90 else own(k) for k, _ in rows}
+
+
 def test_html_slots_decide_before_tags(spark, monkeypatch):
     link = lambda k: "".join(f"<a href=/{w}>{w} {w}</a>" for w in prose(3000 + k, 12))
     own = lambda k, n=30: " ".join(prose(k, n))
