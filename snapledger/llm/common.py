@@ -81,8 +81,8 @@ def worker_memo(operator: str, name: str = "") -> dict:
     return kept.setdefault(operator, {}).setdefault(name, {})
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most CHUNK_BYTES of `column`, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `most` bytes of `column`, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,7 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
         begin, total = 0, 0
         for i, size in enumerate(sizes):
-            if i > begin and total + size > CHUNK_BYTES:
+            if i > begin and total + size > most:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += size
