@@ -16,15 +16,17 @@ from snapledger.llm.hilbert import OP12_SQL, op12_hilbert  # noqa: E402
 from snapledger.llm.html import OP1_SQL, op1_html  # noqa: E402
 from snapledger.llm.pii import op5_pii  # noqa: E402
 from snapledger.llm.quality import op2_quality  # noqa: E402
+from snapledger.llm.recompression import OP11_SQL, op11_recompression  # noqa: E402
 from snapledger.llm.sharding import op4_sharding  # noqa: E402
 from snapledger.llm.toxicity import op7_toxicity  # noqa: E402
 
 QUERIES = {
     "op1_html": op1_html, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_sharding": op4_sharding,
     "op5_pii": op5_pii, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat,
-    "op9_bpe": op9_bpe, "op10_embeddings": op10_embeddings, "op12_hilbert": op12_hilbert, "op13_feast": op13_feast,
+    "op9_bpe": op9_bpe, "op10_embeddings": op10_embeddings, "op11_recompression": op11_recompression,
+    "op12_hilbert": op12_hilbert, "op13_feast": op13_feast,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_html": OP1_SQL, "op8_chat": OP8_SQL, "op10_embeddings": OP10_SQL, "op12_hilbert": OP12_SQL}
+SQL = {"op1_html": OP1_SQL, "op8_chat": OP8_SQL, "op10_embeddings": OP10_SQL, "op11_recompression": OP11_SQL, "op12_hilbert": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -38,7 +38,7 @@ COMPONENTS = 8
 WIDEST = 1024
 PER_INTERVAL = 4
 NODES = 8  # of the quadrature over the upper half circle
-RANK = 1e-13
+RANK = 1e-11  # below it rounding of the covariance reaches the fifth digit of an eigenvalue
 LIMIT = 2.0**36
 GAP = 1e-6  # a border's distance to the next eigenvalue, relative
 SPAN = 1 << 62

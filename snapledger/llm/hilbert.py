@@ -6,9 +6,9 @@ value in each dimension, and a block compares its vectors only with centroids th
 2. Rows are range-partitioned and sorted by their place on the curve, and a hash of the row after it, so that any
    number of equal vectors is spread over tasks. Every `BLOCK` rows that follow each other are one row of the block
    table, with their box. The table is computed once and kept in the shared folder.
-3. A round gives each block the box's least and greatest squared distance to every centroid. A centroid whose least
-   distance exceeds another one's greatest can't be nearest to any vector of the block. The others are compared
-   exactly, in integers. Tasks return sums per centroid, Spark adds them, and the driver holds the centroids: k times
+3. A round bounds the squared distances between each block's box and every centroid. A centroid that is farther than
+   the one with the least greatest distance all over the box can't be nearest to any vector of the block. The others
+   are compared exactly, in integers. Tasks return sums per centroid, Spark adds them, and the driver holds the centroids: k times
    64 integers.
 
 Results don't depend on the order, on partitions or on repeated tasks: everything counted is an integer.
@@ -121,10 +121,16 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(lo: np.ndarray, hi: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Numbers of the centroids, rising, that may be nearest to a vector in the box from `lo` to `hi`."""
-    near = np.maximum(np.maximum(lo - centroids, centroids - hi), 0)
+    """Numbers of the centroids, rising, that may be nearest to a vector in the box from `lo` to `hi`.
+
+    The rival is the centroid whose greatest distance to the box is least. Another one's squared distance less the
+    rival's is linear in the vector, so its least value over the box is exact; where it is above zero, the other is out.
+    """
     far = np.maximum(np.abs(centroids - lo), np.abs(centroids - hi))
-    return np.flatnonzero((near * near).sum(1) <= (far * far).sum(1).min())
+    rival = centroids[(far * far).sum(1).argmin()]
+    way = centroids - rival
+    least = (centroids * centroids).sum(1) - (rival * rival).sum() - 2 * np.maximum(way * lo, way * hi).sum(1)
+    return np.flatnonzero(least <= 0)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

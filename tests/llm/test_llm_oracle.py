@@ -16,5 +16,5 @@ def test_same_result(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k.split("_")[0][2:].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k.split("_")[0][2:].isdigit()}
     assert "pipeline" in names and set(catalog.SQL) <= set(entry.oracle_sql())
