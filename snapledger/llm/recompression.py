@@ -1,25 +1,28 @@
 """Substring deduplication by recompression: runs and pairs of word symbols get global names, so equal stretches of words
-get equal symbols inside, and only stretches whose high-level symbols other documents share are compared.
-
-1. Rounds. The words of a text are its first symbols (64-bit hashes). Round 0 names maximal runs of one word. Each of the
-   `ROUNDS` rounds after it splits the alphabet in two halves and names every pair of a left symbol followed by a right
-   one. A name is a hash of what it stands for, so it is the same in all tasks; which split a round takes is decided
-   for the whole corpus: a Spark job counts the pairs that each of `SPLITS` splits would name, and the most wins.
-2. What is inside. For a window of `WINDOW` words, symbols at its ends whose form depends on words outside are taken off
-   in each round (a run at an end, then a right symbol at the left end, a left symbol at the right end). What stays
-   depends on the window's words alone. From the top symbols that stay, the neighbouring pair of least hash is the
-   window's anchor; equal windows have equal anchors. A window that keeps fewer than two top symbols is its own anchor.
-   Successive windows mostly share an anchor, so a stretch of them is one row: about a fifth of the words.
-3. Reveal. An anchor is shared if it lies in documents of different ids: one shuffle by anchor.
-4. Verify. Only windows of shared anchors are named, by all that was taken off and the top symbols that stay, which
-   rebuild the window; with the anchor that makes 128 bits. A second shuffle finds the least doc_id of each name.
-5. Words under windows that also start in a document of smaller id go.
-
-Hot groups: a task sees slices of `SLICE` bytes of text. An anchor that a slice finds in two documents is known as shared
-there; all its places leave at once under a name of their own, and one row for either end of the ids stands for the
-slice. A window that a smaller document of the slice has is decided there as well. So a passage that a third of all
-documents hold sends a row or two for each slice, not for each document. Texts are shuffled once: both joins with
-texts read the same exchange.
+get equal symbols inside; shared high-level symbols settle long repeats, shared lower ones reveal where to look for the rest.
+
+1. Rounds. The words of a text are its first symbols (64-bit hashes). Round 0 names maximal runs of one word. Each round
+   after it splits the alphabet in two halves and names every pair of a left symbol followed by a right one. A name is a
+   hash of what it stands for, so it is the same in all tasks. Which split the first `ROUNDS` rounds take is decided for
+   the whole corpus: a Spark job counts the pairs that each of `SPLITS` splits would name, and the most wins. `HIGH`
+   rounds are done in all; a symbol then stands for some 20 words.
+2. Long repeats. The windows of `WINDOW` words that begin in a high-level symbol are a block, named (128 bits) by the
+   words it reaches over. A block that a document of smaller id has too is settled: all its words go, and as the
+   smaller document has all its windows, it need not be looked at again. One shuffle of a row per block.
+3. What is inside. For a window, symbols at its ends whose form depends on words outside are taken off in each round (a
+   run at an end, then a right symbol at the left end, a left symbol at the right end). What stays after `ROUNDS` rounds
+   depends on the window's words alone. From these symbols the neighbouring pair of least hash is the window's anchor;
+   equal windows have equal anchors. A window that keeps fewer than two symbols is its own anchor. Successive windows
+   mostly share an anchor, so a stretch of them is one row.
+4. Reveal. An anchor is shared if it lies in documents of different ids: one shuffle by anchor, without settled blocks.
+5. Verify. Only windows of shared anchors are named, by all that was taken off and the symbols that stay, which rebuild
+   the window; with the anchor that makes 128 bits. A shuffle finds the least doc_id of each name.
+6. Words under windows that also start in a document of smaller id go.
+
+Hot groups: a task sees slices of `SLICE` bytes of text. A block, anchor or window that a slice finds in several
+documents is decided there as far as the slice can; decided rows go on under names of their own, and a row or two stand
+for the slice. So a passage that a third of all documents hold sends a row or two for each slice, not for each
+document. Texts are shuffled once: all joins with texts read the same exchange.
 
 A document is found by (doc, row): row is 0, and a hash of the text where a doc_id is null or has different texts.
 
@@ -38,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import slices
+from snapledger.llm.common import cut, slices
 from snapledger.llm.shingles import mix
 
 WINDOW = 13
-ROUNDS = 2
+ROUNDS, HIGH = 2, 11
 SPLITS = 4
 SLICE = 4 << 20
 BROADCAST_IDS = 100_000  # of doc_ids with different texts, counted before
@@ -50,7 +53,7 @@ PIECE = 1 << 20  # bytes hashed at once
 
 _SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _BASE, _FIRST, _SECOND = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_INVERSE, _FIRST_INVERSE = (np.uint64(pow(int(v), -1, 1 << 64)) for v in (_BASE, _FIRST))
 _BYTE = mix(np.arange(256, dtype=np.uint64))
 
 OPEN, MARK, DECIDED = 0, 1, 2  # a row to be compared; a slice's stand-in; a row that its slice has decided
@@ -91,6 +94,12 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(starts, at)
 
 
+def expanded(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... , n of them, for each begin."""
+    end = np.cumsum(n)
+    return np.repeat(begin - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+
+
 class Parse:
     """The symbols of a slice of texts, round by round."""
 
@@ -107,6 +116,7 @@ class Parse:
         names = self.words[self.run_at[:-1]]
         self.symbols = np.where(length > 1, mix(names * _FIRST + length), names)
         self.first = first[self.run_at[:-1]]
+        self.begin = self.run_at[:-1]  # first word of each symbol
         self.rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # symbols, which are left ones, new symbol of each
         for split in splits:
             left, merged = self._halves(split)
@@ -116,7 +126,7 @@ class Parse:
             at = np.flatnonzero(heads)
             after = self.symbols[np.minimum(at + 1, max(len(self.symbols) - 1, 0))]
             self.symbols = np.where(merged[at], mix(self.symbols[at] * _FIRST + after * _SECOND), self.symbols[at])
-            self.first = self.first[at]
+            self.first, self.begin = self.first[at], self.begin[at]
 
     def _halves(self, split: int) -> tuple[np.ndarray, np.ndarray]:
         left = mix(self.symbols ^ np.uint64(split)) & np.uint64(1) == 0
@@ -128,13 +138,28 @@ class Parse:
         """How many pairs a further round with this split would name."""
         return int(self._halves(split)[1].sum())
 
+    def last(self, w: np.ndarray) -> np.ndarray:
+        """One more than the last word at which a window of the same text may begin; w itself at least."""
+        return np.maximum(self.at[self.owner(w) + 1] - WINDOW + 1, w)
+
+    def owner(self, w: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, w, "right") - 1
+
     def windows(self) -> np.ndarray:
         """First word of every window."""
-        inside = np.zeros(len(self.words) + 1, np.int32)
-        begin, end = self.at[:-1], np.maximum(self.at[:-1], self.at[1:] - WINDOW + 1)
-        np.add.at(inside, begin, 1)
-        np.add.at(inside, end, -1)
-        return np.flatnonzero(np.cumsum(inside)[:-1])
+        return expanded(self.at[:-1], np.maximum(np.diff(self.at) - WINDOW + 1, 0))
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First window of each top symbol, how many begin in the symbol, and two names of the words they reach over."""
+        a = self.begin
+        n = np.minimum(np.append(a[1:], len(self.words)), self.last(a)) - a
+        a, n = a[n > 0], n[n > 0]
+        names = []
+        for base, inverse in ((_BASE, _INVERSE), (_FIRST, _FIRST_INVERSE)):
+            total = np.zeros(len(self.words) + 1, np.uint64)
+            np.cumsum(self.words * _powers(base, len(self.words)), out=total[1:])
+            names.append(mix((total[a + n + WINDOW - 1] - total[a]) * _powers(inverse, len(self.words) + 1)[a] + n.astype(np.uint64)))
+        return a, n, *names
 
     def inside(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """For the windows that begin at words `w`: first and last (exclusive) top symbol that depends on the window's
@@ -169,11 +194,8 @@ class Parse:
             out = mix(out * _SECOND + part.astype(np.uint64))
         return out
 
-    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows, the number of the first window of each stretch with one anchor, and the anchors."""
-        w = self.windows()
-        if not len(w):
-            return w, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def anchors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and name of the anchor of each of the windows `w`; a place below zero is a window of its own."""
         s, e, _ = self.inside(w)
         value = np.append(mix(self.symbols[:-1] * _SECOND + self.symbols[1:]), ~np.uint64(0))
         least = [np.arange(len(value))]  # place of the least value of the next 1, 2, 4, 8 places, the first of equals
@@ -185,14 +207,10 @@ class Parse:
         step = np.int64(np.log2(np.maximum(size, 1)))
         tables = np.stack(least)
         here, there = tables[step, np.where(whole, s, 0)], tables[step, np.where(whole, e - 1 - 2**step, 0)]
-        anchor = np.where(whole, np.where(value[here] <= value[there], here, there), -1 - w)
-        first = np.ones(len(w), bool)
-        first[1:] = (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1)
-        at = np.flatnonzero(first)
-        alone = ~whole[at]
-        key = value[np.where(alone, 0, anchor[at])]
-        key[alone] = mix(self.names(w[at[alone]]))
-        return w, at, key
+        place = np.where(whole, np.where(value[here] <= value[there], here, there), -1 - w)
+        key = value[np.maximum(place, 0)]
+        key[~whole] = mix(self.names(w[~whole]))
+        return place, key
 
 
 # -- Rounds -------------------------------------------------------------------------------------------------------
@@ -224,17 +242,25 @@ def named_rounds(docs: DataFrame) -> tuple[int, ...]:
     return splits
 
 
-# -- Reveal and verify ----------------------------------------------------------------------------------------------
+def high(splits: tuple[int, ...]) -> tuple[int, ...]:
+    """The splits of all rounds; those after the counted ones are given."""
+    return splits + tuple(_candidates(round_)[0] for round_ in range(len(splits), HIGH))
 
 
-def _owner(parse: Parse, w: np.ndarray) -> np.ndarray:
-    return np.searchsorted(parse.at, w, "right") - 1
+# -- Settle, reveal and verify --------------------------------------------------------------------------------------
 
 
 def _long(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _listed(parse: Parse, places: pa.Array) -> np.ndarray:
+    """The windows in a list of (pos, n) of each text."""
+    each = places.flatten()
+    text = np.repeat(parse.at[:-1], _long(pa.compute.fill_null(pa.compute.list_value_length(places), 0)))
+    return expanded(text + _long(each.field("pos")), _long(each.field("n")).astype(np.int64))
+
+
 def _ranges(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and where each distinct one begins in it."""
     order = np.lexsort(keys[::-1])
@@ -243,20 +269,64 @@ def _ranges(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _least(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """For each row the least doc of the rows with equal keys."""
+    order, begin = _ranges(keys)
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
+    return out
+
+
 def _own(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A name that spreads decided rows over tasks."""
     return mix(mix(doc.astype(np.uint64) + row.astype(np.uint64) * _FIRST) + pos.astype(np.uint64))
 
 
+def _located(parse: Parse, batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owner = parse.owner(w)
+    return _long(batch["doc"])[owner], _long(batch["row"])[owner], w - parse.at[owner]
+
+
+def _told(key: np.ndarray, name: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Rows of windows: those known to be in a smaller document, and those to be compared with other slices."""
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.where(known, _own(doc, row, pos), key).view(np.int64)), pa.array(np.where(known, np.uint64(0), name).view(np.int64)),
+        pa.array(doc), pa.array(row), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(np.where(known, DECIDED, OPEN), pa.int8()),
+    ], ["key", "name", "doc", "row", "pos", "n", "kind"])
+
+
+TOLD = "key long, name long, doc long, row long, pos int, n int, kind byte"
+
+
+def _blocks(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            parse = Parse(batch["text"], splits)
+            w, n, key, name = parse.blocks()
+            if len(w):
+                doc, row, pos = _located(parse, batch, w)
+                yield _told(key, name, doc, row, pos, n, doc > _least([key, name], doc))
+
+    return run
+
+
 def _anchors(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             parse = Parse(batch["text"], splits)
-            w, at, key = parse.stretches()
-            if not len(at):
+            open_ = np.zeros(len(parse.words), bool)
+            open_[parse.windows()] = True
+            open_[_listed(parse, batch["settled"])] = False
+            w = np.flatnonzero(open_)
+            w = w[batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)[parse.owner(w)]]
+            if not len(w):
                 continue
-            owner = _owner(parse, w[at])
-            doc, row, pos = _long(batch["doc"])[owner], _long(batch["row"])[owner], w[at] - parse.at[owner]
+            place, key = parse.anchors(w)
+            first = np.ones(len(w), bool)
+            first[1:] = (place[1:] != place[:-1]) | (w[1:] != w[:-1] + 1)
+            at = np.flatnonzero(first)
+            n, key, w = np.diff(np.append(at, len(w))), key[at], w[at]
+            doc, row, pos = _located(parse, batch, w)
             order, begin = _ranges([key])
             lo, hi = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
             many = lo != hi
@@ -266,9 +336,9 @@ def _anchors(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], It
             none = np.zeros(2 * len(marks), np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate((np.where(known, _own(doc, row, pos), key), marks, marks)).view(np.int64)), pa.array(np.concatenate((doc, lo[many], hi[many]))),
-                pa.array(np.concatenate((row, none))), pa.array(np.concatenate((pos, none)), pa.int32()),
+                pa.array(np.concatenate((row, none))), pa.array(np.concatenate((pos, none)), pa.int32()), pa.array(np.concatenate((n, none)), pa.int32()),
                 pa.array(np.concatenate((np.where(known, DECIDED, OPEN), none + MARK)), pa.int8()),
-            ], ["key", "doc", "row", "pos", "kind"])
+            ], ["key", "doc", "row", "pos", "n", "kind"])
 
     return run
 
@@ -277,32 +347,17 @@ def _windows(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             parse = Parse(batch["text"], splits)
-            w, at, key = parse.stretches()
-            if not len(at):
-                continue
-            places = batch["places"]
-            here = np.repeat(parse.at[:-1], pa.compute.list_value_length(places).to_numpy(zero_copy_only=False)) + places.flatten().to_numpy(zero_copy_only=False)
-            taken = np.repeat(np.isin(w[at], here), np.diff(np.append(at, len(w))))
-            key = np.repeat(key, np.diff(np.append(at, len(w))))[taken]
-            w = w[taken]
+            w = np.sort(_listed(parse, batch["places"]))
             if not len(w):
                 continue
-            name, owner = parse.names(w), _owner(parse, w)
-            doc, row, pos = _long(batch["doc"])[owner], _long(batch["row"])[owner], w - parse.at[owner]
-            order, begin = _ranges([key, name])
-            lo = np.empty(len(w), np.int64)
-            lo[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
-            known = doc > lo
+            key, name = parse.anchors(w)[1], parse.names(w)
+            doc, row, pos = _located(parse, batch, w)
+            known = doc > _least([key, name], doc)
             # Decided windows that follow each other in a document are one row.
             joined = np.zeros(len(w), bool)
-            joined[1:] = known[1:] & known[:-1] & (w[1:] == w[:-1] + 1) & (owner[1:] == owner[:-1])
-            first = np.flatnonzero(~joined)
-            n = np.diff(np.append(first, len(w)))
-            known, doc, row, pos = known[first], doc[first], row[first], pos[first]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.where(known, _own(doc, row, pos), key[first]).view(np.int64)), pa.array(np.where(known, np.uint64(0), name[first]).view(np.int64)),
-                pa.array(doc), pa.array(row), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(np.where(known, DECIDED, OPEN), pa.int8()),
-            ], ["key", "name", "doc", "row", "pos", "n", "kind"])
+            joined[1:] = known[1:] & known[:-1] & (w[1:] == w[:-1] + 1) & (pos[1:] != 0)
+            at = np.flatnonzero(~joined)
+            yield _told(key[at], name[at], doc[at], row[at], pos[at], np.diff(np.append(at, len(w))), known[at])
 
     return run
 
@@ -345,22 +400,32 @@ def _identified(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.coalesce(own, F.lit(0)).alias("row"), "doc_id", "text")
 
 
+def _in_smaller(told: DataFrame) -> DataFrame:
+    """(doc, row, pos, n): windows that a document of smaller id has too."""
+    least = F.min("doc").over(Window.partitionBy("key", "name"))
+    found = told.withColumn("lo", least).where((F.col("kind") == DECIDED) | (F.col("doc") > F.col("lo")))
+    return found.select("doc", "row", "pos", "n")
+
+
+def _gathered(windows: DataFrame, name: str) -> DataFrame:
+    return windows.groupBy("doc", "row").agg(F.collect_list(F.struct("pos", "n")).alias(name))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space) and spans (first, end: words that went)
     of every document."""
     texts, splits = _identified(docs), named_rounds(docs)
 
-    anchors = texts.where("doc_id is not null and text is not null").mapInArrow(_anchors(splits), "key long, doc long, row long, pos int, kind byte")
+    settled = cut(_in_smaller(texts.where("doc_id is not null and text is not null").mapInArrow(_blocks(high(splits)), TOLD)))
+
+    # No filter on texts here, so that all joins shuffle them alike, that is once.
+    anchors = texts.join(_gathered(settled, "settled"), ["doc", "row"], "left").mapInArrow(_anchors(splits), "key long, doc long, row long, pos int, n int, kind byte")
     of_key = Window.partitionBy("key")
     seen = anchors.withColumns({"lo": F.min("doc").over(of_key), "hi": F.max("doc").over(of_key)})
     shared = seen.where((F.col("kind") == DECIDED) | (F.col("kind") == OPEN) & (F.col("lo") < F.col("hi")))
-    places = shared.groupBy("doc", "row").agg(F.collect_list("pos").alias("places"))
-
-    windows = texts.join(places, ["doc", "row"]).mapInArrow(_windows(splits), "key long, name long, doc long, row long, pos int, n int, kind byte")
-    least = F.min("doc").over(Window.partitionBy("key", "name"))
-    found = windows.withColumn("lo", least).where((F.col("kind") == DECIDED) | (F.col("doc") > F.col("lo")))
-    cover = found.groupBy("doc", "row").agg(F.collect_list(F.struct("pos", "n")).alias("cover"))
 
+    found = _in_smaller(texts.join(_gathered(shared, "places"), ["doc", "row"]).mapInArrow(_windows(splits), TOLD))
+    cover = _gathered(found.unionByName(settled), "cover")
     return texts.join(cover, ["doc", "row"], "left").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first: int, end: int>>")
 

@@ -41,6 +41,17 @@ def removed(spark, rows, **more):
     return sorted((tuple(r) for r in recompression.deduplicated(frame).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
 
 
+def test_long_repeats_are_settled_by_their_blocks():
+    """Whole texts in pieces: every window begins in one block, equal texts have equal blocks but at their ends."""
+    draw = random.Random(9)
+    words = [draw.choice("abcdefgh") for _ in range(3000)]
+    parse = recompression.Parse(pa.array([" ".join(words), "x y " + " ".join(words[50:]) + " z", "a b"]), recompression.high((3, 4)))
+    w, n, *names = parse.blocks()
+    assert (recompression.expanded(w, n) == parse.windows()).all()
+    own = [set(zip(*(name[(w >= a) & (w < b)] for name in names))) for a, b in zip(parse.at, parse.at[1:])]
+    assert len(own[0] & own[1]) > 0.8 * len(own[1]) and len(own[0]) < 600 and not own[2]
+
+
 @pytest.mark.parametrize("alphabet,seed", [(1, 0), (2, 1), (3, 2), (30, 3), (2000, 4)])
 def test_repeats_are_found_in_any_alphabet(spark, alphabet, seed):
     draw = random.Random(seed)
@@ -80,7 +91,8 @@ def test_an_empty_table_has_no_documents(spark):
 def test_a_hot_passage_leaves_a_slice_as_two_rows(spark):
     """Rows that have to meet under one name don't grow with the documents of a slice."""
     passage = " ".join(f"p{k}" for k in range(13))
-    batch = pa.RecordBatch.from_pydict({"doc": list(range(500)), "row": [0] * 500, "text": [f"u{k} {passage} v{k}" for k in range(500)]})
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(500)), "doc_id": list(range(500)), "row": [0] * 500, "text": [f"u{k} {passage} v{k}" for k in range(500)],
+                                           "settled": pa.array([None] * 500, pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32())])))})
     out = pa.Table.from_batches(list(recompression._anchors((1, 2))(iter([batch])))).to_pylist()
     together = {}
     for r in out:
@@ -93,9 +105,8 @@ def test_equal_windows_have_equal_names_and_anchors():
     draw = random.Random(5)
     words = [draw.choice("abc") for _ in range(400)]
     parse = recompression.Parse(pa.array([" ".join(words), "b " + " ".join(words[100:300]) + " c"]), (7, 11))
-    w, at, key = parse.stretches()
-    names = parse.names(w)
-    keys = np.repeat(key, np.diff(np.append(at, len(w))))
+    w = parse.windows()
+    names, keys = parse.names(w), parse.anchors(w)[1]
     text = words + ["b"] + words[100:300] + ["c"]
     seen: dict = {}
     for k, name, anchor in zip(w, names, keys):
