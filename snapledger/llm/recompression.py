@@ -3,20 +3,20 @@ get equal symbols inside; shared high-level symbols settle long repeats, shared
 
 1. Rounds. The words of a text are its first symbols (64-bit hashes). Round 0 names maximal runs of one word. Each round
    after it splits the alphabet in two halves and names every pair of a left symbol followed by a right one. A name is a
-   hash of what it stands for, so it is the same in all tasks. Which split the first `ROUNDS` rounds take is decided for
+   hash of what it stands for, so it is the same in all tasks. Which split the first `COUNTED` rounds take is decided for
    the whole corpus: a Spark job counts the pairs that each of `SPLITS` splits would name, and the most wins. `HIGH`
    rounds are done in all; a symbol then stands for some 20 words.
-2. Long repeats. The windows of `WINDOW` words that begin in a high-level symbol are a block, named (128 bits) by the
+2. Long repeats. The windows of `WINDOW` words that begin in a high-level symbol are a block, named (96 bits) by the
    words it reaches over. A block that a document of smaller id has too is settled: all its words go, and as the
    smaller document has all its windows, it need not be looked at again. One shuffle of a row per block.
 3. What is inside. For a window, symbols at its ends whose form depends on words outside are taken off in each round (a
-   run at an end, then a right symbol at the left end, a left symbol at the right end). What stays after `ROUNDS` rounds
-   depends on the window's words alone. From these symbols the neighbouring pair of least hash is the window's anchor;
-   equal windows have equal anchors. A window that keeps fewer than two symbols is its own anchor. Successive windows
-   mostly share an anchor, so a stretch of them is one row.
+   run at an end, then a right symbol at the left end, a left symbol at the right end). What stays after `LOW` rounds
+   depends on the window's words alone. From these symbols the `TOGETHER` neighbours of least hash are the window's
+   anchor; equal windows have equal anchors. A window that keeps fewer symbols is its own anchor. Successive windows
+   mostly share an anchor, so a stretch of them is one row. (More rounds would take more off, which costs more rows.)
 4. Reveal. An anchor is shared if it lies in documents of different ids: one shuffle by anchor, without settled blocks.
 5. Verify. Only windows of shared anchors are named, by all that was taken off and the symbols that stay, which rebuild
-   the window; with the anchor that makes 128 bits. A shuffle finds the least doc_id of each name.
+   the window; with the anchor that makes 96 bits. A shuffle finds the least doc_id of each name.
 6. Words under windows that also start in a document of smaller id go.
 
 Hot groups: a task sees slices of `SLICE` bytes of text. A block, anchor or window that a slice finds in several
@@ -45,9 +45,10 @@ from snapledger.llm.common import cut, slices
 from snapledger.llm.shingles import mix
 
 WINDOW = 13
-ROUNDS, HIGH = 2, 11
+LOW, COUNTED, HIGH = 1, 2, 11  # rounds: before anchors are taken, whose split is decided by counting, in all
+TOGETHER = 3  # neighbouring symbols in an anchor
 SPLITS = 4
-SLICE = 4 << 20
+SLICE = 2 << 20
 BROADCAST_IDS = 100_000  # of doc_ids with different texts, counted before
 PIECE = 1 << 20  # bytes hashed at once
 
@@ -197,16 +198,20 @@ class Parse:
     def anchors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and name of the anchor of each of the windows `w`; a place below zero is a window of its own."""
         s, e, _ = self.inside(w)
-        value = np.append(mix(self.symbols[:-1] * _SECOND + self.symbols[1:]), ~np.uint64(0))
+        value = self.symbols
+        for k in range(1, TOGETHER):
+            value = mix(value[:-1] * _SECOND + self.symbols[k:])
+        value = np.append(value, ~np.uint64(0))
         least = [np.arange(len(value))]  # place of the least value of the next 1, 2, 4, 8 places, the first of equals
         while 2 ** len(least) < WINDOW:
             here, there = least[-1], least[-1][np.minimum(np.arange(len(value)) + 2 ** (len(least) - 1), len(value) - 1)]
             least.append(np.where(value[here] <= value[there], here, there))
-        size = e - 1 - s
+        e = e - TOGETHER + 1
+        size = e - s
         whole = size >= 1
         step = np.int64(np.log2(np.maximum(size, 1)))
         tables = np.stack(least)
-        here, there = tables[step, np.where(whole, s, 0)], tables[step, np.where(whole, e - 1 - 2**step, 0)]
+        here, there = tables[step, np.where(whole, s, 0)], tables[step, np.where(whole, e - 2**step, 0)]
         place = np.where(whole, np.where(value[here] <= value[there], here, there), -1 - w)
         key = value[np.maximum(place, 0)]
         key[~whole] = mix(self.names(w[~whole]))
@@ -235,7 +240,7 @@ def _counted(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], It
 def named_rounds(docs: DataFrame) -> tuple[int, ...]:
     """The split of each round: of its candidates the one that names most pairs of the corpus."""
     splits: tuple[int, ...] = ()
-    for round_ in range(ROUNDS):
+    for round_ in range(COUNTED):
         pairs = docs.select("text").where("text is not null").mapInArrow(_counted(splits), "split int, pairs long")
         best = pairs.groupBy("split").agg(F.sum("pairs").alias("pairs")).orderBy(F.desc("pairs"), "split").first()
         splits += (_candidates(round_)[best["split"] if best else 0],)
@@ -290,12 +295,12 @@ def _located(parse: Parse, batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.nda
 def _told(key: np.ndarray, name: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     """Rows of windows: those known to be in a smaller document, and those to be compared with other slices."""
     return pa.RecordBatch.from_arrays([
-        pa.array(np.where(known, _own(doc, row, pos), key).view(np.int64)), pa.array(np.where(known, np.uint64(0), name).view(np.int64)),
+        pa.array(np.where(known, _own(doc, row, pos), key).view(np.int64)), pa.array(np.where(known, np.uint64(0), name).astype(np.uint32).view(np.int32)),
         pa.array(doc), pa.array(row), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(np.where(known, DECIDED, OPEN), pa.int8()),
     ], ["key", "name", "doc", "row", "pos", "n", "kind"])
 
 
-TOLD = "key long, name long, doc long, row long, pos int, n int, kind byte"
+TOLD = "key long, name int, doc long, row long, pos int, n int, kind byte"
 
 
 def _blocks(splits: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -419,12 +424,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     settled = cut(_in_smaller(texts.where("doc_id is not null and text is not null").mapInArrow(_blocks(high(splits)), TOLD)))
 
     # No filter on texts here, so that all joins shuffle them alike, that is once.
-    anchors = texts.join(_gathered(settled, "settled"), ["doc", "row"], "left").mapInArrow(_anchors(splits), "key long, doc long, row long, pos int, n int, kind byte")
+    anchors = texts.join(_gathered(settled, "settled"), ["doc", "row"], "left").mapInArrow(_anchors(splits[:LOW]), "key long, doc long, row long, pos int, n int, kind byte")
     of_key = Window.partitionBy("key")
     seen = anchors.withColumns({"lo": F.min("doc").over(of_key), "hi": F.max("doc").over(of_key)})
     shared = seen.where((F.col("kind") == DECIDED) | (F.col("kind") == OPEN) & (F.col("lo") < F.col("hi")))
 
-    found = _in_smaller(texts.join(_gathered(shared, "places"), ["doc", "row"]).mapInArrow(_windows(splits), TOLD))
+    found = _in_smaller(texts.join(_gathered(shared, "places"), ["doc", "row"]).mapInArrow(_windows(splits[:LOW]), TOLD))
     cover = _gathered(found.unionByName(settled), "cover")
     return texts.join(cover, ["doc", "row"], "left").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first: int, end: int>>")
