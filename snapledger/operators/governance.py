@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions.time import ntz
-from snapledger.operators.runs import latest_run
 
 # Roles that see confidential text as it is, and those limited to their own rows.
 CLEAR_ROLES = ("ROLE-03", "ROLE-06")
@@ -74,26 +74,30 @@ def retention_plan(
 ) -> DataFrame:
     """(step, table_name, run_id, rows) that a purge would delete; the dry run.
 
-    Runs that completed before the cutoff expire, but never the latest success. Each table folds
-    to one row per run before it meets the ledger.
+    Runs that completed before the cutoff expire, but never the latest success. Each table, read once, folds to one row
+    per run (findings may come as counts), and these rows and the ledger's meet in windows: over a run, and over all
+    runs for the latest success.
     """
-    sizes = []
+    parts = []
     for step, name in enumerate(PURGE_ORDER, start=1):
-        df = runs if name == "ingestion_runs" else tables.get(name)
-        if df is None:
+        if name == "ingestion_runs":
+            sized = runs.select("run_id", F.lit(1).cast("bigint").alias("rows"), "completed_at", "status")
+        elif name in tables:
+            df = tables[name]
+            rows = F.sum("findings") if "findings" in df.columns else F.count(F.lit(1))
+            key = "source_run_id" if name == "executive_summaries" else "run_id"
+            sized = df.groupBy(F.col(key).alias("run_id")).agg(rows.alias("rows"))
+        else:
             continue
-        key = "source_run_id" if name == "executive_summaries" else "run_id"
-        folded = df.groupBy(F.col(key).alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
-        sizes.append(folded.select(F.lit(step).alias("step"), F.lit(name).alias("table_name"), "run_id", "rows"))
-    everything = sizes[0]
-    for more in sizes[1:]:
-        everything = everything.unionByName(more)
-    keep = F.coalesce(latest_run(runs).scalar(), F.lit(-1).cast("bigint"))
-    expired = runs.where(
-        (F.col("completed_at") < ntz(completed_before))
-        & (F.col("run_id") != keep)
-    ).select("run_id")
-    return everything.join(expired, "run_id", "left_semi").select("step", "table_name", "run_id", "rows")
+        parts.append(sized.withColumns({"step": F.lit(step), "table_name": F.lit(name)}))
+    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    good = F.when(F.col("status") == "succeeded", F.col("run_id"))
+    dated = everything.withColumns({
+        "completed": F.max("completed_at").over(Window.partitionBy("run_id")),
+        "keep": F.coalesce(F.max(good).over(Window.partitionBy()), F.lit(-1).cast("bigint")),
+    })
+    expired = dated.where((F.col("completed") < ntz(completed_before)) & (F.col("run_id") != F.col("keep")))
+    return expired.select("step", "table_name", "run_id", "rows")
 
 
 def erasure_report(

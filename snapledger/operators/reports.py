@@ -15,6 +15,7 @@ from snapledger.functions.text import (
     with_draft_label,
 )
 from snapledger.operators import metrics, rules, runs as ledger
+from snapledger.schemas import SEVERITIES
 
 DEFAULT_TOP_N = 10
 CONTEXT_FIELDS = (
@@ -100,24 +101,19 @@ def _one(row: DataFrame, name: str) -> Column:
 
 
 def quality_summary(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: latest successful run, latest attempt, findings of the run by severity."""
-    attempt = runs.agg(
-        F.max("run_id").alias("latest_attempt_run_id"),
-        F.max_by("status", "run_id").alias("latest_attempt_status"),
-    )
+    """One row: latest successful run, latest attempt, findings of the run by severity.
+
+    `findings` are stored ones, or counts by run, check and severity. The ledger is read once.
+    """
+    stored = "findings" not in findings.columns  # only the run's folder is read
+    found = rules.by_severity(ledger.of_latest_run(findings, runs) if stored else findings)
     ok = F.when(F.col("status") == "succeeded", F.col("run_id"))
-    good = runs.agg(
+    return runs.join(found, "run_id", "left").agg(
         F.max(ok).alias("run_id"),
-        *[
-            F.max_by(c, ok).alias(c)
-            for c in ("reference_date", "source_row_count", "valid_row_count", "invalid_row_count")
-        ],
-    )
-    of_run = ledger.of_latest_run(findings, runs).agg(
-        *[F.count_if(F.col("severity_class") == s).alias(s) for s in ("blocking", "warning", "investigation")]
+        *[F.max_by(c, ok).alias(c) for c in ("reference_date", "source_row_count", "valid_row_count", "invalid_row_count")],
+        F.max("run_id").alias("latest_attempt_run_id"), F.max_by("status", "run_id").alias("latest_attempt_status"),
+        *[F.coalesce(F.max_by(s, ok), F.lit(0).cast("bigint")).alias(s) for s in SEVERITIES],
     )
-    whole = good.select("*", _one(attempt, "attempt"), _one(of_run, "found"))
-    return whole.select(*good.columns, "attempt.*", "found.*")
 
 
 # --- context document ------------------------------------------------------------------------

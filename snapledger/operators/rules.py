@@ -8,36 +8,20 @@ or one run may hold most of the input. Messages never carry owner or action_name
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions.text import has_control, is_blank, is_real_iso_date
-from snapledger.schemas import ACTION_STATUSES, SOURCE_COLUMNS, TEXT_COLUMNS
+from snapledger.operators import packs
+from snapledger.operators.packs import BLOCKING, FINDING_COLUMNS, INVESTIGATION, MAX_ROWS_SHOWN, WARNING, Pack, RowRule, SetRule
+from snapledger.schemas import ACTION_STATUSES, SEVERITIES, SOURCE_COLUMNS, TEXT_COLUMNS
 
-BLOCKING, WARNING, INVESTIGATION = "blocking", "warning", "investigation"
-FINDING_COLUMNS = ("run_id", "check_name", "record_key", "severity_class", "message", "position")
-MAX_ROWS_SHOWN = 20  # row numbers in a message; `duplicate_members` has them all
 # Bits of a finding's id: run, check, position inside the run.
 RUN_BITS, CHECK_BITS, POSITION_BITS = 26, 5, 32
 HEADER_STEP = 1 << 30  # header findings of one kind stay below the next kind's first position
 
 
-@dataclass(frozen=True)
-class RowRule:
-    """A named test of one row; `fails` gives a boolean column that is never NULL."""
-
-    name: str
-    severity: str
-    fails: Callable[[], Column]
-    message: Callable[[Column], Column]
-
-    @property
-    def blocking(self) -> bool:
-        return self.severity == BLOCKING
-
-
 def _at_row(text: str, tail: str = "") -> Callable[[Column], Column]:
     return lambda row: F.concat(F.lit(f"{text} at source row "), row.cast("string"), F.lit(tail))
 
@@ -67,6 +51,17 @@ ROW_RULES: tuple[RowRule, ...] = (
     ),
 )
 
+REPEATED_ID = SetRule(
+    "DQ-03", BLOCKING, "action_id", where=lambda: ~is_blank("action_id"), fails=lambda g: g["n"] > 1, shows_rows=True,
+    message=lambda g: F.concat(F.lit("action_id is duplicated "), g["n"].cast("string"), F.lit(" times (source rows "), g["rows"], F.lit(")")),
+)
+UNKNOWN_STATUS = SetRule(
+    "DQ-09", INVESTIGATION, "status", where=lambda: ~is_blank("status") & ~F.col("status").isin(*ACTION_STATUSES), fails=lambda g: F.lit(True),
+    message=lambda g: F.lit("status value is not in enum action_status; kept as-is and counted as open"),
+)
+SET_RULES: tuple[SetRule, ...] = (REPEATED_ID, UNKNOWN_STATUS)
+STANDARD = Pack(ROW_RULES, SET_RULES)
+
 # Order of the checks inside a run's findings.
 CHECK_ORDER = (
     "DQ-01", "DQ-02", "DQ-03", "DQ-04", "DQ-05", "DQ-06", "DQ-07", "DQ-08", "DQ-09", "DQ-10",
@@ -177,13 +172,21 @@ def header_findings(lists: DataFrame) -> DataFrame:
     return _spread(lists, _missing(), _extra(), _twice())
 
 
+def header_counts(lists: DataFrame) -> DataFrame:
+    """(run_id, check_name, severity_class, findings) of DQ-01."""
+    sizes = [("blocking", F.size(_missing()) + F.size(_twice())), ("warning", F.size(_extra()))]
+    each = F.array(*[F.struct(F.lit("DQ-01").alias("check_name"), F.lit(s).alias("severity_class"), n.cast("bigint").alias("findings")) for s, n in sizes])
+    return lists.select("run_id", F.inline(each)).where("findings > 0")
+
+
 def header_status(lists: DataFrame) -> DataFrame:
     """(run_id, header_count, header_ok): row rules make sense only for usable headers."""
     names = F.col("names")
-    usable = (F.size(F.array_except(_required(), names)) == 0) & (
-        F.size(F.array_distinct(names)) == F.size(names)
-    )
-    return lists.select("run_id", F.size(names).alias("header_count"), usable.alias("header_ok"))
+    return lists.select("run_id", F.size(names).alias("header_count"), _usable(names).alias("header_ok"))
+
+
+def _usable(names: Column) -> Column:
+    return (F.size(F.array_except(_required(), names)) == 0) & (F.size(F.array_distinct(names)) == F.size(names))
 
 
 def usable_rows(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -229,14 +232,6 @@ def row_findings(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataF
     )
 
 
-def any_blocking(rules: Sequence[RowRule] = ROW_RULES) -> Column:
-    test = F.lit(False)
-    for r in rules:
-        if r.blocking:
-            test = test | r.fails()
-    return test
-
-
 def duplicate_members(rows: DataFrame) -> DataFrame:
     """(run_id, action_id, source_row_number, n): every row of an id that its run uses more than once.
 
@@ -249,48 +244,40 @@ def duplicate_members(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(rows: DataFrame) -> DataFrame:
-    """(run_id, action_id, n, first_rows): repeated ids with their first MAX_ROWS_SHOWN row numbers.
-
-    Ranking keeps that many rows per id on either side of the shuffle, however many an id has.
-    """
-    order = Window.partitionBy("run_id", "action_id").orderBy("source_row_number")
-    first = duplicate_members(rows).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_ROWS_SHOWN)
-    return first.groupBy("run_id", "action_id").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list("source_row_number")).alias("first_rows")
-    )
+    """(run_id, action_id, n, first_rows): repeated ids with their first MAX_ROWS_SHOWN row numbers."""
+    return packs.failing_groups(rows, REPEATED_ID).select("run_id", F.col("key").alias("action_id"), "n", "first_rows")
 
 
 def duplicate_findings(rows: DataFrame) -> DataFrame:
-    shown = F.array_join(F.col("first_rows").cast("array<string>"), ", ")
-    text = F.concat(
-        F.lit("action_id is duplicated "), F.col("n").cast("string"),
-        F.lit(" times (source rows "), shown, F.lit(")"),
-    )
-    return duplicate_ids(rows).select(
-        *_finding("DQ-03", F.col("action_id"), BLOCKING, text, F.col("first_rows")[0])
-    )
+    return packs.findings(rows, Pack(set_rules=(REPEATED_ID,)))
 
 
-def unknown_statuses(rows: DataFrame, known: Sequence[str] = ACTION_STATUSES) -> DataFrame:
+def unknown_statuses(rows: DataFrame) -> DataFrame:
     """One finding per status value outside the enumeration; the value is kept and counted open."""
-    odd = rows.where(~is_blank("status") & ~F.col("status").isin(*known))
-    values = odd.groupBy("run_id", "status").agg(F.min("source_row_number").alias("first_row"))
-    text = F.lit("status value is not in enum action_status; kept as-is and counted as open")
-    return values.select(
-        *_finding("DQ-09", F.col("status"), INVESTIGATION, text, F.col("first_row"))
-    )
+    return packs.findings(rows, Pack(set_rules=(UNKNOWN_STATUS,)))
 
 
-def all_findings(
-    rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES
-) -> DataFrame:
-    """Findings of every rule; `rows` are rows of runs with a usable header."""
-    return (
-        header_findings(lists)
-        .unionByName(row_findings(rows, rules))
-        .unionByName(duplicate_findings(rows))
-        .unionByName(unknown_statuses(rows))
-    )
+def all_findings(rows: DataFrame, lists: DataFrame, pack: Pack = STANDARD) -> DataFrame:
+    """Findings of every rule; `rows` are rows of runs with a usable header. Either input is read once."""
+    return header_findings(lists).unionByName(packs.findings(rows, pack))
+
+
+def finding_counts(rows: DataFrame, lists: DataFrame, pack: Pack = STANDARD) -> DataFrame:
+    """(run_id, check_name, severity_class, findings) of every rule, without building a finding's message."""
+    return header_counts(lists).unionByName(packs.counts_of(packs.totals(rows, pack), pack))
+
+
+def counted(findings: DataFrame) -> DataFrame:
+    """(run_id, check_name, severity_class, findings) of findings, stored ones say; counts stay as they are."""
+    if "findings" in findings.columns:
+        return findings
+    return findings.groupBy("run_id", "check_name", "severity_class").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def by_severity(findings: DataFrame, names: Sequence[str] = SEVERITIES) -> DataFrame:
+    """One row per run with its findings of each severity, as columns of these names; takes findings or counts."""
+    sums = [F.sum(F.when(F.col("severity_class") == s, F.col("findings")).otherwise(0)).cast("bigint").alias(n) for s, n in zip(SEVERITIES, names)]
+    return counted(findings).groupBy("run_id").agg(*sums)
 
 
 def findings_of_check(rows: DataFrame, check: str) -> DataFrame:
@@ -298,74 +285,68 @@ def findings_of_check(rows: DataFrame, check: str) -> DataFrame:
     return row_findings(rows, [r for r in ROW_RULES if r.name == check])
 
 
-def validation_counts(rows: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """(run_id, source_row_count, valid_row_count, invalid_row_count) of runs with a usable header."""
-    return counts_by(rows.withColumn("header_ok", F.lit(True)), "run_id", rules).select(
-        "run_id", "source_row_count", "valid_row_count", "invalid_row_count"
-    )
-
+def _split(summed: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Valid and invalid rows of `totals` that carry header_ok; both NULL where the header is unusable."""
+    invalid = F.when(F.col("header_ok"), F.col("invalid_row_count"))
+    return summed.select(key, "source_row_count", (F.col("source_row_count") - invalid).alias("valid_row_count"), invalid.alias("invalid_row_count"), *more)
 
-def counts_by(rows: DataFrame, key: str, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """Counts per file or run from one pass over rows that carry header_ok and header_count.
 
-    source_row_count, valid_row_count, invalid_row_count (both NULL when the header is unusable)
-    and noted: rows that only earn a warning or an investigation. A row is invalid once, however
-    many blocking rules it fails, and every row of a duplicated id is invalid. Rows fold to
-    numbers per id before the shuffle, then to files, so both steps are hash aggregations.
-    """
-    noted = ~is_blank("status") & ~F.col("status").isin(*ACTION_STATUSES)
-    for r in rules:
-        if not r.blocking:
-            noted = noted | r.fails()
-    per_id = rows.groupBy(key, "header_ok", "action_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(any_blocking(rules)).alias("bad"),
-        F.count_if(noted).alias("noted"),
-    )
-    duplicated = (F.col("n") > 1) & ~is_blank("action_id")
-    per_file = per_id.groupBy(key, "header_ok").agg(
-        F.sum("n").alias("source_row_count"),
-        F.sum(F.when(duplicated, F.col("n")).otherwise(F.col("bad"))).alias("invalid"),
-        F.sum("noted").alias("noted"),
-    )
-    invalid = F.when(F.col("header_ok"), F.col("invalid"))
-    return per_file.select(
-        key, "source_row_count", (F.col("source_row_count") - invalid).alias("valid_row_count"),
-        invalid.alias("invalid_row_count"), "noted",
-    )
+def validation_counts(rows: DataFrame, pack: Pack = STANDARD) -> DataFrame:
+    """(run_id, source_row_count, valid_row_count, invalid_row_count) of runs with a usable header."""
+    return _split(packs.totals(rows, pack).withColumn("header_ok", F.lit(True)), "run_id")
 
 
-def file_counts(records: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
-    """Counts of every file that has rows, straight from split records."""
-    return counts_by(records.where(F.col("source_row_number") > 0), "file_no", rules)
+def file_counts(records: DataFrame, pack: Pack = STANDARD) -> DataFrame:
+    """Counts of every file that has rows, straight from split records, and `noted`: the findings of its rows."""
+    rows = records.where(F.col("source_row_number") > 0)
+    noted = sum((F.col(f"c{i}") for i in range(len(pack.rules))), F.lit(0).cast("bigint"))
+    return _split(packs.totals(rows, pack, ("file_no", "header_ok")), "file_no", noted.alias("noted"))
 
 
-def gate(rows: DataFrame, lists: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+def gate(rows: DataFrame, lists: DataFrame, pack: Pack = STANDARD) -> DataFrame:
     """One row per run: counts (NULL when the header is unusable) and whether it may load.
 
-    Every blocking row finding makes its row invalid, so the counts decide without the findings.
+    Every blocking finding about rows makes a row invalid, so the counts decide without the findings. Rows that
+    carry the state of their header (header_ok, header_count) need no join with the lists.
     """
-    status = header_status(lists)
-    counted = counts_by(rows.drop("header_count").join(status, "run_id"), "run_id", rules)
-    return status.join(counted, "run_id", "left").select(
-        "run_id", "header_ok",
-        F.coalesce("source_row_count", F.lit(0).cast("bigint")).alias("source_row_count"),
-        "valid_row_count", "invalid_row_count",
-        (F.col("header_ok") & (F.coalesce("invalid_row_count", F.lit(0)) == 0)).alias("accepted"),
-    )
+    return _judged(rows, lists, pack).select(
+        "run_id", "header_ok", "source_row_count", "valid_row_count", "invalid_row_count", "accepted")
+
+
+def preview(rows: DataFrame, lists: DataFrame, pack: Pack = STANDARD) -> DataFrame:
+    """The gate and the number of findings of each severity, from one pass over the rows and one over the headers."""
+    names = list(SEVERITIES)
+    own = {s: F.coalesce(c, F.lit(0).cast("bigint")) for s, c in packs.severities_of(pack).items()}
+    header = {"blocking": F.size(_missing()) + F.size(_twice()), "warning": F.size(_extra())}
+    both = _judged(rows, lists, pack).withColumns({s: (own[s] + header.get(s, F.lit(0))).cast("bigint") for s in names})
+    return both.select("run_id", "header_ok", "source_row_count", "valid_row_count", "invalid_row_count", "accepted", *names)
+
+
+def _judged(rows: DataFrame, lists: DataFrame, pack: Pack) -> DataFrame:
+    if not {"header_ok", "header_count"} <= set(rows.columns):
+        rows = rows.drop("header_count").join(header_status(lists), "run_id")
+    status = lists.join(packs.totals(rows, pack).withColumnRenamed("invalid_row_count", "bad"), "run_id", "left")
+    usable = _usable(F.col("names"))
+    bad = F.when(usable, F.col("bad"))
+    return status.withColumns({
+        "header_ok": usable, "source_row_count": F.coalesce("source_row_count", F.lit(0).cast("bigint")),
+        "valid_row_count": F.col("source_row_count") - bad, "invalid_row_count": bad,
+        "accepted": usable & (F.coalesce(bad, F.lit(0)) == 0),
+    })
 
 
 # --- identities and reports ------------------------------------------------------------------
 
 
-def with_result_ids(findings: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -> DataFrame:
+def with_result_ids(findings: DataFrame, rules: Pack | Sequence[RowRule | SetRule] = STANDARD) -> DataFrame:
     """Unique ids that grow with run, check and position.
 
     They are computed from the finding itself, so no global numbering is needed and a retried task gives the same ids.
     Checks of a rule pack are numbered behind the known ones. A run, check or position that its bits cannot hold is an
     error, never an id that another finding has.
     """
-    order = [*CHECK_ORDER, *(r.name for r in rules if r.name not in CHECK_ORDER)]
+    own = rules.rules if isinstance(rules, Pack) else rules
+    order = [*CHECK_ORDER, *(r.name for r in own if r.name not in CHECK_ORDER)]
     if len(set(order)) != len(order) or len(order) >= 1 << CHECK_BITS:
         raise ValueError("checks need different names, and there is room for 31")
     check = F.array_position(F.array(*map(F.lit, order)), F.col("check_name"))
@@ -381,12 +362,12 @@ def with_result_ids(findings: DataFrame, rules: Sequence[RowRule] = ROW_RULES) -
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("run_id", "severity_class").agg(F.count(F.lit(1)).alias("findings"))
+    return counted(findings).groupBy("run_id", "severity_class").agg(F.sum("findings").alias("findings"))
 
 
 def findings_matrix(findings: DataFrame) -> DataFrame:
-    counted = findings.groupBy("check_name", "severity_class").agg(F.count(F.lit(1)).alias("findings"))
-    return counted.orderBy("check_name", "severity_class")
+    summed = counted(findings).groupBy("check_name", "severity_class").agg(F.sum("findings").alias("findings"))
+    return summed.orderBy("check_name", "severity_class")
 
 
 def drift_report(findings: DataFrame) -> DataFrame:
@@ -398,8 +379,8 @@ def drift_report(findings: DataFrame) -> DataFrame:
         .when(check == "DQ-07", "date_format_changed")
         .when(check == "DQ-09", "new_status")
     )
-    kinds = findings.withColumn("drift", kind).where(F.col("drift").isNotNull())
-    return kinds.groupBy("run_id", "drift").agg(F.count(F.lit(1)).alias("findings"))
+    kinds = counted(findings).withColumn("drift", kind).where(F.col("drift").isNotNull())
+    return kinds.groupBy("run_id", "drift").agg(F.sum("findings").alias("findings"))
 
 
 def dimension_counts(findings: DataFrame) -> DataFrame:
@@ -407,5 +388,5 @@ def dimension_counts(findings: DataFrame) -> DataFrame:
     dimension = F.lit(None).cast("string")
     for name, checks in DIMENSIONS.items():
         dimension = F.when(F.col("check_name").isin(*checks), F.lit(name)).otherwise(dimension)
-    named = findings.withColumn("dimension", dimension).where(F.col("dimension").isNotNull())
-    return named.groupBy("run_id", "dimension").agg(F.count(F.lit(1)).alias("findings"))
+    named = counted(findings).withColumn("dimension", dimension).where(F.col("dimension").isNotNull())
+    return named.groupBy("run_id", "dimension").agg(F.sum("findings").alias("findings"))

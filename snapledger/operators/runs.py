@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.schemas import INGESTION_RUNS
+from snapledger.operators import rules
+from snapledger.schemas import INGESTION_RUNS, SEVERITIES
 
 RUN_COLUMNS = tuple(INGESTION_RUNS.names)
 
@@ -80,12 +81,7 @@ def attempts_by_status(runs: DataFrame) -> DataFrame:
 
 def ingest_report(runs: DataFrame, findings: DataFrame) -> DataFrame:
     """Per run: status, row counts and findings by severity (zero when there are none)."""
-    per_run = findings.groupBy("run_id").agg(
-        *[
-            F.count_if(F.col("severity_class") == s).alias(f"{s}_findings")
-            for s in ("blocking", "warning", "investigation")
-        ]
-    )
+    per_run = rules.by_severity(findings, [f"{s}_findings" for s in SEVERITIES])
     joined = runs.join(per_run, "run_id", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapledger import schemas
@@ -333,6 +333,7 @@ _STATUS_SQL = f"""
     from usable where not {_blank_sql('status')} and status not in ('done', 'in_progress', 'todo')
     group by run_id, status"""
 _ALL_SQL = " union all ".join([_MISSING_SQL, _EXTRA_SQL, _REPEAT_SQL, *map(_row_sql, _ROW_TESTS), _DUP_SQL, _STATUS_SQL])
+_CHECKS = ", ".join(f"'{c}'" for c in rules.CHECK_ORDER)
 _FINDINGS = f"findings as ({_ALL_SQL})"
 
 
@@ -341,13 +342,17 @@ def _headers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _usable(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.usable_rows(td.dirty_rows(spark, sf), _headers(spark, sf))
+    return td.read_rows(spark, sf).where("header_ok")
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     return rules.all_findings(_usable(spark, sf), _headers(spark, sf))
 
 
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.finding_counts(_usable(spark, sf), _headers(spark, sf))
+
+
 _query("dq_01_missing", _MISSING_SQL, td.SQL_DIRTY)(lambda s, d: rules.missing_columns(_headers(s, d)))
 _query("dq_01_extra", _EXTRA_SQL, td.SQL_DIRTY)(lambda s, d: rules.extra_columns(_headers(s, d)))
 _query("dq_01_duplicate", _REPEAT_SQL, td.SQL_DIRTY)(lambda s, d: rules.repeated_columns(_headers(s, d)))
@@ -375,22 +380,22 @@ _query("finding_ids", """
         "run_id", "check_name", "record_key",
         F.rank().over(Window.partitionBy("run_id").orderBy("quality_result_id")).alias("place")))
 _query("severity_counts", "select run_id, severity_class, count(*) as findings from findings group by 1, 2",
-       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.severity_counts(_findings(s, d)))
+       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.severity_counts(_counts(s, d)))
 _query("findings_matrix", "select check_name, severity_class, count(*) as findings from findings group by 1, 2",
-       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.findings_matrix(_findings(s, d)))
+       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.findings_matrix(_counts(s, d)))
 _query("drift_report", """
     select run_id, drift, count(*) as findings from (select run_id, case
         when check_name = 'DQ-01' and severity_class = 'blocking' then 'column_lost'
         when check_name = 'DQ-01' and severity_class = 'warning' then 'column_added'
         when check_name = 'DQ-07' then 'date_format_changed' when check_name = 'DQ-09' then 'new_status'
         end as drift from findings) where drift is not null group by 1, 2""", td.SQL_DIRTY, _FINDINGS)(
-    lambda s, d: rules.drift_report(_findings(s, d)))
+    lambda s, d: rules.drift_report(_counts(s, d)))
 _query("dimension_counts", """
     select run_id, dimension, count(*) as findings from findings join (values
         ('DQ-01','completeness'), ('DQ-02','completeness'), ('DQ-04','completeness'), ('DQ-05','completeness'),
         ('DQ-06','completeness'), ('DQ-08','completeness'), ('DQ-07','validity'), ('DQ-09','validity'),
         ('DQ-03','uniqueness')) m(check_name, dimension) using (check_name) group by 1, 2""",
-       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.dimension_counts(_findings(s, d)))
+       td.SQL_DIRTY, _FINDINGS)(lambda s, d: rules.dimension_counts(_counts(s, d)))
 _BAD = " or ".join(f"({t[0]})" for t in _ROW_TESTS.values() if t[1] == "blocking")
 _COUNTED = f"""
     counted as (select run_id, count(*) as source_row_count,
@@ -407,7 +412,7 @@ _GATE = """
         left join (select distinct run_id from usable) u using (run_id)
         left join counted c on c.run_id = r.run_id)"""
 _query("gate_files", "select * from gate", td.SQL_DIRTY, _COUNTED, _GATE)(
-    lambda s, d: rules.gate(td.dirty_rows(s, d), _headers(s, d)))
+    lambda s, d: rules.gate(td.read_rows(s, d), _headers(s, d)))
 
 
 @_query("validation_preview", """
@@ -418,31 +423,66 @@ _query("gate_files", "select * from gate", td.SQL_DIRTY, _COUNTED, _GATE)(
         count(*) filter (severity_class = 'investigation') as investigation
         from findings group by 1) using (run_id)""", td.SQL_DIRTY, _FINDINGS, _COUNTED, _GATE)
 def _preview(spark: SparkSession, sf: str) -> DataFrame:
-    gate = rules.gate(td.dirty_rows(spark, sf), _headers(spark, sf))
-    names = list(schemas.SEVERITIES)
-    found = _findings(spark, sf).groupBy("run_id").agg(
-        *[F.count_if(F.col("severity_class") == n).alias(n) for n in names])
-    return gate.join(found, "run_id", "left").na.fill(0, names)
+    return rules.preview(td.read_rows(spark, sf), _headers(spark, sf))
 
 
 
 
-def _findings_at(spark: SparkSession, sf: str, run_id: int) -> DataFrame:
+# A pack with rules of a user's own: one about rows, two about sets.
+OWN_PACK = rules.STANDARD.with_rules(
+    rules.RowRule(
+        "OWN-01", rules.WARNING, lambda: F.coalesce((F.col("status") != "done") & (F.col("due_date_raw") < "1996-01-01"), F.lit(False)),
+        lambda row: F.concat(F.lit("open since before 1996 at source row "), row.cast("string"))),
+    rules.SetRule(
+        "OWN-02", rules.BLOCKING, "action_name", where=lambda: F.col("project_name") != "1-URGENT", fails=lambda g: g["n"] > 1, shows_rows=True,
+        message=lambda g: F.concat(F.lit("one name for "), g["n"].cast("string"), F.lit(" actions (source rows "), g["rows"], F.lit(")"))),
+    rules.SetRule(
+        "OWN-03", rules.INVESTIGATION, "project_name", where=lambda: F.col("project_name").isNotNull(), fails=lambda g: g["open"] * 2 > g["n"],
+        measures=(("open", "sum", "case when status = 'done' then 0 else 1 end"), ("last", "max", "due_date_raw")),
+        message=lambda g: F.concat(g["open"].cast("string"), F.lit(" of "), g["n"].cast("string"), F.lit(" actions are not done, the last due "), g["last"])),
+)
+_OWN_SQL = """
+    select run_id, 'OWN-01' as check_name, source_row_number::varchar as record_key, 'warning' as severity_class,
+           'open since before 1996 at source row ' || source_row_number as message, source_row_number::bigint as position
+    from usable where status <> 'done' and due_date_raw < '1996-01-01'
+    union all
+    select run_id, 'OWN-02', action_name, 'blocking', 'one name for ' || count(*) || ' actions (source rows '
+           || array_to_string(list(source_row_number order by source_row_number)[1:20], ', ') || ')', min(source_row_number)
+    from usable where project_name <> '1-URGENT' and action_name is not null group by run_id, action_name having count(*) > 1
+    union all
+    select run_id, 'OWN-03', project_name, 'investigation', count(*) filter (status is distinct from 'done') || ' of ' || count(*)
+           || ' actions are not done, the last due ' || max(due_date_raw), min(source_row_number)
+    from usable where project_name is not null group by run_id, project_name having 2 * count(*) filter (status is distinct from 'done') > count(*)"""
+_OWN_CHECKS = _CHECKS + ", 'OWN-01', 'OWN-02', 'OWN-03'"
+_query("pack_findings", f"""
+    select *, run_id * (1::bigint << 37) + list_position([{_OWN_CHECKS}], check_name) * (1::bigint << 32) + position as quality_result_id
+    from (select * from findings union all select * from own)""", td.SQL_DIRTY, _FINDINGS, f"own as ({_OWN_SQL})")(
+    lambda s, d: rules.with_result_ids(rules.all_findings(_usable(s, d), _headers(s, d), OWN_PACK), OWN_PACK))
+_query("pack_counts", "select run_id, check_name, severity_class, count(*) as findings from (from findings union all from own) group by all",
+       td.SQL_DIRTY, _FINDINGS, f"own as ({_OWN_SQL})")(
+    lambda s, d: rules.finding_counts(_usable(s, d), _headers(s, d), OWN_PACK))
+_query("pack_gate", f"""
+    select run_id, count(*) as source_row_count, count(*) filter (not coalesce(bad, false)) as valid_row_count,
+           count(*) filter (coalesce(bad, false)) as invalid_row_count
+    from (select run_id, ({_BAD}) or (not {_blank_sql('action_id')} and count(*) over (partition by run_id, action_id) > 1)
+            or (coalesce(project_name <> '1-URGENT', false) and action_name is not null
+                and count(*) filter (project_name <> '1-URGENT') over (partition by run_id, action_name) > 1) as bad
+          from usable) group by 1""", td.SQL_DIRTY)(lambda s, d: rules.validation_counts(_usable(s, d), OWN_PACK))
+
+
+def _findings_at(spark: SparkSession, sf: str, run_id: Column) -> DataFrame:
     """Findings of one run, which restricts the rows before any rule looks at them."""
-    rows, names = (t(spark, sf).where(F.col("run_id") == run_id) for t in (td.dirty_rows, td.headers))
-    lists = rules.header_lists(names)
-    return rules.all_findings(rules.usable_rows(rows, lists), lists)
+    rows, names = (t(spark, sf).where(F.col("run_id") == run_id) for t in (_usable, td.headers))
+    return rules.all_findings(rows, rules.header_lists(names))
 
 
 @_query("findings_of_run", f"""
-    select cast(row_number() over (order by check_name, position) as integer) as place,
-           check_name, record_key, severity_class, message from findings where run_id = {_LATEST}""",
+    select run_id * (1::bigint << 37) + list_position([{_CHECKS}], check_name) * (1::bigint << 32) + position
+           as quality_result_id, check_name, record_key, severity_class, message from findings where run_id = {_LATEST}""",
         td.SQL_DIRTY, _FINDINGS)
 def _findings_of_latest(spark: SparkSession, sf: str) -> DataFrame:
-    latest = ledger_ops.latest_run(td.ledger(spark, sf)).first()[0]
-    of_run = reports.findings_of_run(_findings_at(spark, sf, latest), F.lit(latest))
-    place = F.rank().over(Window.orderBy("quality_result_id"))  # one run's findings
-    return of_run.select(place.alias("place"), "check_name", "record_key", "severity_class", "message")
+    latest = ledger_ops.latest_run(td.ledger(spark, sf)).scalar()
+    return reports.findings_of_run(_findings_at(spark, sf, latest), latest)
 
 
 _query("snapshot_profile", f"""
@@ -515,7 +555,7 @@ _query("ingest_report", """
            count(f.run_id) filter (severity_class = 'warning') as warning_findings,
            count(f.run_id) filter (severity_class = 'investigation') as investigation_findings
     from ledger l left join findings f using (run_id) group by all""", td.SQL_DIRTY, _FINDINGS)(
-    lambda s, d: ledger_ops.ingest_report(td.ledger(s, d), _findings(s, d)))
+    lambda s, d: ledger_ops.ingest_report(td.ledger(s, d), _counts(s, d)))
 
 # --- trends and freshness --------------------------------------------------------------------
 
@@ -593,7 +633,7 @@ _query("quality_summary", f"""
            count(*) filter (severity_class = 'warning') as warning,
            count(*) filter (severity_class = 'investigation') as investigation
     from ledger l left join findings f using (run_id) where l.run_id = {_LATEST} group by all""",
-       td.SQL_DIRTY, _FINDINGS)(lambda s, d: reports.quality_summary(td.ledger(s, d), _findings(s, d)))
+       td.SQL_DIRTY, _FINDINGS)(lambda s, d: reports.quality_summary(td.ledger(s, d), _counts(s, d)))
 _CURRENT = f"cur as (select * from run_facts where run_id = {_LATEST})"
 
 
@@ -707,7 +747,7 @@ def _weekly(spark: SparkSession, sf: str) -> DataFrame:
     """Write the six sections and read from each what its rows are about and a figure of theirs."""
     out = fresh_folder(spark, "report")
     runs = td.ledger(spark, sf)
-    latest = ledger_ops.latest_run(runs).first()[0]
+    latest = ledger_ops.latest_run(runs).scalar()
     sections = reports.weekly_report(td.run_facts(spark, sf), runs, _findings_at(spark, sf, latest))
     shown = {
         "header": ("source_file", "run_id"), "by_project": ("project_name", "overdue_actions"),
@@ -741,7 +781,7 @@ _query("retention_plan", " union all ".join(f"""
         (5, "ingestion_runs", "ledger", "run_id"))),
     td.SQL_RUN_FACTS, td.SQL_DIRTY.replace(td.SQL_LEDGER + ", ", ""), _FINDINGS, td.SQL_DRAFTS)(
     lambda s, d: governance.retention_plan(td.ledger(s, d), {
-        "data_quality_results": _findings(s, d), "stg_actions": td.run_facts(s, d),
+        "data_quality_results": _counts(s, d), "stg_actions": td.run_facts(s, d),
         "raw_actions": td.raw_rows(s, d), "executive_summaries": td.drafts(s, d)}, CUTOFF))
 _query("masked_detail", f"""
     select * replace (case when owner = '{OWNER}' then owner else sha256('{SALT}' || owner) end as owner,

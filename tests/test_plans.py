@@ -65,3 +65,17 @@ def test_no_local_checkpoints_or_unbounded_collects():
         assert "localCheckpoint" not in text and "crossJoin" not in text and ".toPandas(" not in text
         if path.name not in ("ingest.py", "warehouse.py", "file_drop.py"):
             assert ".collect()" not in text, path
+
+
+def scans(spark, name: str) -> int:
+    """Reads of orders in the initial plan, scalar subqueries not counted twice."""
+    return plan_of(QUERIES[name].build(spark, SF)).split("Subqueries")[0].count("FileScan parquet")
+
+
+@pytest.mark.parametrize("name,most", [
+    ("all_findings", 2), ("pack_findings", 2), ("pack_counts", 4), ("severity_counts", 2), ("findings_matrix", 2), ("drift_report", 2), ("dimension_counts", 2),
+    ("finding_ids", 2), ("validation_counts", 1), ("gate_files", 2), ("validation_preview", 2), ("ri_03", 3), ("ingest_report", 3), ("quality_summary", 3),
+    ("retention_plan", 6), ("dq_03", 1), ("dq_09", 1),
+])
+def test_rules_read_their_input_once(spark, name, most):
+    assert scans(spark, name) <= most
