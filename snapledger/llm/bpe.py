@@ -20,6 +20,7 @@ an empty table gives no rows; extra columns stay in `encode`.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 import uuid
@@ -38,7 +39,9 @@ from pyspark.sql import types as T
 from snapledger.llm.common import folder, slices, worker_memo
 
 LEXICON_WORDS = 200_000
-KNOWN_CHUNKS = 200_000  # texts between white space, and words, that a worker remembers; beyond that it starts anew
+KNOWN_CHUNKS = 200_000  # texts between white space, and words, that a worker remembers, half of them the newer ones
+KNOWN_LETTERS = 64  # longer ones are not remembered, so what is remembered is bounded in bytes
+LONG_WORD = 48  # characters, from which on merging keeps its pairs in a heap
 
 # Fixed values of the public model: its word pattern, and the printable stand-in of every byte.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -77,7 +80,8 @@ class Model:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.word_pattern = regex.compile(WORD)
-        self.bytes = byte_characters()
+        self.bytes = dict(enumerate(byte_characters()))
+        self.texts = {i: str(i) for i in self.tokens}
 
     def words(self, text: str) -> list[str]:
         """Words of a text after normalisation; an added token is its own word, told apart by a leading NUL."""
@@ -92,6 +96,10 @@ class Model:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in ",." and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
             return self.word_pattern.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case of single characters
         return self.word_pattern.findall(text.lower())
@@ -100,8 +108,11 @@ class Model:
         """Ids of one word by merging the best-ranked neighbours until none is left."""
         if word[0] == "\0" and word[1:] in self.added:
             return [self.added[word[1:]]]
-        parts = [self.bytes[b] for b in word.encode()]
+        parts = list(word.encode().decode("latin-1").translate(self.bytes))
         parts[-1] += self.end
+        if len(parts) > LONG_WORD:
+            self._merge_long(parts)
+            return [self.vocab[p] for p in parts if p in self.vocab]
         # One merge at a time, the leftmost of the best rank; only the ranks beside it change.
         get, none = self.ranks.get, 1 << 60
         ranks = [get(p, none) for p in zip(parts, parts[1:])]
@@ -118,6 +129,28 @@ class Model:
                 ranks[i] = get((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def _merge_long(self, parts: list[str]) -> None:
+        """The same merges, the next one from a heap of (rank, place), so time grows with n log n."""
+        n, ranks = len(parts), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or ranks.get((parts[i], parts[j])) != rank:
+                continue  # one of the two was merged meanwhile
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := ranks.get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (new, i))
+            if (h := before[i]) >= 0 and (new := ranks.get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (new, h))
+        parts[:] = [p for p in parts if p]
+
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids)
 
@@ -222,12 +255,37 @@ def lexicon_of(name: str) -> Lexicon:
 Spelling = tuple[str, str, int]  # ids and tokens joined by spaces, and how many
 
 
-def _remembered(lexicon: str) -> tuple[dict[str, Spelling], dict[str, Spelling]]:
+class Remembered:
+    """Spellings that a worker keeps: newer ones, and older ones that go when the newer are many and take their place.
+    What is asked for again becomes new, so the frequent ones stay."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, Spelling] = {}
+        self.old: dict[str, Spelling] = {}
+
+    def put(self, text: str, spelling: Spelling) -> None:
+        if len(text) <= KNOWN_LETTERS:
+            self.new[text] = spelling
+
+    def again(self, text: str) -> Spelling | None:
+        found = self.old.pop(text, None)
+        if found:
+            self.new[text] = found
+        return found
+
+    def age(self) -> None:
+        if len(self.new) >= KNOWN_CHUNKS // 2:
+            self.old.clear()
+            self.old.update(self.new)
+            self.new.clear()
+
+
+def _remembered(lexicon: str) -> tuple[Remembered, Remembered]:
     """What a worker knows of chunks and of words, for one lexicon at a time."""
     memo = worker_memo("bpe", "known")
     if lexicon not in memo:
         memo.clear()
-        memo[lexicon] = ({}, {})
+        memo[lexicon] = (Remembered(), Remembered())
     return memo[lexicon]
 
 
@@ -293,28 +351,33 @@ def coded(docs: DataFrame, spec: str, lexicon: str, columns: dict[str, str]) ->
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = model_of(spec), lexicon_of(lexicon)
-        known, seen = _remembered(lexicon)
+        known_chunks, known_words = _remembered(lexicon)
+        known, seen, texts, tokens = known_chunks.new, known_words.new, model.texts, model.tokens
 
         def spelt(word: str) -> Spelling:
-            ids = words.find(word)
-            if ids is None:
-                ids = model.merged(word)
-            if len(seen) >= KNOWN_CHUNKS:
-                seen.clear()
-            seen[word] = out = (" ".join(map(str, ids)), model.decode(ids), len(ids))
+            out = known_words.again(word)
+            if out is None:
+                ids = words.find(word)
+                if ids is None:
+                    ids = model.merged(word)
+                out = (" ".join([texts[i] for i in ids]), " ".join([tokens[i] for i in ids]), len(ids))
+                known_words.put(word, out)
             return out
 
         def learn(chunk: str) -> Spelling:
-            parts = [p for p in [seen.get(w) or spelt(w) for w in model.words(chunk)] if p[2]]
-            if len(known) >= KNOWN_CHUNKS:
-                known.clear()
-            known[chunk] = out = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+            out = known_chunks.again(chunk)
+            if out is None:
+                parts = [p for p in [seen.get(w) or spelt(w) for w in model.words(chunk)] if p[2]]
+                out = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+                known_chunks.put(chunk, out)
             return out
 
         want = set(columns.values())
         for batch in slices(batches, "text"):
             made: dict[str, list] = {k: [] for k in want}
             for text in batch.column(text_at).to_pylist():
+                known_chunks.age()
+                known_words.age()
                 got = [known.get(c) or learn(c) for c in chunks(text or "")]
                 got = [g for g in got if g[2]]
                 if want & {"ids", "ids_sha256"}:

@@ -229,3 +229,28 @@ def test_vectors_that_cannot_be_whitened(spark):
     assert [r["component"] for r in line] == [1, 1, 1] and abs(line[0]["explained"] - 1) < 1e-12
     far = feast.whitened(frame((1, [2.0**30, 0.0]), (2, [-(2.0**30), 1.0]), (3, [2.0**36, 1.0]))).collect()
     assert {r["n"] for r in far} == {2} and {r["deviation"] for r in far} == {None} and abs(abs(far[0]["whitened"]) - 1) < 1e-9
+
+
+# -- BPE ------------------------------------------------------------------------------------------------------------
+
+
+def test_words_of_any_length_are_merged_like_the_library_does():
+    import time
+
+    from tokenizers import Tokenizer
+
+    from snapledger.llm import bpe
+
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    library.no_truncation()
+    with open(bpe.tokenizer_path(), encoding="utf-8") as file:
+        model = bpe.model_of(file.read())
+    draw = random.Random(6)
+    cases = ["".join(draw.choice(letters) for _ in range(n)) for letters in ("a", "ab", "etaoinshr", "éßçdeлю", "!?-*") for n in (1, 7, 47, 48, 49, 50, 300, 4000)]
+    cases += ["word,", "Word.", "it's", ".,", ",", "a.b", "x" * 40 + "\x7f", "<|startoftext|>a", "ABC,"]
+    for text in cases:
+        ids = [i for w in model.words(text) for i in model.merged(w)]
+        assert ids == library.encode(text, add_special_tokens=False).ids, text[:60]
+    begin = time.monotonic()
+    assert len(model.merged("".join(draw.choice("etaoinshr") for _ in range(200_000)))) > 1000
+    assert time.monotonic() - begin < 10
