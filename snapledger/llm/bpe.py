@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from snapledger.llm.common import folder, slices, worker_memo
 
 LEXICON_WORDS = 200_000
-KNOWN_CHUNKS = 200_000  # texts between white space, and words, that a worker remembers, half of them the newer ones
+KNOWN_CHUNKS = 400_000  # texts between white space, and words, that a worker remembers, half of them the newer ones
 KNOWN_LETTERS = 64  # longer ones are not remembered, so what is remembered is bounded in bytes
 LONG_WORD = 48  # characters, from which on merging keeps its pairs in a heap
 
