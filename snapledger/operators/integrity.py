@@ -51,11 +51,12 @@ def rollup_mismatches(facts: DataFrame) -> DataFrame:
 
 
 def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> DataFrame:
-    """(run_id, counts_differ, sums_differ) of freshly loaded runs where either check fails.
+    """(run_id, counts_differ, sums_differ, raw_key_repeats, fact_key_repeats) of freshly loaded runs where a check fails.
 
-    DQ-10 and the roll-up together: one pass over raw, one over the facts.
+    DQ-10, the roll-up, and the primary keys of both tables (RI-05 for the facts). Rows of both tables fold by key in
+    one aggregation, which also counts them.
     """
-    parts = expected.unionByName(_rows_per_run(raw, "raw_rows"), allowMissingColumns=True).unionByName(
+    parts = expected.unionByName(_keyed_counts(raw, facts), allowMissingColumns=True).unionByName(
         _rollup(facts), allowMissingColumns=True
     )
     sized = parts.groupBy("run_id").agg(
@@ -64,8 +65,20 @@ def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> Data
     out = sized.withColumnRenamed("all_total_actions", "fact_rows").selectExpr(
         "run_id", f"not ({_COUNTS_AGREE}) as counts_differ",
         f"not ({_SUMS_AGREE.replace('all_total_actions', 'fact_rows')}) as sums_differ",
+        "coalesce(raw_repeats, 0) > 0 as raw_key_repeats", "coalesce(fact_repeats, 0) > 0 as fact_key_repeats",
+    )
+    return out.where("counts_differ or sums_differ or raw_key_repeats or fact_key_repeats")
+
+
+def _keyed_counts(raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per run: raw_rows, and the rows of either table beyond the first of their primary key."""
+    keyed = raw.select("run_id", F.lit("raw").alias("side"), F.col("source_row_number").cast("string").alias("key")).unionByName(
+        facts.select("run_id", F.lit("fact").alias("side"), F.col("action_id").alias("key")))
+    per_key = keyed.groupBy("run_id", "side", "key").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("run_id").agg(
+        F.sum(F.when(F.col("side") == "raw", F.col("n"))).alias("raw_rows"),
+        *[F.sum(F.when(F.col("side") == side, F.col("n") - 1)).alias(f"{side}_repeats") for side in ("raw", "fact")],
     )
-    return out.where("counts_differ or sums_differ")
 
 
 def rollup_by_run(facts: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ STANDARD = Pack(ROW_RULES, SET_RULES)
 # Order of the checks inside a run's findings.
 CHECK_ORDER = (
     "DQ-01", "DQ-02", "DQ-03", "DQ-04", "DQ-05", "DQ-06", "DQ-07", "DQ-08", "DQ-09", "DQ-10",
-    "DQ-11", "DQ-12",
+    "DQ-11", "DQ-12", "RI-05",
 )
 
 # Which quality dimension a rule measures.

@@ -506,12 +506,13 @@ _query("snapshot_profile", f"""
     from (values ('run_id'), ('source_row_number'), ('action_id'), ('project_name'), ('action_name'),
                  ('owner'), ('due_date_raw'), ('status'), ('field_count')) t(column_name)
     union all select 'status', 'allowed_values', (select count(*) from dirty
-        where status not in ('done', 'in_progress', 'todo'))""", td.SQL_DIRTY)
+        where status not in ('done', 'in_progress', 'todo'))
+    union all select 'run_id, action_id', 'primary_key', (select count(*) - count(distinct (run_id, action_id)) from dirty)""", td.SQL_DIRTY)
 def _contract(spark: SparkSession, sf: str) -> DataFrame:
     fields = [f for f in schemas.INPUT_ROWS if f.name != "header_count"]
     strict = schemas.StructType([schemas.StructField(f.name, f.dataType, False) for f in fields])
     return schemas.contract_violations(
-        td.dirty_rows(spark, sf), strict, {"status": schemas.ACTION_STATUSES})
+        td.dirty_rows(spark, sf), strict, {"status": schemas.ACTION_STATUSES}, schemas.PRIMARY_KEYS["stg_actions"])
 
 
 # --- integrity -------------------------------------------------------------------------------
@@ -940,6 +941,36 @@ def _loaded(spark: SparkSession, sf: str) -> Warehouse:
 
 
 _LEDGER_COLUMNS = ("source_hash", "status", "source_row_count", "valid_row_count", "invalid_row_count")
+@_query("orphan_folders", """
+    select 'stg_actions' as table_name, run_id, status
+    from (select distinct case when action_id like '%77' then 1000 + run_id % 5 else run_id end as run_id from run_facts)
+    left join ledger using (run_id) where status is null or status in ('failed', 'running')""", td.SQL_RUN_FACTS)
+def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """A store in which loads were killed, failed, or lost their ledger entries."""
+    return _broken_store(spark, sf).orphans(datetime(2100, 1, 1))
+
+
+@_query("ri_01_stored", """
+    select distinct run_id from (select case when action_id like '%77' then 1000 + run_id % 5 else run_id end as run_id from run_facts)
+    where run_id not in (select run_id from ledger where status = 'succeeded')""", td.SQL_RUN_FACTS)
+def _stored_without_success(spark: SparkSession, sf: str) -> DataFrame:
+    wh = _broken_store(spark, sf)
+    return integrity.facts_without_success(wh.read("stg_actions"), wh.runs())
+
+
+@_query("latest_stored_facts", f"select action_id, due_date from run_facts where action_id not like '%77' and run_id = {_LATEST}", td.SQL_RUN_FACTS)
+def _latest_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return _broken_store(spark, sf).latest_facts().select("action_id", "due_date")
+
+
+def _broken_store(spark: SparkSession, sf: str) -> Warehouse:
+    wh = Warehouse(spark, fresh_folder(spark, "broken"))
+    wh.append("run_events", td.run_events(spark, sf))
+    lost = F.when(F.col("action_id").endswith("77"), 1000 + F.col("run_id") % 5).otherwise(F.col("run_id"))
+    wh.append("stg_actions", td.run_facts(spark, sf).withColumns({"run_id": lost, "loaded_at": F.expr("timestamp_ntz '2001-08-02 10:00:00'")}))
+    return wh
+
+
 _query("ingest_ledger", _LOADED, td.SQL_FILES, _FILE_ROWS, _FILE_GATE)(
     lambda s, d: _loaded(s, d).runs().select(*_LEDGER_COLUMNS))
 

@@ -127,6 +127,15 @@ CHECKS = {
 }
 
 
+# Columns that tell the rows of a table apart. Those of a run's rows are proved before the run is committed.
+PRIMARY_KEYS = {
+    "run_events": ("run_id", "event_seq"),
+    "raw_actions": ("run_id", "source_row_number"),
+    "stg_actions": ("run_id", "action_id"),
+    "data_quality_results": ("quality_result_id",),
+    "executive_summaries": ("summary_id",),
+}
+
 # What must hold between a row's columns, per table: SQL conditions.
 ROW_CHECKS = {
     "stg_actions": (
@@ -167,13 +176,22 @@ def enforced(df: DataFrame, name: str) -> DataFrame:
 
 
 def contract_violations(
-    df: DataFrame, schema: StructType, allowed: dict[str, tuple[str, ...]] | None = None
+    df: DataFrame, schema: StructType, allowed: dict[str, tuple[str, ...]] | None = None, key: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(column_name, check, violations) per NOT NULL and value-list constraint, in one pass."""
+    """(column_name, check, violations) per NOT NULL and value-list constraint and of the primary key, in one pass.
+
+    A key's violations are the rows beyond the first of each key. Rows fold to their key before they move.
+    """
     tests = [(f.name, "not_null", F.col(f.name).isNull()) for f in schema if not f.nullable]
     for name, values in (allowed or {}).items():
         tests.append((name, "allowed_values", ~F.col(name).isin(*values)))
-    counts = df.agg(*[F.count_if(bad).alias(f"v{i}") for i, (_, _, bad) in enumerate(tests)])
+    folded = [F.count_if(bad).alias(f"v{i}") for i, (_, _, bad) in enumerate(tests)]
+    if key:
+        by_key = df.groupBy(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)]).agg(*folded, (F.count(F.lit(1)) - 1).alias(f"v{len(tests)}"))
+        tests.append((", ".join(key), "primary_key", None))
+        counts = by_key.agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0)).cast("bigint").alias(f"v{i}") for i in range(len(tests))])
+    else:
+        counts = df.agg(*folded)
     rows = F.array(
         *[
             F.struct(

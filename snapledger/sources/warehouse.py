@@ -5,6 +5,7 @@ The folder must be on storage that all executors share.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger import schemas
+from snapledger.functions.time import ntz
 from snapledger.operators import governance, runs as ledger
 from snapledger.sources.folders import fresh_folder
 from snapledger.sources.local import small_table
@@ -90,9 +92,12 @@ class Warehouse:
         return ledger.visible(self.read("stg_actions"), self.runs())
 
     def latest_facts(self) -> DataFrame:
-        """Facts of the latest successful run; empty when there is none."""
-        run_id = self.latest_run_id()
-        return self.facts_at([] if run_id is None else [run_id])
+        """Facts of the latest successful run; empty when there is none.
+
+        One plan: the run is a scalar subquery among the scan's partition filters, so only its folder is read, and
+        the run is chosen when the result is computed.
+        """
+        return ledger.of_latest_run(self.read("stg_actions"), self.runs())
 
     def facts_at(self, run_ids: int | list[int]) -> DataFrame:
         """Facts of given successful runs, for readers pinned to them."""
@@ -124,6 +129,66 @@ class Warehouse:
         finally:
             self.remove(staged)
 
+    # --- leftovers ---------------------------------------------------------------------------
+
+    def orphans(self, started_before: datetime) -> DataFrame:
+        """(table_name, run_id, status): rows' folders that no reader sees and no load will finish.
+
+        These are folders of runs that the ledger does not know (status NULL) or has purged, and raw rows and facts of
+        runs that failed, or that are still running though they started before the given time.
+        """
+        listed = [
+            {"table_name": name, "run_id": int(run)}
+            for name in PARTITION for run in (folder.partition("=")[2] for folder in self.folders(name)) if run.isdigit()
+        ]
+        there = small_table(self.spark, listed, "table_name string, run_id long")
+        known = ledger.run_state(self.read("run_events")).select("run_id", "status", "started_at")
+        loaded = F.col("table_name").isin("raw_actions", "stg_actions")
+        left = F.col("status").isNull() | (F.col("status") == schemas.PURGED) | loaded & (
+            (F.col("status") == "failed") | (F.col("status") == "running") & (F.col("started_at") < ntz(started_before)))
+        return there.join(known, "run_id", "left").where(left).select("table_name", "run_id", "status")
+
+    def sweep(self, started_before: datetime) -> list[dict]:
+        """Delete the orphans and mark the runs that never ended as failed; gives what was deleted.
+
+        It may be stopped and repeated: what is gone is not listed again, and a run is marked last.
+        """
+        gone = [r.asDict() for r in self.orphans(started_before).orderBy("run_id", "table_name").toLocalIterator()]
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(lambda r: self.drop_run(r["table_name"], r["run_id"]), gone))
+        state = self._last_events()
+        stuck = state.where((F.col("status") == "running") & (F.col("started_at") < ntz(started_before)))
+        self._mark(stuck, "failed", completed_at=F.greatest("started_at", ntz(started_before)))
+        return gone
+
+    def compact(self, name: str) -> int:
+        """Put the small files of the ledger or the configuration into one; gives how many there were.
+
+        The new file is written beside the old ones before these go. Readers fold repeated events and entries, so
+        they see the same at any moment, also where it stops half way.
+        """
+        if name in PARTITION:
+            raise ValueError(f"{name} is kept by run")
+        if not self.exists(name):
+            return 0
+        target = self._fs_path(self.path(name))
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in fs.listStatus(target) if s.isFile() and s.getPath().getName().startswith("part-")]
+        if len(old) > 1:
+            self.append(name, self.read(name).distinct().coalesce(1))
+            for path in old:
+                fs.delete(path, False)
+        return len(old)
+
+    def _last_events(self) -> DataFrame:
+        events = self.read("run_events")
+        return events.groupBy("run_id").agg(F.max_by(F.struct(*events.columns), "event_seq").alias("s")).select("s.*")
+
+    def _mark(self, events: DataFrame, status: str, **more: Column) -> None:
+        """Append a further event for runs, given by their last ones."""
+        marks = events.withColumns({"event_seq": F.col("event_seq") + 1, "status": F.lit(status)} | more)
+        self.append("run_events", marks.coalesce(1))
+
     # --- removal ----------------------------------------------------------------------------
 
     def remove(self, folder: str) -> None:
@@ -146,11 +211,7 @@ class Warehouse:
                 self.drop_run(row["table_name"], row["run_id"])
         if gone:
             marked = small_table(self.spark, gone, "run_id long")
-            last = self.read("run_events").join(marked, "run_id", "left_semi")
-            state = last.groupBy("run_id").agg(F.max_by(F.struct(*last.columns), "event_seq").alias("s"))
-            marks = state.select("s.*").withColumns(
-                {"event_seq": F.col("event_seq") + 1, "status": F.lit(schemas.PURGED)})
-            self.append("run_events", marks.coalesce(1))
+            self._mark(self._last_events().join(marked, "run_id", "left_semi"), schemas.PURGED)
 
     def erase_owner(self, owner: str) -> list[dict]:
         """Remove every row about an owner from all tables, rewriting only the runs it is in.

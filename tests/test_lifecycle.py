@@ -114,6 +114,48 @@ def test_a_stage_that_loses_or_changes_rows_is_caught(wh, tmp_path):
     assert result.outcome == "failed" and "DQ-10" in result.message and wh.read("stg_actions").isEmpty()
 
 
+def test_a_stage_that_repeats_a_key_is_caught(wh, tmp_path):
+    """As many rows as before, all sums as before, but one item twice and another one gone."""
+    def one_twice(target, rows, day):
+        twin = F.when(F.col("action_id") == "N-13", F.lit("N-12")).otherwise(F.col("action_id"))
+        loading.build_facts(target, rows.withColumn("action_id", twin), day)
+
+    result = load(wh, write_csv(tmp_path / "t.csv", golden_rows()), on_facts=one_twice)
+    assert result.outcome == "failed" and "RI-05" in result.message
+    assert wh.read("stg_actions").isEmpty() and wh.read("raw_actions").isEmpty() and wh.latest_facts().isEmpty()
+    assert [(r.check_name, r.severity_class) for r in wh.findings().collect()] == [("RI-05", "blocking")]
+
+
+def test_a_killed_load_is_swept(wh, tmp_path, monkeypatch):
+    load(wh, write_csv(tmp_path / "a.csv", golden_rows()))
+    path = write_csv(tmp_path / "b.csv", golden_rows()[:5])
+    with monkeypatch.context() as m:  # the process dies after its rows were written
+        m.setattr(loading, "reconcile", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            loading.ingest(wh, path, REF)
+    wh.append("stg_actions", wh.read("stg_actions").where("run_id = 1").withColumn("run_id", F.lit(77).cast("bigint")))
+    later = datetime.now() + timedelta(days=2)
+    assert wh.facts().count() == 9 and wh.read("stg_actions").count() == 9 + 5 + 9
+    assert [r.run_id for r in integrity.facts_without_success(wh.read("stg_actions"), wh.runs()).orderBy("run_id").collect()] == [2, 77]
+    assert {(r.table_name, r.run_id) for r in wh.orphans(datetime(2000, 1, 1)).collect()} == {("stg_actions", 77)}
+    gone = {(r["table_name"], r["run_id"], r["status"]) for r in wh.sweep(later)}
+    assert gone == {("raw_actions", 2, "running"), ("stg_actions", 2, "running"), ("stg_actions", 77, None)}
+    assert wh.sweep(later) == [] and wh.read("stg_actions").count() == 9
+    assert {r.run_id: r.status for r in wh.runs().collect()} == {1: "succeeded", 2: "failed"}
+    assert load(wh, path).outcome == "succeeded"
+
+
+def test_small_files_are_put_together(wh, tmp_path):
+    for k in range(3):
+        load(wh, write_csv(tmp_path / f"{k}.csv", golden_rows()[: 3 + k]))
+    before, config = sorted(wh.runs().collect()), sorted(wh.config().collect())
+    assert wh.compact("run_events") >= 6 and wh.compact("app_config") >= 3
+    assert sorted(wh.runs().collect()) == before and sorted(wh.config().collect()) == config
+    assert wh.compact("run_events") == 1 and len(wh.read("run_events").inputFiles()) == 1
+    with pytest.raises(ValueError, match="kept by run"):
+        wh.compact("stg_actions")
+
+
 def test_nothing_is_left_behind(wh, tmp_path):
     import pathlib
 

@@ -13,7 +13,7 @@ from snapledger.plans import testdata as td
 SF = "/root/testdata/sf0.001"
 FILE_QUERIES = {
     "src_rows", "src_header", "file_fingerprint", "file_admission", "ingest_ledger", "ingest_findings",
-    "ingest_facts", "stream_ingest", "saved_drafts", "weekly_report",
+    "ingest_facts", "stream_ingest", "saved_drafts", "weekly_report", "orphan_folders", "ri_01_stored", "latest_stored_facts",
 }
 
 
@@ -48,6 +48,11 @@ def test_run_folders_are_pruned(golden):
     assert "PartitionFilters: [isnotnull(run_id" in plan_of(pinned) and pinned.count() == 0
 
 
+def test_the_latest_run_is_chosen_inside_the_plan(golden):
+    df = golden.latest_facts()
+    assert re.search(r"PartitionFilters: \[[^]]*Subquery", plan_of(df)) and df.count() == 9
+
+
 def test_metrics_read_no_clock():
     root = pathlib.Path(snapledger.__file__).parent
     for path in [*root.glob("operators/*.py"), *root.glob("functions/*.py")]:
