@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -47,6 +49,58 @@ def masked_findings(findings: DataFrame, role: str) -> DataFrame:
     return findings.withColumns({c: F.lit(None).cast("string") for c in ("record_key", "message")})
 
 
+# --- what a role may see ---------------------------------------------------------------------
+
+CLEAR, TOKEN, HIDDEN = "clear", "token", "hidden"
+
+
+@dataclass(frozen=True)
+class Mask:
+    """A policy row: how a column of a table looks to roles that don't see it clear."""
+
+    table: str
+    column: str
+    clear: tuple[str, ...]
+    otherwise: str
+
+
+# The roles, what limits a role's rows, and the policy rows.
+ROLES = ("ROLE-01", "ROLE-02", "ROLE-03", "ROLE-04", "ROLE-05", "ROLE-06")
+ROW_LIMITS = {"ROLE-02": "project_name", "ROLE-04": "owner"}
+MASKS = tuple(
+    Mask(table, column, clear, otherwise)
+    for table in ("stg_actions", "raw_actions")
+    for column, clear, otherwise in (("owner", ("ROLE-03", "ROLE-04", "ROLE-06"), TOKEN), ("action_name", ("ROLE-03", "ROLE-06"), HIDDEN))
+) + (
+    Mask("data_quality_results", "record_key", ("ROLE-06",), HIDDEN),
+    Mask("data_quality_results", "message", ("ROLE-06",), HIDDEN),
+    Mask("executive_summaries", "summary_text", ("ROLE-01", "ROLE-02", "ROLE-03", "ROLE-05", "ROLE-06"), HIDDEN),
+)
+
+
+def bound(
+    rows: DataFrame, table: str, actor: str, role: str, salt: str, entitlements: DataFrame, masks: Sequence[Mask] = MASKS
+) -> DataFrame:
+    """Rows of a table as an actor in a role may see them: first the rows of their scope, then masked columns.
+
+    A role with limited rows sees those whose limiting column holds a value that `entitlements` (actor and that
+    column) gives the actor, and nothing of a table without the column. A value in scope is one's own, so it is clear
+    where the policy says so. A role or treatment that is not known is an error, never an open door.
+    """
+    if role not in ROLES:
+        raise ValueError(f"unknown role: {role}")
+    limit = ROW_LIMITS.get(role)
+    if limit is not None:
+        rows = row_scope(rows, entitlements, actor, limit) if limit in rows.columns else rows.where(F.lit(False))
+    shown = {}
+    for m in masks:
+        if m.table == table and role not in m.clear:
+            if m.otherwise not in (TOKEN, HIDDEN):
+                raise ValueError(f"unknown treatment: {m.otherwise}")
+            shown[m.column] = token(m.column, salt) if m.otherwise == TOKEN else F.lit(None).cast("string")
+    return rows.withColumns(shown) if shown else rows
+
+
 def subject_rows(subject: str) -> dict[str, Column]:
     """Per table the condition that a row is about a person: the owner, or a text that names them."""
     who = F.lit(subject)

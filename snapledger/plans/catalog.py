@@ -799,6 +799,19 @@ _query("row_scope", f"""
        td.SQL_FACTS)(
     lambda s, d: governance.row_scope(
         metrics.overdue_rows(td.facts(s, d)), td.entitlements(s, d), "nation-3").select(*metrics.DETAIL_COLUMNS))
+_SCOPED = "owner in (select 'Owner-' || lpad((c_custkey % 97)::varchar, 3, '0') from customer where c_nationkey = 3)"
+for _role, _owner, _name, _rows in (
+    ("ROLE-01", f"sha256('{SALT}' || owner)", "null::varchar", "true"), ("ROLE-02", f"sha256('{SALT}' || owner)", "null::varchar", "project_name = '2-HIGH'"),
+    ("ROLE-03", "owner", "action_name", "true"), ("ROLE-04", "owner", "null::varchar", _SCOPED), ("ROLE-06", "owner", "action_name", "true"),
+):
+    _query(f"bound_{_role[-2:]}", f"""
+        select project_name, {_owner} as owner, count({_name}) as names, count(*) as total_actions from facts where {_rows} group by 1, 2""", td.SQL_FACTS)(
+        lambda s, d, role=_role: governance.bound(
+            td.facts(s, d), "stg_actions", "nation-3", role, SALT,
+            td.entitlements(s, d).withColumn("project_name", F.when(F.col("actor") == "nation-3", "2-HIGH").otherwise("5-LOW")),
+        ).groupBy("project_name", "owner").agg(F.count("action_name").alias("names"), F.count(F.lit(1)).alias("total_actions")))
+_query("masked_findings", "select run_id, check_name, severity_class, null::varchar as record_key, null::varchar as message, position from findings",
+       td.SQL_DIRTY, _FINDINGS)(lambda s, d: governance.masked_findings(_findings(s, d), "ROLE-03"))
 _query("erasure_report", f"""
     select *, rows_before - subject_rows as rows_after from (
         select 'stg_actions' as table_name, run_id, count(*) as rows_before,

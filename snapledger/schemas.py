@@ -22,6 +22,7 @@ RUN_STATUSES = ("running", "succeeded", "failed")
 # Ledger mark of a run whose rows were deleted; readers never see such runs.
 PURGED = "purged"
 SEVERITIES = ("blocking", "warning", "investigation")
+AUDIT_EVENTS = ("query", "export", "change", "erasure", "ai_context_send")
 ALL_PROJECTS = "All Projects"
 MAX_FILE_BYTES = 256 * 1024 * 1024
 MAX_FIELD_CHARS = 131_072
@@ -110,6 +111,29 @@ APP_CONFIG = _table(
     ("updated_at", TimestampNTZType, REQUIRED),
 )
 
+AUDIT_LOG = _table(
+    ("audit_id", LongType, REQUIRED),
+    ("event_time", TimestampNTZType, REQUIRED),
+    ("actor_id", StringType, REQUIRED),
+    ("role_id", StringType, REQUIRED),
+    ("event_type", StringType, REQUIRED),
+    ("dataset", StringType, REQUIRED),
+    ("run_id", LongType, OPTIONAL),
+    ("query_ref", StringType, REQUIRED),
+    ("columns_accessed", StringType, REQUIRED),
+    ("row_count", LongType, REQUIRED),
+)
+
+PURGE_STEPS = _table(
+    ("purge_id", StringType, REQUIRED),
+    ("step", IntegerType, REQUIRED),
+    ("table_name", StringType, REQUIRED),
+    ("run_id", LongType, REQUIRED),
+    ("rows", LongType, REQUIRED),
+    ("state", StringType, REQUIRED),
+    ("at", TimestampNTZType, REQUIRED),
+)
+
 TABLES = {
     "run_events": RUN_EVENTS,
     "raw_actions": RAW_ACTIONS,
@@ -117,6 +141,8 @@ TABLES = {
     "data_quality_results": DATA_QUALITY_RESULTS,
     "executive_summaries": EXECUTIVE_SUMMARIES,
     "app_config": APP_CONFIG,
+    "audit_log": AUDIT_LOG,
+    "purge_steps": PURGE_STEPS,
 }
 
 # Column -> allowed values, per table.
@@ -124,6 +150,8 @@ CHECKS = {
     "run_events": {"status": (*RUN_STATUSES, PURGED)},
     "ingestion_runs": {"status": RUN_STATUSES},
     "data_quality_results": {"severity_class": SEVERITIES},
+    "audit_log": {"event_type": AUDIT_EVENTS},
+    "purge_steps": {"state": ("planned", "done")},
 }
 
 
@@ -134,6 +162,7 @@ PRIMARY_KEYS = {
     "stg_actions": ("run_id", "action_id"),
     "data_quality_results": ("quality_result_id",),
     "executive_summaries": ("summary_id",),
+    "audit_log": ("audit_id",),
 }
 
 # What must hold between a row's columns, per table: SQL conditions.

@@ -5,8 +5,9 @@ The folder must be on storage that all executors share.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,17 +202,44 @@ class Warehouse:
         self.remove(f"{self.path(name)}/{PARTITION[name]}={run_id}")
 
     def purge(self, plan: DataFrame) -> None:
-        """Carry out a retention plan in its step order; the plan has one row per run and table."""
-        steps = plan.select("step", "table_name", "run_id").distinct().orderBy("step", "run_id")
-        gone = []
-        for row in steps.toLocalIterator():  # a partition of the plan at a time
-            if row["table_name"] == "ingestion_runs":
-                gone.append({"run_id": row["run_id"]})
+        """Carry out a retention plan in its step order; the plan has one row per run and table.
+
+        The plan is stored before anything goes. Where a purge is stopped, `resume_purges` or the next purge ends it.
+        """
+        self._record(plan.select(
+            "step", "table_name", "run_id", "rows", F.lit(uuid.uuid4().hex).alias("purge_id"), F.lit("planned").alias("state")))
+        self.resume_purges()
+
+    def pending_purges(self) -> DataFrame:
+        """Stored steps that were planned and are not done; never one of the latest successful run."""
+        steps = self.read("purge_steps")
+        keys = ["purge_id", "step", "table_name", "run_id"]
+        state = steps.groupBy(*keys).agg(F.max("rows").alias("rows"), F.bool_or(F.col("state") == "done").alias("done"))
+        keep = F.coalesce(ledger.latest_run(self.runs()).scalar(), F.lit(-1).cast("bigint"))
+        return state.where(~F.col("done") & (F.col("run_id") != keep)).select(*keys, "rows")
+
+    def resume_purges(self) -> int:
+        """End purges that were stopped; gives the number of steps. Each step can be repeated, and is marked when done."""
+        total = 0
+        for step, name in enumerate(governance.PURGE_ORDER, start=1):
+            todo = self.pending_purges().where(F.col("step") == step)
+            rows = [r.asDict() for r in todo.toLocalIterator()]  # a row per run
+            if not rows:
+                continue
+            done = small_table(self.spark, rows, "purge_id string, step int, table_name string, run_id long, rows long")
+            if name == "ingestion_runs":
+                left = self._last_events().where(F.col("status") != schemas.PURGED)
+                self._mark(left.join(done.select("run_id"), "run_id", "left_semi"), schemas.PURGED)
             else:
-                self.drop_run(row["table_name"], row["run_id"])
-        if gone:
-            marked = small_table(self.spark, gone, "run_id long")
-            self._mark(self._last_events().join(marked, "run_id", "left_semi"), schemas.PURGED)
+                with ThreadPoolExecutor(8) as pool:
+                    list(pool.map(lambda r: self.drop_run(r["table_name"], r["run_id"]), rows))
+            self._record(done.withColumn("state", F.lit("done")))
+            total += len(rows)
+        return total
+
+    def _record(self, steps: DataFrame) -> None:
+        now = datetime.now(UTC).replace(tzinfo=None)
+        self.append("purge_steps", steps.withColumn("at", ntz(now)).coalesce(1))
 
     def erase_owner(self, owner: str) -> list[dict]:
         """Remove every row about an owner from all tables, rewriting only the runs it is in.

@@ -223,6 +223,58 @@ def test_purge_keeps_the_latest_success(wh, tmp_path):
     assert load(wh, write_csv(tmp_path / "n.csv", golden_rows()[:7])).run_id == 4
 
 
+def test_a_purge_that_was_stopped_goes_on(wh, tmp_path, monkeypatch):
+    for n in (4, 5, 6):
+        load(wh, write_csv(tmp_path / f"{n}.csv", golden_rows()[:n]))
+    tables = {n: wh.read(n) for n in ("data_quality_results", "stg_actions", "raw_actions")}
+    plan = governance.retention_plan(wh.runs(), tables, datetime.now() + timedelta(days=2))
+    whole = wh.drop_run
+
+    def broken(name, run_id):
+        if name == "raw_actions":
+            raise OSError("storage went away")
+        whole(name, run_id)
+
+    with monkeypatch.context() as m:
+        m.setattr(wh, "drop_run", broken)
+        with pytest.raises(OSError):
+            wh.purge(plan)
+    assert wh.read("stg_actions").count() == 6 and wh.read("raw_actions").count() == 15
+    left = sorted((r.step, r.table_name, r.run_id, r.rows) for r in wh.pending_purges().collect())
+    assert left == [(3, "raw_actions", 1, 4), (3, "raw_actions", 2, 5), (5, "ingestion_runs", 1, 1), (5, "ingestion_runs", 2, 1)]
+    assert wh.resume_purges() == 4 and wh.resume_purges() == 0
+    assert wh.read("raw_actions").count() == 6 and [r.run_id for r in wh.runs().collect()] == [3]
+
+
+def test_answers_are_bound_to_an_identity_and_logged(golden, wh, tmp_path):
+    from snapledger.sources.governed import GovernedReader
+
+    load(wh, write_csv(tmp_path / "a.csv", golden_rows()))
+    keys = wh.spark.createDataFrame([("a", "mina", "Harbour"), ("b", "ola", "Mill")], "actor string, owner string, project_name string")
+
+    def read(actor, role, dataset="stg_actions", build=lambda rows: rows, **kw):
+        return GovernedReader(wh, actor, role, "salt", keys).answer(dataset, "Q-TEST", build, lambda df: df.collect(), **kw)
+
+    assert {(r.owner, r.action_name) for r in read("a", "ROLE-04")} == {("mina", None)}
+    assert {r.owner for r in read("b", "ROLE-04", "raw_actions")} == {"ola"} and read("c", "ROLE-04") == []
+    assert {r.project_name for r in read("b", "ROLE-02")} == {"Mill"} and not any(r.owner in ("mina", "ola", "ravi") for r in read("b", "ROLE-02"))
+    assert len(read("x", "ROLE-03")) == 9 and {r.action_name for r in read("x", "ROLE-05")} == {None}
+    assert read("a", "ROLE-04", build=lambda rows: rows.where("owner = 'ola'")) == []  # no filter opens another scope
+    assert read("a", "ROLE-04", "data_quality_results") == [] == read("a", "ROLE-04", "executive_summaries")
+    assert [r.total_actions for r in read("x", "ROLE-03", build=metrics.portfolio, run_id=1)] == [9] and read("x", "ROLE-06", run_id=9) == []
+    with pytest.raises(ValueError, match="unknown role"):
+        read("a", "ROLE-99")
+    with pytest.raises(ValueError, match="unknown dataset"):
+        read("a", "ROLE-06", "audit_log")
+    with pytest.raises(ZeroDivisionError):
+        GovernedReader(wh, "a", "ROLE-06", "salt", keys).answer("stg_actions", "Q", lambda rows: rows, lambda df: 1 / 0)
+    log = wh.read("audit_log").orderBy("event_time").collect()
+    assert [(e.actor_id, e.role_id, e.dataset, e.row_count) for e in log[:3]] == [("a", "ROLE-04", "stg_actions", 3), ("b", "ROLE-04", "raw_actions", 3), ("c", "ROLE-04", "stg_actions", 0)]
+    assert len(log) == 12 and len({e.audit_id for e in log}) == 12 and log[10].run_id == 1 and log[10].row_count == 1
+    (rolled,) = governance.audit_rollup(wh.read("audit_log").where("dataset = 'raw_actions'")).collect()
+    assert tuple(rolled) == ("query", "raw_actions", 1, 1, 3)
+
+
 def test_erasing_an_owner(wh, tmp_path):
     load(wh, write_csv(tmp_path / "a.csv", golden_rows()))
     load(wh, write_csv(tmp_path / "one.csv", golden_rows()[:1]))
