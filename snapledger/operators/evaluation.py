@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions.text import DRAFT_WORD_EN, DRAFT_WORD_TH
@@ -79,21 +79,44 @@ def structure(drafts: DataFrame, marks: Sequence[str] = SECTION_MARKS) -> DataFr
     )
 
 
+def _grams(words: Column) -> Column:
+    """Words and pairs of neighbours of an array of words."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda p: p.isNotNull()))
+
+
+def name_candidates(drafts: DataFrame, names: DataFrame) -> DataFrame:
+    """(summary_id, project_name): drafts that hold the rarest part of a name. No mention is missed.
+
+    A name of several words is made of the pairs of neighbours in it, a name of one word of that word, and a name
+    without words of its characters. Parts are counted over all drafts and each name is looked up by the one that fewest
+    drafts hold, so a word that many names share costs nothing; a name with a part that no draft holds is mentioned
+    nowhere. Drafts give only parts that some name has; their texts do not move.
+    """
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
+    marks = F.array_distinct(F.split(F.regexp_replace("text", WORD_PATTERN, ""), ""))
+    parts = names.select("project_name", F.col("project_name").alias("text")).distinct().withColumn("words", words)
+    of_name = F.when(F.size("words") > 1, F.filter(_grams(F.col("words")), lambda g: F.contains(g, F.lit(" "))))
+    parts = parts.select("project_name", F.explode(
+        of_name.when(F.size("words") == 1, F.col("words")).otherwise(marks)).alias("part")).where("part <> ''").distinct()
+    said = drafts.select("summary_id", F.col("summary_text").alias("text")).select(
+        "summary_id", F.explode(F.array_distinct(F.concat(_grams(words), marks))).alias("part"))
+    said = said.join(parts.select("part").distinct(), "part", "left_semi")
+    known = said.groupBy("part").agg(F.count(F.lit(1)).alias("drafts"))
+    weighed = parts.join(known, "part", "left").withColumn("drafts", F.coalesce("drafts", F.lit(0)))
+    rarest = weighed.groupBy("project_name").agg(F.min(F.struct("drafts", "part")).alias("least"))
+    keys = rarest.where("least.drafts > 0").select("project_name", F.col("least.part").alias("part"))
+    return said.join(keys, "part").select("summary_id", "project_name")
+
+
 def out_of_scope_projects(drafts: DataFrame, projects: DataFrame) -> DataFrame:
     """EV-04: project names a filtered draft mentions although its filter is another project.
 
-    A mention must contain the first word of the name, so drafts meet names by an equi-join on
-    their distinct words, without their texts; the candidate pairs then look for the whole name.
+    Candidates come from the rarest part of each name; in them the whole name is looked for in the text. An empty name
+    is none.
     """
-    filtered = drafts.where(F.col("project_filter").isNotNull())
-    words = F.regexp_extract_all(F.col("summary_text"), F.lit(WORD_PATTERN), F.lit(0))
-    # A name without any word has the key '', which every draft carries too.
-    keys = F.array_distinct(F.concat(words, F.array(F.lit(""))))
-    spoken = filtered.select("summary_id", F.explode(keys).alias("word"))
-    names = projects.select("project_name").distinct().withColumn(
-        "word", F.regexp_extract("project_name", WORD_PATTERN, 0)
-    )
-    pairs = spoken.join(names, "word").select("summary_id", "project_name")
+    filtered = drafts.where(F.col("project_filter").isNotNull()).select("summary_id", "project_filter", "summary_text")
+    pairs = name_candidates(filtered, projects.select("project_name"))
     quoted = F.replace(F.col("project_name"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
     pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), quoted, F.lit(r"\E($|[^\p{L}\p{N}])"))
     hits = pairs.join(filtered, "summary_id").where(

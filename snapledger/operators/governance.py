@@ -106,6 +106,7 @@ def subject_rows(subject: str) -> dict[str, Column]:
     who = F.lit(subject)
     hits = {
         "stg_actions": F.col("owner") == who,
+        "restated_actions": F.col("owner") == who,
         "raw_actions": F.col("owner") == who,
         "data_quality_results": (F.col("record_key") == who) | F.contains(F.col("message"), who),
         "executive_summaries": F.contains(F.col("summary_text"), who),
@@ -155,7 +156,8 @@ def retention_plan(
 
 
 def erasure_report(
-    subject: str, raw: DataFrame, facts: DataFrame, findings: DataFrame, summaries: DataFrame
+    subject: str, raw: DataFrame, facts: DataFrame, findings: DataFrame, summaries: DataFrame,
+    restated: DataFrame | None = None,
 ) -> DataFrame:
     """Per table and run: rows, rows of the subject and rows left after erasing them."""
     hits = subject_rows(subject)
@@ -170,6 +172,8 @@ def erasure_report(
         count(facts, "stg_actions"), count(raw, "raw_actions"), count(findings, "data_quality_results"),
         count(summaries, "executive_summaries", "source_run_id"),
     ]
+    if restated is not None:
+        parts.insert(1, count(restated, "restated_actions"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

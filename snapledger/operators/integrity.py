@@ -50,6 +50,20 @@ def rollup_mismatches(facts: DataFrame) -> DataFrame:
     return _rollup(facts).where(f"not ({_SUMS_AGREE})").select("run_id")
 
 
+def restatement_problems(facts: DataFrame, restated: DataFrame) -> DataFrame:
+    """(run_id, missing, added, repeated) of runs whose restated facts are not the same actions, each once.
+
+    Rows of both sides fold by key in one aggregation.
+    """
+    sides = facts.select("run_id", "action_id", F.lit(0).alias("new")).unionByName(
+        restated.select("run_id", "action_id", F.lit(1).alias("new")))
+    keys = sides.groupBy("run_id", "action_id").agg(
+        F.count_if(F.col("new") == 0).alias("before"), F.count_if(F.col("new") == 1).alias("after"))
+    sized = keys.groupBy("run_id").agg(
+        F.expr("count_if(after = 0) as missing"), F.expr("count_if(before = 0) as added"), F.expr("count_if(after > 1) as repeated"))
+    return sized.where("missing + added + repeated > 0")
+
+
 def load_problems(expected: DataFrame, raw: DataFrame, facts: DataFrame) -> DataFrame:
     """(run_id, counts_differ, sums_differ, raw_key_repeats, fact_key_repeats) of freshly loaded runs where a check fails.
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from snapledger import schemas
 from snapledger.functions.time import ntz
 
+# Version of facts as they were loaded.
+ORIGINAL = "original"
+
 FACT_COLUMNS = (
     "run_id", "action_id", "project_name", "action_name", "owner", "due_date", "status",
     "is_completed", "is_open", "is_overdue", "days_overdue",
@@ -74,6 +77,25 @@ def restate(raw: DataFrame, runs: DataFrame, definition_version: str, inclusive:
     )
 
 
+def with_versions(facts: DataFrame, restated: DataFrame, restatements: DataFrame) -> DataFrame:
+    """Old facts, as version `ORIGINAL`, and the restated ones side by side; restatements that never ended stay unseen."""
+    old = facts.select(*FACT_COLUMNS, F.lit(ORIGINAL).alias("definition_version"))
+    done = restatements.select("run_id", "definition_version").distinct()
+    return old.unionByName(restated.select(*old.columns).join(done, ["run_id", "definition_version"], "left_semi"))
+
+
+def as_version(facts: DataFrame, restated: DataFrame, restatements: DataFrame, version: str) -> DataFrame:
+    """Each run once: under `version` where it was restated so, else as it was loaded.
+
+    The version is a literal on a partition column and the ledger has a row per run, so only folders in use are read.
+    """
+    if version == ORIGINAL:
+        return facts.select(*FACT_COLUMNS, F.lit(ORIGINAL).alias("definition_version"))
+    of_version = F.col("definition_version") == F.lit(version)
+    done = restatements.where(of_version).select("run_id").distinct()
+    return with_versions(facts.join(done, "run_id", "left_anti"), restated.where(of_version), restatements.where(of_version))
+
+
 def sweep_reference_dates(snapshot: DataFrame, dates: Sequence[date]) -> DataFrame:
     """Portfolio counts of one snapshot for several reference dates.
 

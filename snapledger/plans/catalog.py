@@ -267,6 +267,34 @@ _query("restated_facts", """
     from items i join calendar c using (run_id)""", td.SQL_ITEMS, td.SQL_CALENDAR)(
     lambda s, d: staging.restate(td.raw_rows(s, d), td.calendar(s), "inclusive", True))
 
+_INCLUSIVE = """restated as (
+    select run_id, action_id, project_name, owner, i.status = 'done' as is_completed, i.status <> 'done' as is_open,
+           i.status <> 'done' and due_date <= reference_date as is_overdue, 'inclusive' as definition_version
+    from items i join calendar c using (run_id) where c.status = 'succeeded' and run_id % 3 = 0)"""
+_ALL_VERSIONS = f"""
+    select run_id, project_name, owner, is_completed, is_open, is_overdue, 'original' as definition_version
+    from run_facts where run_id in {_OK_RUNS}
+    union all select run_id, project_name, owner, is_completed, is_open, is_overdue, definition_version from restated"""
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visible facts, facts of every run restated, and marks of every third successful run: the others never ended."""
+    runs = td.calendar(spark)
+    restated = staging.restate(td.raw_rows(spark, sf), runs, "inclusive", True)
+    done = ledger_ops.succeeded(runs).where("run_id % 3 = 0").withColumn("definition_version", F.lit("inclusive"))
+    return ledger_ops.visible(td.run_facts(spark, sf), runs), restated, done
+
+
+_query("portfolio_by_version", f"""
+    select run_id, definition_version, {_COUNTS}, {_OWNERS}, {_RATE} from ({_ALL_VERSIONS}) group by 1, 2""",
+       td.SQL_RUN_FACTS, _INCLUSIVE)(
+    lambda s, d: metrics.by(staging.with_versions(*_versions(s, d)), ["run_id", "definition_version"], owners=True))
+_query("projects_as_version", f"""
+    select project_name, definition_version, {_COUNTS}, {_OWNERS}, {_RATE} from ({_ALL_VERSIONS})
+    where definition_version = 'inclusive' or run_id not in (select run_id from restated) group by 1, 2""",
+       td.SQL_RUN_FACTS, _INCLUSIVE)(
+    lambda s, d: metrics.by(staging.as_version(*_versions(s, d), "inclusive"), ["project_name", "definition_version"], owners=True))
+
 # --- quality rules ---------------------------------------------------------------------------
 
 _BLANK = "'^[\\s\\p{Z}\\x{200B}\\x{FEFF}]*$'"

@@ -134,6 +134,17 @@ PURGE_STEPS = _table(
     ("at", TimestampNTZType, REQUIRED),
 )
 
+# Facts of old runs under another definition, kept beside the old ones, and the mark that makes them visible.
+RESTATED_ACTIONS = StructType(
+    [f for f in STG_ACTIONS if f.name != "loaded_at"] + [StructField("definition_version", StringType(), REQUIRED)]
+)
+RESTATEMENTS = _table(
+    ("run_id", LongType, REQUIRED),
+    ("definition_version", StringType, REQUIRED),
+    ("fact_rows", LongType, REQUIRED),
+    ("restated_at", TimestampNTZType, REQUIRED),
+)
+
 TABLES = {
     "run_events": RUN_EVENTS,
     "raw_actions": RAW_ACTIONS,
@@ -143,6 +154,8 @@ TABLES = {
     "app_config": APP_CONFIG,
     "audit_log": AUDIT_LOG,
     "purge_steps": PURGE_STEPS,
+    "restated_actions": RESTATED_ACTIONS,
+    "restatements": RESTATEMENTS,
 }
 
 # Column -> allowed values, per table.
@@ -160,6 +173,8 @@ PRIMARY_KEYS = {
     "run_events": ("run_id", "event_seq"),
     "raw_actions": ("run_id", "source_row_number"),
     "stg_actions": ("run_id", "action_id"),
+    "restated_actions": ("run_id", "definition_version", "action_id"),
+    "restatements": ("run_id", "definition_version"),
     "data_quality_results": ("quality_result_id",),
     "executive_summaries": ("summary_id",),
     "audit_log": ("audit_id",),
@@ -170,6 +185,10 @@ ROW_CHECKS = {
     "stg_actions": (
         "is_completed <> is_open", "is_open or not is_overdue", "is_overdue = (days_overdue > 0)", "days_overdue >= 0",
     ),
+    # What counts as overdue may differ by definition, so an overdue row may have no day yet.
+    "restated_actions": (
+        "is_completed <> is_open", "is_open or not is_overdue", "is_overdue or days_overdue = 0", "days_overdue >= 0",
+    ),
     "raw_actions": ("source_row_number >= 1",),
     "run_events": ("completed_at is null or completed_at >= started_at",),
 }

@@ -5,6 +5,7 @@ The folder must be on storage that all executors share.
 
 from __future__ import annotations
 
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from snapledger import schemas
 from snapledger.functions.time import ntz
-from snapledger.operators import governance, runs as ledger
+from snapledger.operators import governance, integrity, runs as ledger, staging
 from snapledger.sources.folders import fresh_folder
 from snapledger.sources.local import small_table
 from snapledger.sources.numbering import number_rows
@@ -25,10 +26,14 @@ from snapledger.sources.numbering import number_rows
 PARTITION = {
     "raw_actions": "run_id",
     "stg_actions": "run_id",
+    "restated_actions": "run_id",
     "data_quality_results": "run_id",
     "executive_summaries": "source_run_id",
 }
 
+# Further partition columns below the run.
+BELOW_RUN = {"restated_actions": ("definition_version",)}
+
 
 class Warehouse:
     """Reads and appends the declared tables under `root`. One writer at a time."""
@@ -78,7 +83,7 @@ class Warehouse:
         """Add rows; a row against the table's declaration stops the write, and nothing of it becomes visible."""
         out = schemas.enforced(df, name).write.mode("append")
         if name in PARTITION:
-            out = out.partitionBy(PARTITION[name])
+            out = out.partitionBy(PARTITION[name], *BELOW_RUN.get(name, ()))
         out.parquet(self.path(name))
 
     def runs(self) -> DataFrame:
@@ -130,6 +135,64 @@ class Warehouse:
         finally:
             self.remove(staged)
 
+    # --- restatements ------------------------------------------------------------------------
+
+    def restate(self, version: str, inclusive: bool, run_ids: list[int] | None = None) -> list[int]:
+        """Keep facts of successful runs under another definition beside the old ones; gives the runs it did.
+
+        Rows come from the runs' raw rows and never change the old facts. A run is done once per version: its folder is
+        written, shown to hold the same actions as the old facts, and only then marked, so a stopped restatement stays
+        unseen and can be repeated. Where a run's actions differ, its folder goes, the other runs are kept, and it raises.
+        """
+        if version == staging.ORIGINAL or not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", version):
+            raise ValueError(f"not a version name: {version!r}")
+        done = self.read("restatements").where(F.col("definition_version") == F.lit(version))
+        todo = ledger.succeeded(self.runs()).join(done, "run_id", "left_anti")
+        if run_ids is not None:
+            todo = todo.where(F.col("run_id").isin(run_ids))
+        ids = sorted(r.run_id for r in todo.select("run_id").toLocalIterator())  # a row per run
+        if not ids:
+            return []
+        facts = staging.restate(self.read_runs("raw_actions", ids), todo, version, inclusive)
+        self._replace("restated_actions", schemas.enforced(facts, "restated_actions"))
+        written = self.read_runs("restated_actions", ids).where(F.col("definition_version") == F.lit(version))
+        bad = {r.run_id for r in integrity.restatement_problems(self.read_runs("stg_actions", ids), written).toLocalIterator()}
+        for run in bad:
+            self.remove(f"{self.path('restated_actions')}/run_id={run}/definition_version={version}")
+        good = [i for i in ids if i not in bad]
+        if good:
+            now = datetime.now(UTC).replace(tzinfo=None)
+            sizes = written.where(F.col("run_id").isin(good)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+            marks = small_table(self.spark, [{"run_id": i} for i in good], "run_id long").join(sizes, "run_id", "left").select(
+                "run_id", F.lit(version).alias("definition_version"), F.coalesce("n", F.lit(0)).alias("fact_rows"), ntz(now).alias("restated_at"))
+            self.append("restatements", marks.coalesce(1))
+        if bad:
+            raise ValueError(f"restated facts are not those of the runs: {sorted(bad)}")
+        return good
+
+    def fact_versions(self) -> DataFrame:
+        """Facts of successful runs, loaded and restated ones side by side, told apart by `definition_version`."""
+        restated = ledger.visible(self.read("restated_actions"), self.runs())
+        return staging.with_versions(self.facts(), restated, self.read("restatements"))
+
+    def facts_as(self, version: str) -> DataFrame:
+        """Facts of successful runs, each run once: under a version where it has it, else as loaded."""
+        restated = ledger.visible(self.read("restated_actions"), self.runs())
+        return staging.as_version(self.facts(), restated, self.read("restatements"), version)
+
+    def drop_unfinished_restatements(self) -> list[tuple[int, str]]:
+        """Delete folders of restatements that were stopped before they were marked."""
+        root, marks = self._fs_path(self.path("restated_actions")), self.read("restatements")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        listed = [path.getPath() for path in fs.globStatus(self._fs_path(f"{self.path('restated_actions')}/run_id=*/definition_version=*"))]
+        there = {(int(p.getParent().getName().partition("=")[2]), p.getName().partition("=")[2]) for p in listed}
+        marked = {(r.run_id, r.definition_version) for r in marks.select("run_id", "definition_version").toLocalIterator()}  # a row per run and version
+        for run, version in sorted(there - marked):
+            self.remove(f"{self.path('restated_actions')}/run_id={run}/definition_version={version}")
+        return sorted(there - marked)
+
     # --- leftovers ---------------------------------------------------------------------------
 
     def orphans(self, started_before: datetime) -> DataFrame:
@@ -144,7 +207,7 @@ class Warehouse:
         ]
         there = small_table(self.spark, listed, "table_name string, run_id long")
         known = ledger.run_state(self.read("run_events")).select("run_id", "status", "started_at")
-        loaded = F.col("table_name").isin("raw_actions", "stg_actions")
+        loaded = F.col("table_name").isin("raw_actions", "stg_actions", "restated_actions")
         left = F.col("status").isNull() | (F.col("status") == schemas.PURGED) | loaded & (
             (F.col("status") == "failed") | (F.col("status") == "running") & (F.col("started_at") < ntz(started_before)))
         return there.join(known, "run_id", "left").where(left).select("table_name", "run_id", "status")
@@ -198,7 +261,9 @@ class Warehouse:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def drop_run(self, name: str, run_id: int) -> None:
-        """Delete one run's rows of a table."""
+        """Delete one run's rows of a table; restated facts go before the facts they stand for."""
+        if name == "stg_actions":
+            self.drop_run("restated_actions", run_id)
         self.remove(f"{self.path(name)}/{PARTITION[name]}={run_id}")
 
     def purge(self, plan: DataFrame) -> None:
@@ -245,10 +310,12 @@ class Warehouse:
         """Remove every row about an owner from all tables, rewriting only the runs it is in.
 
         Gives the erasure record: table_name, run_id, rows_before, subject_rows, rows_after; it names no person. Tables
-        go in this order: facts, raw rows, findings, summaries.
+        go in this order: facts, restated facts, raw rows, findings, summaries.
         """
+        self.drop_unfinished_restatements()
         record = governance.erasure_report(
-            owner, self.read("raw_actions"), self.read("stg_actions"), self.findings(), self.summaries())
+            owner, self.read("raw_actions"), self.read("stg_actions"), self.findings(), self.summaries(),
+            self.read("restated_actions"))
         rows = [r.asDict() for r in record.orderBy("table_name", "run_id").toLocalIterator()]  # a row per table and run
         for name, hit in governance.subject_rows(owner).items():
             hurt = [r for r in rows if r["table_name"] == name]
@@ -259,15 +326,20 @@ class Warehouse:
                         self.drop_run(name, r["run_id"])
         return rows
 
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """Write the folders that rows fall in anew; other folders stay as they are."""
+        out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(PARTITION[name], *BELOW_RUN.get(name, ())).parquet(self.path(name))
+
     def _rewrite(self, name: str, run_ids: list[int], keep: Column) -> None:
         """Replace some runs' rows by those to keep; they are staged first, as a table can't be read while it is replaced."""
         if not run_ids:
             return
-        key, schema = PARTITION[name], schemas.TABLES[name]
+        levels, schema = (PARTITION[name], *BELOW_RUN.get(name, ())), schemas.TABLES[name]
         staged = fresh_folder(self.spark, f"erase-{name}")
         try:
-            self.read_runs(name, run_ids).where(keep).write.partitionBy(key).parquet(staged)
+            self.read_runs(name, run_ids).where(keep).write.partitionBy(*levels).parquet(staged)
             kept = self.spark.read.schema(schema).parquet(staged).select(*schema.names)
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self.path(name))
+            self._replace(name, kept)
         finally:
             self.remove(staged)

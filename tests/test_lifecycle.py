@@ -398,3 +398,64 @@ def test_stream_picks_up_new_files_once(spark, wh, tmp_path):
     assert sorted(r.status for r in wh.runs().collect()) == ["failed", "succeeded", "succeeded"]
     file_drop.start(wh, str(landing), fresh_folder(spark, "stream"), REF).awaitTermination()
     assert ledger.succeeded(wh.runs()).count() == 2
+
+
+def test_restated_facts_are_kept_beside_the_old(wh, tmp_path, monkeypatch):
+    load(wh, write_csv(tmp_path / "a.csv", golden_rows()))
+    load(wh, write_csv(tmp_path / "b.csv", golden_rows()[:6]))
+    before = sorted(wh.facts().collect())
+    with monkeypatch.context() as m:
+        m.setattr(integrity, "restatement_problems", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            wh.restate("inclusive", True, [1])
+    assert wh.read("restated_actions").count() == 9
+    assert {r.definition_version for r in wh.fact_versions().collect()} == {"original"}  # never ended, so not seen
+    assert wh.drop_unfinished_restatements() == [(1, "inclusive")] and wh.read("restated_actions").isEmpty()
+    assert wh.restate("inclusive", True, [1]) == [1] and wh.restate("inclusive", True, [1]) == []
+    assert sorted(wh.facts().collect()) == before
+    rows = metrics.by(wh.fact_versions(), ["run_id", "definition_version"]).collect()
+    late = {(r.run_id, r.definition_version): r.overdue_actions for r in rows}
+    due = sum(1 for r in before if r.run_id == 1 and r.is_open and r.due_date == REF)
+    assert due and late[1, "inclusive"] == late[1, "original"] + due and set(late) == {(1, "original"), (1, "inclusive"), (2, "original")}
+    mixed = wh.facts_as("inclusive")
+    assert {(r.run_id, r.definition_version) for r in mixed.collect()} == {(1, "inclusive"), (2, "original")} and mixed.count() == 15
+    assert wh.facts_as("original").count() == wh.facts_as("other").count() == 15
+    assert wh.restate("inclusive", True) == [2] and wh.restate("2", False) == [1, 2]
+    again = metrics.by(wh.facts_as("2"), ["run_id"]).collect()
+    assert {r.run_id: r.overdue_actions for r in again} == {r: late[r, "original"] for r in (1, 2)}  # the same definition, the same facts
+    wh.erase_owner("mina")
+    assert wh.read("restated_actions").where("owner = 'mina'").isEmpty() and wh.facts_as("2").count() == wh.facts().count()
+    wh.drop_run("stg_actions", 1)
+    assert {r.run_id for r in wh.read("restated_actions").collect()} == {2}
+    for bad in ("original", "", "../x", "a b"):
+        with pytest.raises(ValueError, match="version name"):
+            wh.restate(bad, True)
+
+
+def test_a_restatement_with_other_actions_is_refused(wh, tmp_path):
+    load(wh, write_csv(tmp_path / "a.csv", golden_rows()))
+    load(wh, write_csv(tmp_path / "b.csv", golden_rows()[:6]))
+    wh.append("raw_actions", wh.read_runs("raw_actions", [1]).limit(1))
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        wh.restate("inclusive", True)
+    assert {r.run_id for r in wh.read("restated_actions").collect()} == {2} == {r.run_id for r in wh.read("restatements").collect()}
+
+
+def test_names_are_found_by_their_rarest_part(spark):
+    from snapledger.operators import evaluation
+
+    names = [f"Harbour {i}" for i in range(10_000)] + ["Harbour", "North Harbour East", "Mill", "++", "Q\\E (x)", "C#", "a b c"]
+    texts = [f"Harbour {7 * i} and Harbour: late. (North Harbour East) mill" for i in range(60)]
+    texts += ["Milling ++ is Q\\E (x)!", "C# 12, C", "", "Harbour-5 b c", "North Harbour\nEast", "a b; b c", "Mill"]
+    rows = [(i, "Quay", t) for i, t in enumerate(texts)] + [(900, "Mill", "Mill"), (901, None, "Mill"), (902, "Quay", None)]
+    drafts = spark.createDataFrame(rows, "summary_id long, project_filter string, summary_text string")
+    projects = spark.createDataFrame([(n,) for n in names + ["", None]], "project_name string")
+    got = evaluation.out_of_scope_projects(drafts, projects)
+
+    def mentioned(name, text):
+        sides = [(text[:i], text[i + len(name):]) for i in range(len(text)) if text.startswith(name, i)]
+        return any(not (a and a[-1].isalnum()) and not (b and b[0].isalnum()) for a, b in sides)
+
+    want = {(i, n) for i, f, t in rows if f and t for n in names if n != f and n in t and mentioned(n, t)}
+    assert sorted((r.summary_id, r.project_name) for r in got.collect()) == sorted(want)
+    assert evaluation.name_candidates(drafts.where("project_filter is not null"), projects).count() <= 2 * len(want)
