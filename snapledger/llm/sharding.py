@@ -1,13 +1,14 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of `SLOTS` virtual slots for good. Bytes are added up per slot, and a small versioned table
+Every record hashes into one of `SLOTS` virtual slots for good; equal records also by their number among each other, so
+any count of copies spreads over all slots. Bytes are added up per slot, and a small versioned table
 maps slots to shards. Records never move on their own: rebalancing or growing edits rows of that table and raises its
 version. The table has `SLOTS` rows whatever the corpus holds, so the driver edits it and Spark broadcasts it.
 
-Law: `bytes`. A first map deals slots out by falling size, each to the lightest shard.
+Law: `bytes`. A first map deals slots out by falling size, each to the lightest shard. Version 2 of the map is its edit
+for one shard more, and tells where each record goes then (`next_shard`).
 
-Edge cases: a null text has no bytes and checksum 0; a null doc_id hashes like any value; equal rows share a slot and
-get successive positions; an empty table gives an empty result; extra columns are ignored.
+Edge cases: a null text has no bytes and checksum 0, like an empty one; a null doc_id hashes like any value; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,25 +19,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import folder
+from snapledger.llm.common import cut, folder
 
 SLOTS = 4096
 SHARDS = 24
 RECORD_BYTES = 8
+COPIES = 1024  # equal records that one row stands for when copies are spread
 MAP_SCHEMA = "vslot int, shard int, version int"
 
 SlotMap = dict[int, int]
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every record."""
+    """doc_id, size, text_crc32 and virtual slot of every record.
+
+    Equal records fold to a count before they move. The counts are written out again from rows for `COPIES` records each,
+    dealt to all tasks, which number the copies.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
+    facts = docs.select(
+        "doc_id", F.xxhash64(text).alias("hash"),
         (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("vslot"),
     )
+    counted = facts.groupBy(*facts.columns).agg(F.count("*").alias("n"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))
+    dealt = counted.select("*", first.alias("from")).repartition("hash", "from")
+    copy = F.explode(F.sequence("from", F.least(F.col("from") + COPIES, F.col("n")) - 1))
+    return dealt.select("doc_id", "hash", "size", "text_crc32", copy.alias("copy")).select(
+        "doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "hash", "copy"), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
@@ -121,7 +132,7 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         slot_bytes(records).join(F.broadcast(slot_map), "vslot")
-        .select("vslot", "shard", "version", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("start"))
+        .select(*slot_map.columns, F.coalesce(F.sum("records").over(before), F.lit(0)).alias("start"))
     )
     return (
         records.withColumn("place", F.row_number().over(within))
@@ -131,16 +142,19 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, table: str | None = None) -> DataFrame:
-    """Every record with its size, checksum, virtual slot, shard, position in the shard and the version of the map."""
+    """Every record with its size, checksum, virtual slot, shard, position in the shard, the version of the map, and its
+    shard under the next version, which has one shard more."""
     spark = docs.sparkSession
-    records = measured(docs)
+    records = cut(measured(docs))
     sizes = {r["vslot"]: r["bytes"] for r in slot_bytes(records).collect()}  # SLOTS rows at most
     table = table or f"{folder(spark)}/slot-map-{uuid.uuid4().hex}"
-    return placed(records, stored(spark, first_map(sizes, shards), 1, table))
+    first = first_map(sizes, shards)
+    now, more = stored(spark, first, 1, table), stored(spark, grown(first, sizes, shards), 2, table)
+    return placed(records, now.join(F.broadcast(more.select("vslot", F.col("shard").alias("next_shard"))), "vslot"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"), "next_shard",
     )

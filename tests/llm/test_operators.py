@@ -263,6 +263,18 @@ def test_sharding_law_and_positions(spark):
     assert sharding.shard(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_equal_records_spread_over_all_shards(spark):
+    rows = spark.range(100_000).select(
+        F.when(F.col("id") < 40_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 40_000, "a").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = sharding.shard(rows).cache()
+    loads = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    sizes = [r["bytes"] for r in loads]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 0.01 * max(sizes)
+    assert sum(r["n"] for r in loads) == 100_000 and all(r["n"] == r["slots"] == r["last"] + 1 for r in loads)
+    moved = got.where("next_shard <> shard")
+    assert {r["next_shard"] for r in moved.select("next_shard").distinct().collect()} == {24} and abs(moved.count() - 4_000) < 200
+
+
 def test_slot_map_edits():
     sizes = {s: 50 + s * 7919 % 1000 for s in range(4096)}
     first = sharding.first_map(sizes)
