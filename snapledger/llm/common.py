@@ -5,13 +5,14 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+BLOCK_CHARS = 1024
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,6 +37,48 @@ def text_key(text: Column | str) -> Column:
     return F.unhex(F.substring(F.sha2(F.col(text) if isinstance(text, str) else text, 256), 1, 32))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` or a function over an array in it names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of `BLOCK_CHARS` code points, for `part`."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK_CHARS), F.lit(0))
+
+
+def part(of_blocks: Column, begin: Column, chars: Column) -> Column:
+    """`chars` code points from `begin` (0 first) on; unlike `substring` it doesn't walk the text from its start."""
+    at = lambda where: F.floor(where / BLOCK_CHARS).cast("int")
+    near = F.array_join(F.slice(of_blocks, at(begin) + 1, at(begin + chars) - at(begin) + 1), "")
+    return F.substring(near, begin - at(begin) * BLOCK_CHARS + 1, chars)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For every element of an array of integers what `merge` (a sum, a maximum) makes of 0 and all elements before it.
+
+    `aggregate` copies what it has gathered at each step, so it can't gather an array over a long one. Here elements are
+    merged within blocks, and blocks with each other.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0), merge)
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda j: F.slice(values, j * block + 1, F.lit(block)))
+
+    def spread(parts: Column) -> Column:
+        def from_sums(sums: Column) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                return bound(total(F.slice(sums, F.lit(1), j)), lambda base: F.transform(
+                    c, lambda x, i: merge(base, total(F.slice(c, F.lit(1), i)))))
+            return F.flatten(F.transform(parts, one))
+        return bound(F.transform(parts, total), from_sums)
+
+    return F.when(F.size(values) > 0, bound(cut_up, spread)).otherwise(F.array().cast("array<int>"))
+
+
+def distinct(items: Column) -> Column:
+    """The different elements of an array in order; for structs, whose `array_distinct` compares all pairs."""
+    return bound(F.sort_array(items), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """The fold that is never learnt from; a null id is held out."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import cut, free_name, text_key
+from snapledger.llm.common import blocks, bound, cut, distinct, free_name, part, running, text_key
 
 CHANCE = 0.01
 MIN_PART = 3  # characters of a spelt-out word
@@ -83,16 +83,18 @@ def _walk(text: Column, pattern: Column, kind: str, valid) -> Column:
     """Spans of the valid matches: begin and end add up from the lengths of gaps and matches."""
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(BASE).alias("spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("begin"), end.alias("end"))
-        good = F.when(p["hit"].isNotNull(), valid(p["hit"])).otherwise(False)
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(ps: Column) -> Column:
+        chars = lambda p: F.coalesce(F.length(p["hit"]), F.lit(0))
+        before = running(F.transform(ps, lambda p: F.length(p["gap"]) + chars(p)), lambda a, b: a + b)
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+        def span(p: Column, at: Column) -> Column:
+            begin = at + F.length(p["gap"])
+            good = F.when(p["hit"].isNotNull(), valid(p["hit"])).otherwise(False)
+            return F.when(good, F.struct(F.lit(kind).alias("kind"), begin.alias("begin"), (begin + chars(p)).alias("end")))
+        return F.filter(F.zip_with(ps, before, span), lambda s: s.isNotNull())
+
+    return bound(pieces, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -120,23 +122,32 @@ def _words(text: Column) -> Column:
 def _outside(text: Column, spans: Column) -> Column:
     """What a text holds outside of the spans."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("gaps"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["begin"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["gaps"], gap).alias("gaps"))
+    def gaps(os: Column, b: Column) -> Column:
+        return F.zip_with(os, _covered(os), lambda s, at: part(b, at, F.greatest(F.lit(0), s["begin"] - at)))
+
+    return bound(ordered, lambda os: bound(blocks(text), lambda b: F.concat_ws(" ", gaps(os, b), _rest(text, os))))
+
+
+def _covered(ordered: Column) -> Column:
+    """For every span of an ordered array where those before it end."""
+    return running(F.transform(ordered, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
 
-    return F.aggregate(ordered, zero, step, lambda acc: F.concat_ws(" ", acc["gaps"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _rest(text: Column, spans: Column) -> Column:
+    """The text behind all spans."""
+    return F.substring(text, F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0)) + 1, F.length(text))
 
 
 def entity_texts(texts: DataFrame) -> DataFrame:
     """(key, entities, terms, hidden) of every text with base entities: its entities with the words that they spell, its
     words outside of them, and the words that are only inside. texts: key, text."""
     spans = texts.select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    name = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(F.substring(F.col("text"), s["begin"] + 1, s["end"] - s["begin"])))
-    spelt = lambda s: F.when(s["kind"] == "email", F.filter(_words(F.substring_index(name(s).substr(F.lit(7), F.length(name(s))), "@", 1)), lambda w: F.length(w) >= MIN_PART)).otherwise(F.array().cast("array<string>"))
+    name = lambda s, b: F.concat(s["kind"], F.lit(":"), F.lower(part(b, s["begin"], s["end"] - s["begin"])))
+    spelt = lambda s, b: F.when(s["kind"] == "email", F.filter(_words(F.substring_index(name(s, b).substr(F.lit(7), F.length(name(s, b))), "@", 1)), lambda w: F.length(w) >= MIN_PART)).otherwise(F.array().cast("array<string>"))
+    named = bound(blocks(F.col("text")), lambda b: F.transform("spans", lambda s: F.struct(F.xxhash64(name(s, b)).alias("entity"), spelt(s, b).alias("spelt"))))
     split = spans.select(
-        "key", F.array_distinct(F.transform("spans", lambda s: F.struct(F.xxhash64(name(s)).alias("entity"), spelt(s).alias("spelt")))).alias("entities"),
+        "key", distinct(named).alias("entities"),
         _words(_outside(F.col("text"), F.col("spans"))).alias("terms"), _words(F.col("text")).alias("words"))
     return split.select("key", "entities", "terms", F.array_except("words", "terms").alias("hidden")).dropDuplicates(["key"])
 
@@ -226,23 +237,22 @@ def sanitised(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     spans = F.concat(base_spans(text), F.when(F.col(terms).isNotNull(), term_spans(text, F.col(terms))).otherwise(F.array().cast(BASE)))
     ordered = F.array_sort(spans, lambda a, b: F.when(a["begin"] != b["begin"], a["begin"] - b["begin"]).otherwise(b["end"] - a["end"]))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        word = F.lower(F.substring(text, s["begin"] + 1, s["end"] - s["begin"]))
+    def replaced(s: Column, at: Column, b: Column) -> Column:
+        word = F.lower(part(b, s["begin"], s["end"] - s["begin"]))
         mark = (
             F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
             .when(F.array_contains(F.col(removed), word), F.lit("")).otherwise(F.lit("[TERM]"))
         )
-        gap = F.substring(text, acc["at"] + 1, s["begin"] - acc["at"])
         # A span that reaches beyond the one it overlaps leaves nothing of its rest.
-        return F.when(s["begin"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(gap, mark)).alias("parts"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
+        return F.when(s["begin"] >= at, F.concat(part(b, at, s["begin"] - at), mark)).otherwise("")
 
-    def joined(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def joined(os: Column, b: Column) -> Column:
+        parts = F.zip_with(os, _covered(os), lambda s, at: replaced(s, at, b))
+        return F.concat(F.array_join(parts, ""), _rest(text, os))
 
-    new = F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(F.aggregate(ordered, zero, step, joined))
+    whole = bound(ordered, lambda os: bound(blocks(text), lambda b: joined(os, b)))
+    new = F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(whole)
     out = with_terms.withColumn(removed + "_text", new)
     columns = []
     for c in docs.columns:
