@@ -2,7 +2,10 @@
 
 1. Equal vectors of a label become one node with a multiplicity.
 2. Pivots: a hashed sample of each label's nodes, at most `PIVOTS` of it, thinned to vectors that differ clearly, so a
-   dense group has one pivot and stays together. Every node joins the shards of its `OVERLAP` nearest pivots.
+   dense group has one pivot and stays together. Every node joins the shards of its nearest pivots. How many is measured
+   for each part (label and length): every node of a vec_id divisible by 50 gets a made-up partner at the threshold, and
+   the overlap is the least at which `MEETING` of these pairs share a shard. So a part without links has evidence, too,
+   and lone pairs count as much as those of dense groups.
 3. Build: each shard makes a flat graph; a node keeps the neighbours that robust pruning leaves of its nearest and some
    random nodes: one is dropped if a kept one is closer to it than the node is, by the factor `ALPHA`.
 4. The adjacency lists that a node got in its shards are united, and go back to the shards with the vectors.
@@ -10,8 +13,9 @@
    itself, the search expands as long as nodes within the range widened by `SLACK` are found.
 6. Verify: cosine in double precision. A pair that meets in several shards counts in the first of them only.
    Tasks give counts and a spanning forest of the links, never the pairs.
-7. Audit: for `AUDIT` queries the links are counted by brute force in one pass over all rows. Below `RECALL` the overlap is
-   doubled and the search repeated, up to all pivots of a label.
+7. Audit: the links of all nodes of a vec_id divisible by 50 are counted by brute force against all rows, in blocks.
+   Where a part finds less than `RECALL` of its links, taken over pairs or over nodes, its overlap is doubled and the
+   search repeated, up to all pivots of the part. The audit is the product of `audit`.
 
 A shard of more than `BLOCK` nodes is dealt into blocks; a task takes two blocks, and every two blocks meet once.
 
@@ -37,7 +41,8 @@ THRESHOLD = 0.93
 TARGET = 400  # nodes a shard should have
 PIVOTS = 512
 DISTINCT = 0.8  # pivots nearer than that are one
-OVERLAP = 2
+MEETING = 0.995
+PROBED = 5000  # in parts up to that size every node is a probe
 BLOCK = 2000
 DEGREE = 16
 NEAREST = 40
@@ -45,8 +50,9 @@ RANDOM = 8
 ALPHA = 1.2
 BEAM = 16
 SLACK = 0.05
-AUDIT = 256
-RECALL = 0.9
+QUERY_EVERY = 50
+QUERY_ROWS = 500
+RECALL = 0.95
 GROUP_ROWS = 10_000
 
 
@@ -55,10 +61,11 @@ def nodes(vectors: DataFrame) -> DataFrame:
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     wide = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
+    asked = F.bool_or(F.pmod("vec_id", F.lit(QUERY_EVERY)) == 0).alias("asked")
     usable = vectors.where("vec_id is not null and label is not null and size(embedding) > 0").where(F.coalesce(whole, F.lit(False)))
     return (
         usable.select("vec_id", node_key().alias("node"), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("part"), wide.alias("wide"), norm.alias("norm"))
-        .where("norm > 0").groupBy("node", "part").agg(F.count("*").alias("copies"), F.first(F.transform("wide", lambda x: x / F.col("norm"))).alias("unit"))
+        .where("norm > 0").groupBy("node", "part").agg(F.count("*").alias("copies"), asked, F.first(F.transform("wide", lambda x: x / F.col("norm"))).alias("unit"))
     )
 
 
@@ -90,18 +97,46 @@ def pivots(points: DataFrame, sizes: DataFrame) -> DataFrame:
     return both.groupBy("part").applyInPandas(thin, "part string, pivot int, unit array<double>")
 
 
-def assigned(points: DataFrame, of_pivots: DataFrame, sizes: DataFrame, overlap: int) -> DataFrame:
-    """`points` with the numbers of their nearest pivots, nearest first. A part is worked on in groups of bounded size,
-    each of which gets the part's pivots."""
+def _beside(points: DataFrame, others: DataFrame, sizes: DataFrame) -> tuple:
+    """Both sides grouped for work in groups of bounded size of a part, each of which gets the part's `others`."""
     groups = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
     left = points.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), groups).cast("int")).drop("n")
-    right = of_pivots.join(sizes, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))).drop("n")
+    right = others.join(sizes, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))).drop("n")
+    # Columns of their own, as both sides may come from the same table.
+    return left, right.select(*[F.col(c).alias(c) for c in right.columns])
+
+
+def overlaps(points: DataFrame, of_pivots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(part, overlap): to how many nearest pivots the nodes of a part must go for `MEETING` of the probes to meet."""
+    left, right = _beside(points.join(sizes, "part").where(F.col("asked") | (F.col("n") <= PROBED)).select("node", "part", "unit"), of_pivots, sizes)
+
+    def needed(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(centres):
+            return pd.DataFrame({"part": [], "need": []})
+        x, to = _matrix(group["unit"]), _matrix(centres["unit"]).T
+        side = np.stack([np.random.default_rng(list(node)).normal(size=x.shape[1]) for node in group["node"]])
+        side -= (side * x).sum(1)[:, None] * x
+        length = np.linalg.norm(side, axis=1)[:, None]
+        side = np.where(length > 1e-9, side / np.maximum(length, 1e-9), 0)
+        rank = lambda y: np.argsort(np.argsort(-(y @ to), axis=1, kind="stable"), axis=1)
+        need = np.maximum(rank(x), rank(THRESHOLD * x + np.sqrt(1 - THRESHOLD**2) * side)).min(1) + 1
+        return pd.DataFrame({"part": group["part"], "need": need})
+
+    probes = left.groupBy("part", "salt").cogroup(right.groupBy("part", "salt")).applyInPandas(needed, "part string, need int")
+    return probes.groupBy("part").agg(F.ceil(F.percentile("need", F.lit(MEETING))).cast("int").alias("overlap"))
+
+
+def assigned(points: DataFrame, of_pivots: DataFrame, sizes: DataFrame, overlap: DataFrame) -> DataFrame:
+    """`points` with the numbers of their nearest pivots, nearest first. A part without a probe goes to all pivots."""
+    left, right = _beside(points, of_pivots, sizes)
+    left = left.join(overlap, "part", "left")
 
     def nearest(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame({"node": [], "part": [], "copies": [], "unit": [], "shards": []})
         centres = centres.sort_values("pivot")
-        near = np.argsort(-(_matrix(group["unit"]) @ _matrix(centres["unit"]).T), axis=1, kind="stable")[:, :overlap]
+        most = group["overlap"].iloc[0]
+        near = np.argsort(-(_matrix(group["unit"]) @ _matrix(centres["unit"]).T), axis=1, kind="stable")[:, : len(centres) if pd.isna(most) else int(most)]
         return group[["node", "part", "copies", "unit"]].assign(shards=list(near.astype(np.int32)))
 
     schema = "node binary, part string, copies long, unit array<double>, shards array<int>"
@@ -224,7 +259,7 @@ def adjacency(tasks: DataFrame) -> DataFrame:
 
 
 def searched(tasks: DataFrame, graph: DataFrame) -> DataFrame:
-    """(node, other, links): counts of links by node (other is null), and a spanning forest of the links."""
+    """(node, other, links, pairs): counts of links by node (other is null), in vectors and in nodes, and a spanning forest of the links."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _tasks(batches):
@@ -238,6 +273,7 @@ def searched(tasks: DataFrame, graph: DataFrame) -> DataFrame:
             counted &= np.fromiter((min(held[i] & held[j]) == shard for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
             a, b = a[counted], b[counted]
             links = np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
+            pairs = np.bincount(a, minlength=len(keys)) + np.bincount(b, minlength=len(keys))
             root = list(range(len(keys)))
 
             def find(v: int, root: list[int] = root) -> int:
@@ -255,50 +291,61 @@ def searched(tasks: DataFrame, graph: DataFrame) -> DataFrame:
             yield pa.record_batch([
                 pa.array([keys[i] for i in some] + [f for f, _ in forest], pa.binary()),
                 pa.array([None] * len(some) + [t for _, t in forest], pa.binary()),
-                pa.array([int(links[i]) for i in some] + [0] * len(forest), pa.int64())], ["node", "other", "links"])
+                pa.array([int(links[i]) for i in some] + [0] * len(forest), pa.int64()),
+                pa.array([int(pairs[i]) for i in some] + [0] * len(forest), pa.int64())], ["node", "other", "links", "pairs"])
 
     sent = tasks.join(graph, "node", "left").select("task", "node", "unit", "copies", "shards", "side", "shard", "near")
-    return sent.repartition("task").sortWithinPartitions("task", "node").mapInArrow(search, "node binary, other binary, links long")
-
-
-def recall(points: DataFrame, links: DataFrame) -> float:
-    """Share of the links of `AUDIT` queries that were found, against brute force over all points in one pass."""
-    queries = points.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT).select("node", "part", "unit").toArrow()  # AUDIT rows
-    if not queries.num_rows:
-        return 1.0
-    keys, parts, units = queries["node"].to_pylist(), queries["part"].to_pylist(), queries["unit"].to_pylist()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            of, x, copies = np.array(batch.column(1).to_pylist()), _lists(batch.column(2)), batch.column(3).to_numpy()
-            own = np.array(batch.column(0).to_pylist(), object)
-            for part in set(of) & set(parts):
-                here = np.flatnonzero(of == part)
-                block = np.stack([x[i] for i in here])
-                for q in (q for q in range(len(keys)) if parts[q] == part):
-                    near = here[block @ np.asarray(units[q]) >= THRESHOLD]
-                    total[q] += sum(int(copies[i]) for i in near if own[i] != keys[q])
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(total)], ["node", "links"])
-
-    true = points.select("node", "part", "unit", "copies").mapInArrow(count, "node binary, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    all_, found = true.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return (found or 0) / all_ if all_ else 1.0
+    return sent.repartition("task").sortWithinPartitions("task", "node").mapInArrow(search, "node binary, other binary, links long, pairs long")
+
+
+def true_links(points: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, part, there) of every node of a vec_id divisible by `QUERY_EVERY`: other nodes that link, by brute force.
+
+    Queries come in blocks; every block meets all nodes of its part, in groups of bounded size.
+    """
+    asked = points.where("asked")
+    per_part = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("n_blocks"))
+    queries = asked.join(per_part, "part").withColumn("block", F.pmod(F.xxhash64("node", F.lit(13)), F.col("n_blocks")).cast("int"))
+    left, right = _beside(points.select("node", "part", "unit"), queries.select("part", "block", F.col("node").alias("query"), "unit"), sizes)
+    left = left.join(per_part, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+
+    def count(group: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(queries):
+            return pd.DataFrame({"query": [], "part": [], "there": []})
+        near = (_matrix(queries["unit"]) @ _matrix(group["unit"]).T >= THRESHOLD).sum(1)
+        near -= queries["query"].isin(set(group["node"])).to_numpy()  # itself
+        return pd.DataFrame({"query": queries["query"], "part": queries["part"], "there": near})
+
+    keys = ["part", "salt", "block"]
+    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, "query binary, part string, there long")
+    return counted.groupBy(F.col("query").alias("node"), "part").agg(F.sum("there").alias("there"))
+
+
+def audit(true: DataFrame, links: DataFrame) -> DataFrame:
+    """part, queries with links, by_pair and by_node: the share of their true links that were found, per part."""
+    known = true.where("there > 0").join(links.select("node", "pairs"), "node", "left")
+    found = F.least("there", F.coalesce("pairs", F.lit(0)))
+    return known.groupBy("part").agg(
+        F.count("*").alias("queries"), (F.sum(found) / F.sum("there")).alias("by_pair"), F.avg(found / F.col("there")).alias("by_node"))
 
 
 def linked(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, links) of nodes with links to others, and (node, component)."""
+    """(node, links, pairs) of nodes with links to others, in vectors and in nodes, and (node, component)."""
     sizes = cut(points.groupBy("part").agg(F.count("*").alias("n")))
     of_pivots = cut(pivots(points, sizes))
-    most = of_pivots.agg(F.max("pivot")).first()[0]
-    overlap = OVERLAP
+    most = of_pivots.groupBy("part").agg(F.max("pivot").alias("most"))
+    overlap = cut(overlaps(points, of_pivots, sizes))
+    true = cut(true_links(points, sizes))
     while True:
         tasks = cut(dealt(assigned(points, of_pivots, sizes, overlap)))
         found = cut(searched(tasks, adjacency(tasks)))
-        links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-        if most is None or overlap > most or recall(points, links) >= RECALL:
+        links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
+        poor = audit(true, links).where(F.least("by_pair", "by_node") < RECALL).join(most, "part").join(overlap, "part")
+        poor = cut(poor.where("overlap <= most").select("part"))
+        if poor.isEmpty():
             return links, components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        overlap *= 2
+        again = poor.withColumn("times", F.lit(2))
+        overlap = cut(overlap.join(again, "part", "left").select("part", (F.col("overlap") * F.coalesce("times", F.lit(1))).alias("overlap")))
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:

@@ -571,6 +571,23 @@ def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None, None)], VECTORS)).count() == 1
 
 
+def test_lone_pairs_beside_a_dense_group_are_found(spark):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(4000, 48))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = draw.normal(size=(150, 48))
+    side -= (side * base[:150]).sum(1)[:, None] * base[:150]
+    partner = 0.937 * base[:150] + np.sqrt(1 - 0.937**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    group = base[200] + draw.normal(size=(300, 48)) * 0.02
+    x = np.concatenate((base, partner, group))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS.replace("float", "double"))).collect()}
+    lone = [got[4000 + k]["component_id"] == k == got[k]["component_id"] for k in range(150)]
+    assert sum(lone) >= 147
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert all(got[i]["n_links"] <= t for i, t in enumerate(true)) and sum(r["n_links"] for r in got.values()) >= 0.98 * true.sum()
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 
