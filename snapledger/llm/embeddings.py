@@ -313,7 +313,8 @@ def true_links(points: DataFrame, sizes: DataFrame) -> DataFrame:
         if not len(group) or not len(queries):
             return pd.DataFrame({"query": [], "part": [], "there": []})
         near = (_matrix(queries["unit"]) @ _matrix(group["unit"]).T >= THRESHOLD).sum(1)
-        near -= queries["query"].isin(set(group["node"])).to_numpy()  # itself
+        held = set(group["node"])
+        near -= np.fromiter((q in held for q in queries["query"]), bool, len(queries))  # itself; `isin` loses a key's last zero bytes
         return pd.DataFrame({"query": queries["query"], "part": queries["part"], "there": near})
 
     keys = ["part", "salt", "block"]

@@ -566,6 +566,15 @@ def test_embeddings_as_by_brute_force(spark, monkeypatch):
         assert got[r[0]]["n_links"] == 0 and got[r[0]]["component_id"] == r[0] and got[r[0]]["kept"] == (r[0] is not None)
 
 
+def test_true_links_of_keys_that_end_in_zero_bytes(spark):
+    keys = [b"\x01" * 15 + b"\x00", b"\x02" * 16, b"\x03" * 14 + b"\x00\x00", b"\x04" * 16]
+    units = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.99, float(np.sqrt(1 - 0.99**2))]]
+    rows = [(k, "1:2", 1, True, u) for k, u in zip(map(bytearray, keys), units)]
+    points = spark.createDataFrame(rows, "node binary, part string, copies long, asked boolean, unit array<double>")
+    true = embeddings.true_links(points, points.groupBy("part").agg(F.count("*").alias("n"))).collect()
+    assert {bytes(r["node"]): r["there"] for r in true} == dict(zip(keys, [1, 0, 0, 1]))
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None, None)], VECTORS)).count() == 1
