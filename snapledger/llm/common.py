@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Iterator
 
@@ -11,17 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapledger.sources.folders import shared_folder
+
 CHUNK_BYTES = 1 << 20
 BLOCK_CHARS = 1024
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the session (`spark.checkpoint.dir`); a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The shared folder of the session (`spark.checkpoint.dir`); a temporary one only where it is unset on a local master."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -566,6 +566,17 @@ def test_embeddings_as_by_brute_force(spark, monkeypatch):
         assert got[r[0]]["n_links"] == 0 and got[r[0]]["component_id"] == r[0] and got[r[0]]["kept"] == (r[0] is not None)
 
 
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from snapledger.llm.common import folder
+
+    session = lambda **set_: SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: set_.get("base", other)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        folder(session())
+    assert folder(session(base="/shared/here/")) == "/shared/here"
+
+
 def test_true_links_of_keys_that_end_in_zero_bytes(spark):
     keys = [b"\x01" * 15 + b"\x00", b"\x02" * 16, b"\x03" * 14 + b"\x00\x00", b"\x04" * 16]
     units = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.99, float(np.sqrt(1 - 0.99**2))]]
