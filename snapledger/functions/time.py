@@ -18,8 +18,9 @@ def ntz(value: datetime | Column) -> Column:
 def hours_between(start: Column, end: Column) -> Column:
     """Hours from one naive timestamp to another, by calendar arithmetic."""
     gap = end - start
+    days = F.extract(F.lit("DAY"), gap).cast("bigint")  # an int holds the seconds of 68 years only
     seconds = (
-        F.extract(F.lit("DAY"), gap) * 86400 + F.extract(F.lit("HOUR"), gap) * 3600
+        days * 86400 + F.extract(F.lit("HOUR"), gap) * 3600
         + F.extract(F.lit("MINUTE"), gap) * 60 + F.floor(F.extract(F.lit("SECOND"), gap))
     )
     return F.round(seconds / F.lit(3600.0), 6)

@@ -288,7 +288,7 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
     """Saved drafts: every turn, with numbers, terms, names and secrets appended."""
     text = _DRAFT.format(
         S="string", t0="timestamp_ntz '2024-01-01 00:00:00'",
-        hours="make_dt_interval(0, cast(conv_id * 37 + turn as int))",
+        hours="(conv_id * 37 + turn) * interval '1' hour",
     )
     return _select(text, table(spark, sf, "conversations"))
 
