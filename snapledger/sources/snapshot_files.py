@@ -19,6 +19,7 @@ import pyarrow.csv as pa_csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapledger.sources.folders import listed_in_bulk, path_texts
 from snapledger.schemas import (
     MAX_FIELD_CHARS,
     MAX_FILE_BYTES,
@@ -46,7 +47,8 @@ _ARROW_SCHEMA = pa.schema(
 def read_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """(path, modificationTime, length, content) of every file under `path`, nested folders too."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    return reader.option("recursiveFileLookup", "true").load(path)
+    with listed_in_bulk(spark):
+        return reader.option("recursiveFileLookup", "true").load(path)
 
 
 def hidden_files(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -54,20 +56,28 @@ def hidden_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
     Markers of finished jobs aren't snapshots. Files in hidden folders are not looked for.
     """
-    fs_api, conf, found = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), []
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
     for text in paths:
-        pattern = fs_api.Path(text)
+        pattern = jvm.org.apache.hadoop.fs.Path(text)
         fs = pattern.getFileSystem(conf)
         for root in fs.globStatus(pattern) or []:
-            inside = fs.listFiles(root.getPath(), True)
-            while inside.hasNext():
-                path = inside.next().getPath()
-                folders = path.toString().removeprefix(root.getPath().toString()).split("/")[:-1]
-                if path.getName()[0] in "_." and path.getName() != "_SUCCESS" and not any(f[:1] in ("_", ".") for f in folders):
-                    found.append(path.toString())
+            top = root.getPath().toString()
+            for path in _paths_below(spark, fs, root.getPath()):
+                *folders, name = path.rsplit("/", 1)[-1:] if path == top else path.removeprefix(top).split("/")
+                if name[0] in "_." and name != "_SUCCESS" and not any(f[:1] in ("_", ".") for f in folders):
+                    found.append(path)
     return sorted(found)
 
 
+def _paths_below(spark: SparkSession, fs, root) -> list[str]:
+    """Paths of all files under a folder, listed a level at a time; a file that is listed gives itself."""
+    to_paths = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths
+    level, before = to_paths(fs.listStatus(root)), None
+    while (now := path_texts(spark, level)) != before:
+        level, before = to_paths(fs.listStatus(level)), now
+    return now
+
+
 def visible_copies(spark: SparkSession, hidden: list[str], folder: str) -> dict[str, str]:
     """Copies of hidden files below `folder`, under names that Spark lists: copy -> original. Bytes pass through in pieces."""
     fs_api, conf, copies = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), {}
