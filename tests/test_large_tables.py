@@ -120,3 +120,9 @@ def test_the_stream_loads_once_for_many_batches_and_goes_on_after_a_stop(spark,
     assert calls == [7] and wh.runs().where("status = 'succeeded'").count() == 7 and wh.facts().count() == 21
     file_drop.start(wh, landing, state, REF, 1).awaitTermination()
     assert calls == [7]
+
+
+def test_findings_of_the_latest_run_have_their_place_in_its_list(spark):
+    rows = QUERIES["findings_of_run"].build(spark, "/root/testdata/sf0.01").collect()
+    listed = sorted(rows, key=lambda r: (r.check_name, r.quality_result_id))
+    assert len(rows) > 1 and [r.place for r in listed] == list(range(1, len(rows) + 1))
